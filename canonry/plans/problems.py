@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canonry.functions.text import known, letters_digits
+from canonry.functions.times import utc_seconds, utc_text
 from canonry.operators.history import attribute_history, day_value, status_value
+from canonry.operators.orphans import orphan_cascade
+from canonry.operators.packed import split_packed
 from canonry.sources.tables import table
 
 
@@ -49,8 +53,86 @@ ev AS (SELECT *, CASE WHEN gone THEN 'deleted' WHEN pgone IS NULL OR pgone THEN
 fin AS (SELECT doc_id, st, dt, ac, change, observed_at AS valid_from, lead(observed_at) OVER (PARTITION BY doc_id ORDER BY observed_at) AS valid_to FROM ev)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_history": p1_history}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every single value of the packed fields."""
+    docs, meta = table(spark, folder, "doc_contexts"), table(spark, folder, "corpus_metadata")
+    return split_packed(docs, F.col("doc_id"), ["sectors_str"]).unionByName(split_packed(meta, F.col("row_id"), ["legal_sectors", "signers"]))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The UTC time of every readable date text."""
+    docs, meta = table(spark, folder, "doc_contexts"), table(spark, folder, "corpus_metadata")
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in ("promulgation_date", "final_effective_date")])
+    values = docs.select(F.col("doc_id").alias("record_id"), "zone_hint", F.inline(fields)).unionByName(
+        meta.select(F.col("row_id").cast("string").alias("record_id"), "zone_hint", F.lit("issuance_date").alias("field_name"), F.col("issuance_date").alias("raw"))
+    )
+    seconds = values.withColumn("at", utc_seconds("raw", F.col("zone_hint")))
+    return seconds.where(F.col("at").isNotNull()).select("field_name", "record_id", utc_text(F.col("at")).alias("utc_time"))
+
+
+#: Numbers that stand for no reference.
+NO_REFERENCE = ("N/A", "unknown")
+
+
+def references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, targets and owners of the document graph, as `orphan_cascade` takes them."""
+    docs, laws, chunks = (table(spark, folder, t) for t in ("doc_contexts", "base_laws", "chunks"))
+
+    def of(field: str, inner: str) -> DataFrame:
+        return docs.select(F.col("doc_id").alias("record_id"), F.col("ingested_at").alias("ref_time"), F.posexplode(field).alias("p", "x")).select(
+            F.lit(f"doc_contexts.{field}").alias("ref_field"), "record_id", (F.col("p") + 1).alias("ref_pos"), F.col(f"x.{inner}").alias("raw"), "ref_time"
+        )
+
+    of_chunks = chunks.select("chunk_id", "document_number", "loaded_at").distinct().select(
+        F.lit("chunks.document_number").alias("ref_field"), F.col("chunk_id").alias("record_id"), F.lit(0).alias("ref_pos"), F.col("document_number").alias("raw"), F.col("loaded_at").alias("ref_time")
+    )
+    refs = of("basis_refs", "doc_number").unionByName(of("ontology_rels", "target_doc")).unionByName(of_chunks)
+    refs = refs.withColumn("ref_key", letters_digits(known("raw", *NO_REFERENCE))).drop("raw")
+    key = letters_digits(known("doc_number", *NO_REFERENCE)).alias("key")
+    stamp = F.lit(None).cast("timestamp_ntz")
+    targets = docs.where(F.col("ingested_at").isNotNull()).select(key, F.col("ingested_at").alias("valid_from"), F.col("withdrawn_at").alias("valid_to")).unionByName(laws.select(key, stamp.alias("valid_from"), stamp.alias("valid_to")))
+    return refs, targets, docs.select(F.col("doc_id").alias("record_id"), key)
+
+
+def p6_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """All orphan references, direct and inherited."""
+    return orphan_cascade(*references(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The references that no target answers."""
+    direct = p6_orphans(spark, folder).where(F.col("orphan") == "direct")
+    return direct.select("ref_field", F.date_format("ref_time", "yyyy-MM").alias("ref_month"), "record_id", F.col("ref_pos").cast("int").alias("ref_pos")).distinct()
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans by table and month."""
+    rows = p6_orphans(spark, folder).groupBy("ref_field", F.date_format("ref_time", "yyyy-MM").alias("ref_month"))
+    return rows.agg(F.count_if(F.col("orphan") == "direct").alias("direct"), F.count_if(F.col("orphan") == "inherited").alias("inherited"), F.max("depth").alias("deepest"))
+
+
+_P6_REFS = """
+WITH RECURSIVE r0 AS (
+  SELECT 'doc_contexts.basis_refs' AS ref_field, doc_id AS record_id, ingested_at AS ref_time, unnest(list_transform(basis_refs, lambda x: x.doc_number)) AS raw, generate_subscripts(basis_refs, 1) AS ref_pos FROM doc_contexts
+  UNION ALL SELECT 'doc_contexts.ontology_rels', doc_id, ingested_at, unnest(list_transform(ontology_rels, lambda x: x.target_doc)), generate_subscripts(ontology_rels, 1) FROM doc_contexts
+  UNION ALL SELECT DISTINCT 'chunks.document_number', chunk_id, loaded_at, document_number, 0 FROM chunks),
+refs AS (SELECT ref_field, record_id, ref_time, CAST(ref_pos AS INTEGER) AS ref_pos, regexp_replace(replace(lower(strip_accents(raw)), 'đ', 'd'), '[^a-z0-9]+', '', 'g') AS k FROM r0
+  WHERE raw IS NOT NULL AND lower(trim(raw)) NOT IN ('', 'n/a', 'unknown')),
+targets AS (SELECT regexp_replace(replace(lower(strip_accents(doc_number)), 'đ', 'd'), '[^a-z0-9]+', '', 'g') AS k, ingested_at AS a, withdrawn_at AS b FROM doc_contexts WHERE doc_number IS NOT NULL AND lower(trim(doc_number)) NOT IN ('', 'n/a', 'unknown') AND ingested_at IS NOT NULL
+  UNION ALL SELECT regexp_replace(replace(lower(strip_accents(doc_number)), 'đ', 'd'), '[^a-z0-9]+', '', 'g'), TIMESTAMP '0001-01-01', NULL FROM base_laws),
+direct AS (SELECT * FROM refs r WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM targets t WHERE t.k = r.k AND t.a <= r.ref_time AND (t.b IS NULL OR t.b > r.ref_time))),
+edges AS (SELECT * FROM refs r WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.ref_field = r.ref_field AND d.record_id = r.record_id AND d.ref_pos = r.ref_pos)),
+owned AS (SELECT DISTINCT doc_id AS record_id, regexp_replace(replace(lower(strip_accents(doc_number)), 'đ', 'd'), '[^a-z0-9]+', '', 'g') AS k FROM doc_contexts WHERE doc_number IS NOT NULL AND lower(trim(doc_number)) NOT IN ('', 'n/a', 'unknown')),
+cas(k, depth) AS (SELECT DISTINCT o.k, 1 FROM owned o JOIN direct d ON d.record_id = o.record_id
+  UNION SELECT DISTINCT o.k, c.depth + 1 FROM cas c JOIN edges e ON e.k = c.k JOIN owned o ON o.record_id = e.record_id WHERE c.depth < 12),
+first AS (SELECT k, min(depth) AS depth FROM cas GROUP BY k)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
 SQL = {
     "p1_found": _P1_STATES + "SELECT doc_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d %H:%M:%S'), '') AS valid_to FROM fin WHERE change <> 'deleted'",
     "p1_history": _P1_STATES + "SELECT doc_id, st AS doc_status, dt AS final_effective_date, ac AS is_active, change, valid_from, valid_to FROM fin WHERE change <> 'deleted'",
+    "p6_found": _P6_REFS + "SELECT DISTINCT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, record_id, ref_pos FROM direct",
+    "p6_report": _P6_REFS + """SELECT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, count(*) FILTER (orphan = 'direct') AS direct, count(*) FILTER (orphan = 'inherited') AS inherited, CAST(max(depth) AS INTEGER) AS deepest
+      FROM (SELECT ref_field, ref_time, 'direct' AS orphan, 0 AS depth FROM direct UNION ALL SELECT e.ref_field, e.ref_time, 'inherited', f.depth FROM edges e JOIN first f ON f.k = e.k) GROUP BY ALL""",
 }
