@@ -10,28 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canonry.functions.arrow_text import code_points, slices, text_of, utf8_widths
+
 #: Separators of values. A slash separates only next to a blank or an end.
 SEPARATORS = ",;|\n\t，；•、"
 SLASH = "/"
 #: Texts that hold no value.
 NO_VALUE = ("", "n/a", "nan", "none", "chung")
-#: Code points handled at once; bounds the memory of a task, not the length of a text.
-SLICE = 1 << 20
 
 _OPEN, _CLOSE, _DOUBLE, _SINGLE, _ESCAPE, _COLON = "“", "”", '"', "'", "\\", ":"
 
 
-def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of `texts` and the offset of each text, by way of the Arrow buffers."""
-    whole = texts.cast(pa.large_string())
-    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
-    data = memoryview(whole.buffers()[2])[offsets[0] : offsets[-1]] if whole.buffers()[2] else b""
-    raw = np.frombuffer(data, np.uint8)
-    starts = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80))) if len(raw) else np.zeros(1, np.int64)
-    codes = np.frombuffer(bytes(data).decode("utf-8").encode("utf-32-le"), np.uint32)
-    return codes, starts[offsets - offsets[0]].astype(np.int64)
-
-
 def _among(codes: np.ndarray, chars: str) -> np.ndarray:
     return np.isin(codes, np.array([ord(c) for c in chars], np.uint32))
 
@@ -138,16 +127,14 @@ def _bare(values: pa.Array) -> pa.Array:
 
 def split_array(texts: pa.Array) -> pa.ListArray:
     """A list of the values of every text; null and empty texts give an empty list."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    codes, offsets = _codes(texts)
+    codes, offsets = code_points(texts)
     start, end, row = split_codes(codes, offsets)
     if not len(start):
         return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.string()))
-    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-    place = np.concatenate(([0], np.cumsum(width)))
-    keep = np.repeat(np.arange(len(start)), end - start)
-    span = np.arange(len(keep)) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
-    data = codes[start[keep] + span].tobytes().decode("utf-32-le").encode("utf-8")
+    place = np.concatenate(([0], np.cumsum(utf8_widths(codes), dtype=np.int64)))
+    size = end - start
+    take = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    data = text_of(codes[take]).encode("utf-8")
     bounds = np.concatenate(([0], np.cumsum(place[end] - place[start])))
     pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data))
     marked = pc.match_substring_regex(pieces, r"[\"'“\\]")
@@ -159,17 +146,6 @@ def split_array(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pieces.filter(pa.array(held)).cast(pa.string()))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE bytes each; a longer text is a range of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(texts):
-        base = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, base + SLICE, "right")))
-        yield start, stop
-        start = stop
-
-
 def split_packed(df: DataFrame, record_id: Column, fields: list[str]) -> DataFrame:
     """One row per value: `field_name`, `record_id`, `pos` from 1, `val`.
 
@@ -187,7 +163,7 @@ def split_packed(df: DataFrame, record_id: Column, fields: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _slices(batch["raw"]):
+            for a, b in slices(batch["raw"]):
                 part = batch.slice(a, b - a)
                 lists = split_array(part["raw"])
                 parent = pc.list_parent_indices(lists).to_numpy()
