@@ -9,8 +9,8 @@ from canonry.operators.ordered import Ordered
 from canonry.session import checkpointed
 
 
-def unanswered(refs: DataFrame, targets: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """The rows of `refs` (`ref_key`, `ref_time`, ...) to which no row of `targets` answers.
+def mark_answered(refs: DataFrame, targets: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """The rows of `refs` (`ref_key`, `ref_time`, ...) that have a key, with `answered`: whether a row of `targets` answers.
 
     A target (`key`, `valid_from`, `valid_to`) answers a reference with its
     key if `valid_from` <= `ref_time` and `valid_to` is null or later; a null
@@ -32,7 +32,7 @@ def unanswered(refs: DataFrame, targets: DataFrame, max_rows: int = 2_000_000) -
     swept = steps.withColumn("ref", nothing).unionByName(asked).withColumn("late", F.col("ref").isNotNull())
     ordered = Ordered(swept, ["key"], F.col("t"), [F.col("t"), F.col("late")], max_rows)
     open_ = ordered.running_sum("d", "open").rows()
-    return open_.where(F.col("late") & (F.col("open") == 0)).select("ref.*")
+    return open_.where("late").select("ref.*", (F.col("open") > 0).alias("answered"))
 
 
 def orphan_cascade(refs: DataFrame, targets: DataFrame, owners: DataFrame, rounds: int = 64, max_rows: int = 2_000_000) -> DataFrame:
@@ -49,14 +49,12 @@ def orphan_cascade(refs: DataFrame, targets: DataFrame, owners: DataFrame, round
     breaks once. More than `rounds` levels raise an error rather than give
     an incomplete result. Empty tables give an empty result.
     """
-    direct = checkpointed(unanswered(refs, targets, max_rows).select(*refs.columns))
-    marked = direct.select(*refs.columns, F.lit("direct").alias("orphan"), F.lit(0).alias("depth"))
-    edges = refs.where(F.col("ref_key").isNotNull()).join(direct.select("ref_field", "record_id", "ref_pos"), ["ref_field", "record_id", "ref_pos"], "left_anti").select(*refs.columns)
-    edges = checkpointed(edges)
+    marked = checkpointed(mark_answered(refs, targets, max_rows))
+    direct, edges = marked.where(~F.col("answered")).drop("answered"), marked.where("answered").drop("answered")
     owned = owners.where(F.col("key").isNotNull()).select("record_id", "key").distinct()
     broken = direct.select("record_id").distinct()
     frontier = checkpointed(owned.join(broken, "record_id", "left_semi").select("key").distinct())
-    seen, found = frontier, marked
+    seen, found = frontier, direct.select(*refs.columns, F.lit("direct").alias("orphan"), F.lit(0).alias("depth"))
     for depth in range(1, rounds + 1):
         if frontier.isEmpty():
             return found
