@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canonry.llm.canonical import map_values
 from canonry.llm.conversations import conversations, fold_events
 from canonry.llm.leakage import leaked_items
 from canonry.llm.splitting import split_oversized
@@ -29,6 +30,27 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _long_items(spark, folder, True).distinct()
 
 
+def p5_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed value with its canonical entry and score."""
+    docs, canon = table(spark, folder, "doc_contexts"), table(spark, folder, "canon_names")
+    single = [F.struct(F.lit(k).alias("kind"), F.lit(f).alias("field_name"), F.lit(1).alias("pos"), F.col(f).alias("raw")) for f, k in (("issuing_auth", "authority"), ("signer_name", "signer"))]
+    fields = docs.select("doc_id", F.inline(F.array(*single)))
+    lists = docs.select("doc_id", F.explode("entities").alias("label", "members")).select("doc_id", "label", F.posexplode("members").alias("p", "raw"))
+    entities = lists.select("doc_id", F.lit("entity").alias("kind"), F.concat(F.lit("entities."), "label").alias("field_name"), (F.col("p") + 1).alias("pos"), "raw")
+    return map_values(fields.unionByName(entities), canon.withColumnRenamed("entry_kind", "kind"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical entry of every value that is not spelled as in the list."""
+    return p5_mapped(spark, folder).select("doc_id", "field_name", F.col("pos").cast("int").alias("pos"), "canon_id")
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The values without an entry and how often each occurs."""
+    none = p5_mapped(spark, folder).where(F.col("canon_id") == 0)
+    return none.groupBy("kind", "raw").agg(F.count("*").alias("n"))
+
+
 def p7_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Whole conversations with roles and contents."""
     turns = fold_events(table(spark, folder, "messages"), "session_id", "role", "content", "created_at", "id")
@@ -59,7 +81,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder, 1)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near}
 
 _P7 = r"""
 WITH m AS (SELECT id, lower(trim(session_id, E' \t\n\r')) AS sid, content,
