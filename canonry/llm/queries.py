@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canonry.llm.canonical import map_values
 from canonry.llm.conversations import conversations, fold_events
 from canonry.llm.leakage import leaked_items
+from canonry.llm.mojibake import garbled
 from canonry.llm.splitting import split_oversized
 from canonry.llm.tokens import encode_corpus
 from canonry.sources.tables import table
@@ -81,7 +82,17 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder, 1)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text that was decoded wrongly."""
+    return garbled(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), texts=False).distinct()
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Those documents with their original text, as far as it can be had."""
+    return garbled(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P7 = r"""
 WITH m AS (SELECT id, lower(trim(session_id, E' \t\n\r')) AS sid, content,
