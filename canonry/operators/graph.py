@@ -16,21 +16,21 @@ from canonry.session import checkpointed
 
 
 def edge(df: DataFrame, src: Column, kind: str, dst: Column) -> DataFrame:
-    """Distinct edges of one type; rows without one end give none."""
-    return df.select(src.cast("string").alias("src"), F.lit(kind).alias("type"), dst.cast("string").alias("dst")).where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    """Edges of one type; rows without one end give none."""
+    return df.select(src.cast("string").alias("src"), F.lit(kind).alias("type"), dst.cast("string").alias("dst")).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def document_edges(documents: DataFrame) -> DataFrame:
-    """ISSUED_BY, SIGNED_BY, HAS_TYPE, BASED_ON, relation and HAS_ENTITY edges of document contexts; sentinels are no nodes."""
+    """Distinct ISSUED_BY, SIGNED_BY, HAS_TYPE, BASED_ON, relation and HAS_ENTITY edges of document contexts; sentinels are no nodes."""
     real = lambda c: squeeze(known(c, "N/A", "nan"))
     doc = F.col("doc_id")
     out = edge(documents, doc, "ISSUED_BY", real("issuing_auth")).unionByName(edge(documents, doc, "SIGNED_BY", real("signer_name"))).unionByName(edge(documents, doc, "HAS_TYPE", real("legal_type_meta")))
     basis = documents.select("doc_id", F.explode("basis_refs").alias("x"))
     out = out.unionByName(edge(basis, doc, "BASED_ON", real("x.doc_number")))
     relations = documents.select("doc_id", F.explode("ontology_rels").alias("x")).where(F.col("x.edge_label").isNotNull())
-    named = relations.select(doc.alias("src"), F.col("x.edge_label").alias("type"), real("x.target_doc").alias("dst")).where(F.col("dst").isNotNull()).distinct()
+    named = relations.select(doc.alias("src"), F.col("x.edge_label").alias("type"), real("x.target_doc").alias("dst")).where(F.col("dst").isNotNull())
     entities = documents.select("doc_id", F.explode("entities").alias("label", "names")).select("doc_id", F.explode("names").alias("name"))
-    return out.unionByName(named).unionByName(edge(entities, doc, "HAS_ENTITY", real("name")))
+    return out.unionByName(named).unionByName(edge(entities, doc, "HAS_ENTITY", real("name"))).distinct()
 
 
 def ghosts(edges: DataFrame, vertices: DataFrame, types: list[str]) -> DataFrame:

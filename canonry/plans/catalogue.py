@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from canonry.plans import problems
+from canonry.plans import graph, problems, retrieval, sessions, texts
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_PARTS = (problems, retrieval, texts, graph, sessions)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
