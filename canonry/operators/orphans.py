@@ -9,8 +9,11 @@ from canonry.operators.ordered import Ordered
 from canonry.session import checkpointed
 
 
+REFERENCE = ("ref_field", "record_id", "ref_pos", "ref_key", "ref_time")
+
+
 def mark_answered(refs: DataFrame, targets: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """The rows of `refs` (`ref_key`, `ref_time`, ...) that have a key, with `answered`: whether a row of `targets` answers.
+    """The `REFERENCE` columns of the rows of `refs` that have a key, with `answered`: whether a row of `targets` answers.
 
     A target (`key`, `valid_from`, `valid_to`) answers a reference with its
     key if `valid_from` <= `ref_time` and `valid_to` is null or later; a null
@@ -25,7 +28,7 @@ def mark_answered(refs: DataFrame, targets: DataFrame, max_rows: int = 2_000_000
     spans = targets.where(F.col("key").isNotNull()).select("key", start.alias("a"), end.alias("b")).where(F.col("b").isNull() | (F.col("b") > F.col("a")))
     steps = spans.select("key", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("s"))
     steps = steps.where(F.col("s.t").isNotNull()).groupBy("key", F.col("s.t").alias("t")).agg(F.sum("s.d").cast("long").alias("d"))
-    asked = refs.where(F.col("ref_key").isNotNull())
+    asked = refs.select(*REFERENCE).where(F.col("ref_key").isNotNull())
     payload = F.struct(*[asked[c] for c in asked.columns])
     asked = asked.select(F.col("ref_key").alias("key"), F.coalesce(F.unix_micros(F.col("ref_time").cast("timestamp")), F.lit(-(2**62) + 1)).alias("t"), F.lit(0).cast("long").alias("d"), payload.alias("ref"))
     nothing = F.lit(None).cast(asked.schema["ref"].dataType)
@@ -54,12 +57,12 @@ def orphan_cascade(refs: DataFrame, targets: DataFrame, owners: DataFrame, round
     owned = owners.where(F.col("key").isNotNull()).select("record_id", "key").distinct()
     broken = direct.select("record_id").distinct()
     frontier = checkpointed(owned.join(broken, "record_id", "left_semi").select("key").distinct())
-    seen, found = frontier, direct.select(*refs.columns, F.lit("direct").alias("orphan"), F.lit(0).alias("depth"))
+    seen, found = frontier, direct.select(*REFERENCE, F.lit("direct").alias("orphan"), F.lit(0).alias("depth"))
     for depth in range(1, rounds + 1):
         if frontier.isEmpty():
             return found
-        hit = edges.join(frontier.select(F.col("key").alias("ref_key")), "ref_key", "left_semi").select(*refs.columns)
-        found = found.unionByName(hit.select(*refs.columns, F.lit("inherited").alias("orphan"), F.lit(depth).alias("depth")))
+        hit = edges.join(frontier.select(F.col("key").alias("ref_key")), "ref_key", "left_semi").select(*REFERENCE)
+        found = found.unionByName(hit.select(*REFERENCE, F.lit("inherited").alias("orphan"), F.lit(depth).alias("depth")))
         new = owned.join(hit.select("record_id").distinct(), "record_id", "left_semi").select("key").distinct()
         frontier = checkpointed(new.join(seen, "key", "left_anti"))
         seen = seen.unionByName(frontier)
