@@ -187,7 +187,7 @@ def entity_type(raw: Column | str) -> Column:
     text = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in V.ENTITY_TYPE_ALIASES.items() for x in pair]), text), text)
     lower, out = F.lower(text), F.when(text.rlike("^[A-Z][A-Za-z0-9]+$"), text).otherwise("Concept")
     for label in reversed(V.ENTITY_TYPES):
-        out = F.when(F.substring(lower, 1, 4) == label.lower()[:4], label).otherwise(out)
+        out = F.when((lower != "") & F.lit(label.lower()).startswith(F.substring(lower, 1, 4)), label).otherwise(out)
     for label in reversed(V.ENTITY_TYPES):
         out = F.when(lower == label.lower(), label).otherwise(out)
     return F.when(text.isNull() | (text == ""), "Concept").otherwise(out)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rolling_history(messages: DataFrame, size: int = 14, ttl_ms: int = 86_400_000) -> DataFrame:
+def rolling_history(messages: DataFrame, size: int = 14, ttl_ms: int = 86_400_000, delay: str = "1 hour") -> DataFrame:
     """The last `size` messages of a session after every batch that brings some; state of silent sessions expires.
 
     `messages` has `session_id`, `id`, `ts` and `content`. State holds at
-    most `size` rows a session, whatever its length.
+    most `size` rows a session, whatever its length, and expires in event
+    time, `ttl_ms` after the session's last message.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -23,14 +24,14 @@ def rolling_history(messages: DataFrame, size: int = 14, ttl_ms: int = 86_400_00
             return
         held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            held += list(zip(batch["id"].tolist(), batch["ts"].astype("int64").tolist(), batch["content"].tolist()))
+            held += list(zip(batch["id"].tolist(), batch["ts"].astype("datetime64[ns]").astype("int64").tolist(), batch["content"].tolist()))
             held = sorted(dict.fromkeys(held), key=lambda r: (r[1], r[0]))[-size:]
         state.update(tuple(map(list, zip(*held))))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(held[-1][1] // 1_000_000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session_id": key[0], "place": range(1, len(held) + 1), "id": [r[0] for r in held], "content": [r[2] for r in held]})
 
-    return messages.groupBy("session_id").applyInPandasWithState(
-        update, "session_id string, place int, id long, content string", "ids array<long>, times array<long>, contents array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return messages.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
+        update, "session_id string, place int, id long, content string", "ids array<long>, times array<long>, contents array<string>", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
