@@ -185,7 +185,7 @@ def map_values(
 ) -> DataFrame:
     """`values` with `canon_id` (0: none) and `score` for every value that is not literally a canonical name.
 
-    `values` has `kind`, `raw` and any other columns but those two results;
+    `values` has `kind`, `raw` and any other columns; one named like a result is replaced;
     `canon` has `kind`, `canon_id`, `canon_name`, `short_form`. Values are
     deduplicated within each Arrow batch and against a bounded memo of the
     task, which needs no shuffle and spreads hot values; normalised;
@@ -206,7 +206,7 @@ def map_values(
         entries[r.kind].append((r.canon_id, r.canon_name, r.short_form))
     shared = values.sparkSession.sparkContext.broadcast({k: Matcher.build(v, k == "signer") for k, v in entries.items()})
     rows = values.where(F.col("raw").isNotNull() & ~F.lower(F.trim("raw")).isin(*NO_VALUE))
-    rest = [c for c in rows.columns if c not in ("kind", "raw")]
+    rest = [c for c in rows.columns if c not in ("kind", "raw", "canon_id", "score")]
     known: dict[tuple[str, str], tuple[int, float]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

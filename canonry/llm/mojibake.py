@@ -49,7 +49,7 @@ _PLAIN = "\\x00-\\x7f" + "".join(sorted({c for base in "aăâeêioôơuưy" for
 #: Regular expression that every text with a possible case matches: a character out of the plain ones, or plain ones in an order that words don't have.
 SUSPECT = f"[^{_PLAIN}]|[ÃÂáâ][“”‘’–—…•]|[a-z][ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝ]|a[âáàùúãõ]|e[âáàùúãõ]|o[âùúãõ]"
 #: Sequences that a wrong decoding leaves and writing doesn't.
-_CLUE = re.compile("á[º»][^\\s.,;:)?!]|[ÃÂÄÅÆĂ][\xa0“”‘’‚„–—…•»«°§©®¡-¿]|â€|[ÂÃ]\xa0")
+_CLUE = re.compile("á[º»][^\\s.,;:)?!]|[ÃÂÄÅÆĂ][\xa0“”‘’‚„–—…•»«°§©®¡-¿]|â€|[ÂÃГ├√Ă]\xa0")
 
 
 def _is_syllable(word: str) -> bool:
