@@ -99,25 +99,34 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+#: A word that no text has; its rows carry the documents' lengths.
+_LENGTH = " "
+
+
 def bm25_topk(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, tokens=words) -> DataFrame:
     """`query_id`, `key`, `score`, `rank` of the best documents of every query by BM25.
 
-    Only the query's words leave the first scan: each document keeps its
-    length and the counts of query words, which are joined with the words'
-    document frequencies (as many rows as the queries have words).
-    Null texts count as documents without words.
+    Only the queries' words leave the scan, beside one row per document that
+    carries its length as the count of a word that no text has. The counts
+    are shuffled once; document frequencies and the mean length come from
+    the same exchange. Null texts count as documents without words.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("word"))
-    vocabulary = asked.select("word").distinct()
-    listed = documents.select(key, tokens(text).alias("w")).select(key, F.coalesce("w", F.array().cast("array<string>")).alias("w")).select(key, "w", F.size("w").alias("n"))
-    totals = listed.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    counted = listed.select(key, "n", F.explode("w").alias("word")).join(vocabulary, "word", "left_semi").groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
-    frequency = counted.groupBy("word").agg(F.count("*").alias("df"))
+    vocabulary = asked.select("word").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(_LENGTH).alias("word")))
+    listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w")).select(key, F.size("w").alias("n"), F.explode(F.concat("w", F.array(F.lit(_LENGTH)))).alias("word"))
+    counted = listed.join(F.broadcast(vocabulary) if _few(asked) else vocabulary, "word", "left_semi").groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
+    frequency = counted.where(F.col("word") != _LENGTH).groupBy("word").agg(F.count("*").alias("df"))
+    totals = counted.where(F.col("word") == _LENGTH).agg(F.sum("tf").alias("docs"), (F.sum(F.col("n") * F.col("tf")) / F.sum("tf")).alias("mean"))
     weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scored = counted.join(frequency.join(totals), "word").join(asked, "word").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k, key)
 
 
+def _few(words: DataFrame, most: int = 100_000) -> bool:
+    """Whether there are at most `most` rows, so that they may be sent to every executor."""
+    return words.limit(most + 1).count() <= most
+
+
 def ranked(hits: DataFrame, k: int, key: str, by: str = "query_id", score: str = "score") -> DataFrame:
     """The best `k` hits of each query with their `rank`; ties go to the lower key."""
     place = Window.partitionBy(by).orderBy(F.desc(score), key)
