@@ -206,3 +206,75 @@ def entity_name(raw: Column | str) -> Column:
 def json_values(raw: Column | str, path: str) -> Column:
     """A value of a JSON text after trailing commas are removed; null if it isn't JSON."""
     return F.get_json_object(F.regexp_replace(_col(raw), r",\s*([\]}])", "$1"), path)
+
+
+def order_key(chunk_id: Column | str) -> Column:
+    """Sort key of a chunk id: the number after `c`, the number after `p`, the id; missing numbers count as 0."""
+    text = _col(chunk_id)
+    number = lambda mark: F.coalesce(F.regexp_extract(text, rf"{mark}(\d+)", 1).try_cast("int"), F.lit(0))
+    return F.struct(number("c").alias("c"), number("p").alias("p"), text.alias("id"))
+
+
+#: Fixed value: how articles and clauses are cited in running text.
+CITATION = r"(?iu)(?:điều|khoản|điểm|mục|chương)\s+(?:\d+[a-zđ]?|[a-zđ]|[ivxlc]+)(?U)\b"
+
+
+def citations_in(text: Column | str) -> Column:
+    """Distinct citations of articles, clauses and document numbers in a text, folded to lower case with single blanks, in order."""
+    found = F.concat(F.regexp_extract_all(_col(text), F.lit(CITATION), F.lit(0)), F.regexp_extract_all(_col(text), F.lit(r"\d+/\d{4}/[A-ZĐ][A-Z0-9Đ\-]*"), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))))
+
+
+def question_entities(question: Column | str, most: int = 5) -> Column:
+    """The first few distinct document numbers and ministries that a question names."""
+    text = _col(question)
+    found = F.concat(F.regexp_extract_all(text, F.lit(r"\d+/\d{4}/[A-ZĐ][A-Z0-9Đ\-]*"), F.lit(0)), F.regexp_extract_all(text, F.lit(r"Bộ\s+\p{Lu}\p{L}*(?:\s+\p{Lu}\p{L}*)*"), F.lit(0)))
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def article_body(text: Column, article: Column) -> Column:
+    """The text from a heading `article` to the next article or chapter heading; null if it isn't there."""
+    start = F.regexp_instr(F.concat(F.lit("\n"), text), F.concat(F.lit(r"(?iu)\n\s*"), F.regexp_replace(article, r"([.()\[\]\\+*?^$|{}])", r"\\$1"), F.lit(r"(?![0-9])")))
+    rest = F.when(start > 0, F.ltrim(F.substr(text, F.greatest(start, F.lit(1)))))
+    end = F.regexp_instr(rest, F.lit(r"(?iu)\n\s*(điều|chương|mục|phần)\s+[0-9ivxlc]+"))
+    return F.rtrim(F.when(end > 0, F.substr(rest, F.lit(1), end - 1)).otherwise(rest))
+
+
+def is_legal_document(name: Column | str) -> Column:
+    """Whether a cited name is that of a document: it has a number or a legal keyword, or isn't just an organisation."""
+    text = F.lower(F.trim(_col(name)))
+    keyword = text.rlike("luật|nghị định|thông tư|hiến pháp|quyết định|chỉ thị")
+    organisation = text.rlike("^(bộ |sở |tổng công ty|tập đoàn|chính phủ|doanh nghiệp|ủy ban|thanh tra)")
+    return F.coalesce((F.length(text) >= 4) & (text.rlike(r"\d+[/-][a-zđ]+") | keyword | ~organisation), F.lit(False))
+
+
+def without_self_references(text: Column | str) -> Column:
+    """A text without `this law` and the like."""
+    return F.regexp_replace(_col(text), r"(?iu)(luật|nghị định|thông tư|quyết định|nghị quyết|văn bản)\s+này", "")
+
+
+def verb_stem(relation: Column | str) -> Column:
+    """A relation name without its closing preposition."""
+    return F.regexp_replace(_col(relation), "_(BY|TO|IN|FOR|FROM|WITH|AS|VIA|ON|AT|OF)$", "")
+
+
+def file_name(text: Column | str) -> Column:
+    """A text fit for a file name: forbidden characters become `_`."""
+    return F.substring(F.regexp_replace(F.trim(_col(text)), r'[\\/:*?"<>|\s]+', "_"), 1, 150)
+
+
+def embedding_input(text: Column | str) -> Column:
+    """Text for an embedding model: no NUL, `N/A` for nothing."""
+    clean = F.replace(_col(text), F.lit("\u0000"), F.lit(""))
+    return F.when(F.trim(clean) != "", clean).otherwise("N/A")
+
+
+def year_of_date(text: Column | str) -> Column:
+    """The year of D/M/Y or Y-M-D; null for other forms."""
+    raw = F.trim(_col(text))
+    return F.coalesce(F.nullif(F.regexp_extract(raw, r"^\d{1,2}/\d{1,2}/(\d{4})", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"^(\d{4})-\d{1,2}-\d{1,2}", 1), F.lit("")))
+
+
+def is_greeting(text: Column | str) -> Column:
+    """Whether a message is nothing but a greeting or thanks."""
+    return F.coalesce(F.regexp_replace(F.lower(F.trim(_col(text))), r"[!.?,\s]+$", "").isin("xin chào", "chào", "chào bạn", "hello", "hi", "cảm ơn", "cám ơn", "thanks"), F.lit(False))

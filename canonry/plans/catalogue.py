@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from canonry.plans import graph, problems, retrieval, sessions, texts
+from canonry.plans import answers, graph, problems, retrieval, sessions, texts
 
-_PARTS = (problems, retrieval, texts, graph, sessions)
+_PARTS = (problems, retrieval, texts, graph, sessions, answers)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -187,10 +187,10 @@ _Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v
 _TOKENS = "list_filter(string_split_regex(" + FOLD + ", '[^a-z0-9]+'), lambda w: w <> '')"
 
 
-def _sql_bm25(name: str, where: str, k: int) -> str:
+def _sql_bm25(name: str, where: str, k: int, source: str = "documents", text: str = "text") -> str:
     """CTEs that end in `name`(query_id, doc_id, score, rank)."""
     return f"""
-{name}_d AS (SELECT doc_id, coalesce({_TOKENS.format('text')}, []) AS w FROM documents WHERE {where}),
+{name}_d AS (SELECT doc_id, coalesce({_TOKENS.format(text)}, []) AS w FROM {source} WHERE {where}),
 {name}_s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM {name}_d),
 {name}_q AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS word FROM q),
 {name}_t AS (SELECT doc_id, n, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM {name}_d) WHERE word IN (SELECT word FROM {name}_q) GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,3 +55,17 @@ def checkpointed(df, eager: bool = True):
     """`df` written to the shared checkpoint folder, so that lost executors don't lose it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def ship(spark: SparkSession, root: str) -> None:
+    """Makes the package below `root` importable in Python workers that don't find it by themselves.
+
+    Workers find it when they start in `root` or have it in PYTHONPATH; else
+    the package is sent to them by Spark, once per session.
+    """
+    paths = [os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
+    if os.path.abspath(root) in paths or getattr(spark.sparkContext, "_canonry_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "canonry-package"), "zip", root, "canonry")
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._canonry_shipped = True
