@@ -114,11 +114,14 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("word"))
     vocabulary = asked.select("word").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(_LENGTH).alias("word")))
     listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w")).select(key, F.size("w").alias("n"), F.explode(F.concat("w", F.array(F.lit(_LENGTH)))).alias("word"))
-    counted = listed.join(F.broadcast(vocabulary) if _few(asked) else vocabulary, "word", "left_semi").groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
-    frequency = counted.where(F.col("word") != _LENGTH).groupBy("word").agg(F.count("*").alias("df"))
-    totals = counted.where(F.col("word") == _LENGTH).agg(F.sum("tf").alias("docs"), (F.sum(F.col("n") * F.col("tf")) / F.sum("tf")).alias("mean"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = counted.join(frequency.join(totals), "word").join(asked, "word").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
+    counted = listed.join(F.broadcast(vocabulary) if _few(asked) else vocabulary, "word", "left_semi").groupBy(key, "n", "word").agg(F.count("*").alias("tf")).where(F.col("word").isNotNull())
+    # all three uses read the same columns without a filter of their own, so that they share one exchange
+    frequency = counted.groupBy("word").agg(F.count("tf").alias("df"))
+    length = F.when(F.col("word") == _LENGTH, F.col("tf"))
+    totals = counted.agg(F.sum(length).alias("docs"), (F.sum(F.col("n") * length) / F.sum(length)).alias("mean"))
+    whole = totals.select(F.struct("docs", "mean")).scalar()
+    weight = F.log(1 + (whole["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / whole["mean"]))
+    scored = counted.join(frequency, "word").join(asked, "word").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k, key)
 
 
@@ -180,10 +183,8 @@ def interleaved(rank: Column, total: Column) -> Column:
 
 def session_first(hits: DataFrame, own: Column, threshold: float = 0.45, relax: float = 0.7) -> DataFrame:
     """Hits of the session if its best reaches the threshold, relaxed beyond the best; all hits otherwise."""
-    best = hits.agg(F.max(F.when(own, F.col("score"))).alias("__best"))
-    joined = hits.crossJoin(F.broadcast(best))
-    strong = F.col("__best") >= threshold
-    return joined.where(F.when(strong, own & (F.col("score") >= threshold * relax)).otherwise(True)).drop("__best")
+    best = hits.agg(F.max(F.when(own, F.col("score")))).scalar()
+    return hits.where(F.when(best >= threshold, own & (F.col("score") >= threshold * relax)).otherwise(True))
 
 
 def filters(equal: dict[str, object] | None = None, contains: dict[str, str] | None = None, any_of: list[Column] | None = None, active: str | None = None) -> Column:
