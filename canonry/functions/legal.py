@@ -55,8 +55,8 @@ def status_on(effective: Column, as_of: Column) -> Column:
 def document_number(col: Column | str) -> Column:
     """The first document number in a text, the form with a year first; null without one."""
     text = _col(col)
-    long = F.nullif(F.regexp_extract(text, r"(?iu)(?:số\s*)?(\d+/\d+(?:/[A-Z0-9Đ\-]+)?)", 1), F.lit(""))
-    return F.coalesce(long, F.nullif(F.regexp_extract(text, r"(?iu)(\d+/[A-Z0-9Đ\-]+)", 1), F.lit("")))
+    long = F.nullif(F.regexp_extract(text, V.NUMBER_WITH_YEAR, 1), F.lit(""))
+    return F.coalesce(long, F.nullif(F.regexp_extract(text, V.NUMBER_SHORT, 1), F.lit("")))
 
 
 def signer(col: Column | str) -> Column:
@@ -79,7 +79,7 @@ def parent_law_id(kind: Column, number: Column, year: Column, title: Column) ->
     return F.concat_ws("::", F.lit("parent"), kind, slugify(basis), F.coalesce(F.nullif(year, F.lit("")), F.lit("unknown")))
 
 
-_REFERENCE = r"(?iu)(Hiến pháp|Bộ luật|Luật|Nghị quyết|Pháp lệnh|Nghị định|Thông tư)(?U)\b([^.;\n]*)"
+_REFERENCE = V.BASIS_REFERENCE
 
 
 def basis_references(line: Column | str) -> Column:
@@ -120,13 +120,9 @@ def entity_hint(text: Column | str) -> Column:
     return F.coalesce(has_word(_col(text), V.ENTITY_HINTS), F.lit(False))
 
 
-#: A document number with a year, or a short one with at least three characters after the mark.
-NUMBER_HINT = r"(?iuU)\b\d+[/\-](?:20\d{2}|19\d{2})[/\-][A-ZĐ][A-Z0-9Đ\-/]+\b|\b\d+[/\-][A-ZĐ][A-Z0-9Đ\-/]{2,}\b"
-
-
 def relation_hint(text: Column | str) -> Column:
     """Whether a text has both a verb of relation and a document number."""
-    return F.coalesce(has_word(_col(text), V.RELATION_HINTS) & _col(text).rlike(NUMBER_HINT), F.lit(False))
+    return F.coalesce(has_word(_col(text), V.RELATION_HINTS) & _col(text).rlike(V.NUMBER_HINT), F.lit(False))
 
 
 def letter_count(text: Column | str) -> Column:
@@ -243,14 +239,14 @@ def article_body(text: Column, article: Column) -> Column:
 def is_legal_document(name: Column | str) -> Column:
     """Whether a cited name is that of a document: it has a number or a legal keyword, or isn't just an organisation."""
     text = F.lower(F.trim(_col(name)))
-    keyword = text.rlike("luật|nghị định|thông tư|hiến pháp|quyết định|chỉ thị")
-    organisation = text.rlike("^(bộ |sở |tổng công ty|tập đoàn|chính phủ|doanh nghiệp|ủy ban|thanh tra)")
+    keyword = text.rlike(V.LEGAL_KEYWORDS)
+    organisation = text.rlike(V.ORGANISATION_START)
     return F.coalesce((F.length(text) >= 4) & (text.rlike(r"\d+[/-][a-zđ]+") | keyword | ~organisation), F.lit(False))
 
 
 def without_self_references(text: Column | str) -> Column:
     """A text without `this law` and the like."""
-    return F.regexp_replace(_col(text), r"(?iu)(luật|nghị định|thông tư|quyết định|nghị quyết|văn bản)\s+này", "")
+    return F.regexp_replace(_col(text), V.SELF_REFERENCE, "")
 
 
 def verb_stem(relation: Column | str) -> Column:
@@ -277,4 +273,27 @@ def year_of_date(text: Column | str) -> Column:
 
 def is_greeting(text: Column | str) -> Column:
     """Whether a message is nothing but a greeting or thanks."""
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(_col(text))), r"[!.?,\s]+$", "").isin("xin chào", "chào", "chào bạn", "hello", "hi", "cảm ơn", "cám ơn", "thanks"), F.lit(False))
+    return F.coalesce(F.regexp_replace(F.lower(F.trim(_col(text))), r"[!.?,\s]+$", "").isin(V.GREETINGS), F.lit(False))
+
+
+def after_marker(text: Column | str, marker: str = "Nội dung:\n") -> Column:
+    """What follows the first marker in a text; the whole text without one."""
+    raw = _col(text)
+    at = F.instr(raw, F.lit(marker))
+    return F.when(at > 0, F.substr(raw, at + len(marker))).otherwise(raw)
+
+
+def translated(name: Column | str, names: dict[str, str]) -> Column:
+    """A display name by lookup, else the name itself."""
+    raw = _col(name)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), raw), raw) if names else raw
+
+
+def rerank_text(citation: Column, title: Column, content: Column) -> Column:
+    """One text of a hit for a reranking model; missing parts are left out."""
+    return F.concat_ws("\n", *[F.nullif(F.trim(c), F.lit("")) for c in (citation, title, content)])
+
+
+def display_id(*candidates: Column) -> Column:
+    """The first candidate that isn't blank."""
+    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in candidates])

@@ -77,3 +77,16 @@ INTENTS = [
 
 # --- Fixed values: limits of the structure scanner ---
 CLAUSE_LIMIT, TEXT_LIMIT, TABLE_ROWS, TABLE_LIMIT, LEAST_LETTERS, LEAST_CELLS, TITLE_CUT, EMBED_CUT = 1500, 2000, 15, 2500, 30, 15, 100, 80
+
+# --- Fixed values: patterns of numbers, citations and dates (Java syntax) ---
+NUMBER_WITH_YEAR = r"(?iu)(?:số\s*)?(\d+/\d+(?:/[A-Z0-9Đ\-]+)?)"
+NUMBER_SHORT = r"(?iu)(\d+/[A-Z0-9Đ\-]+)"
+CITED_NUMBER = r"(?iu)\d+[-/](?:20\d{2}|19\d{2})[-/][A-ZĐ][A-Z0-9Đ/\-]*"
+NUMBER_HINT = r"(?iuU)\b\d+[/\-](?:20\d{2}|19\d{2})[/\-][A-ZĐ][A-Z0-9Đ\-/]+\b|\b\d+[/\-][A-ZĐ][A-Z0-9Đ\-/]{2,}\b"
+BASIS_REFERENCE = r"(?iu)(Hiến pháp|Bộ luật|Luật|Nghị quyết|Pháp lệnh|Nghị định|Thông tư)(?U)\b([^.;\n]*)"
+EFFECTIVE_DAY = r"(?iu)có\s+hiệu\s+lực\s+(?:từ|kể\s+từ)\s+ngày\s+(\d{1,2})[/\- ](\d{1,2})[/\- ](\d{4})"
+EFFECTIVE_FROM_SIGNING = r"(?iu)có\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?(?:kể\s+)?từ\s+ngày\s+ký"
+SELF_REFERENCE = r"(?iu)(luật|nghị định|thông tư|quyết định|nghị quyết|văn bản)\s+này"
+LEGAL_KEYWORDS = "luật|nghị định|thông tư|hiến pháp|quyết định|chỉ thị"
+ORGANISATION_START = "^(bộ |sở |tổng công ty|tập đoàn|chính phủ|doanh nghiệp|ủy ban|thanh tra)"
+GREETINGS = ["xin chào", "chào", "chào bạn", "hello", "hi", "cảm ơn", "cám ơn", "thanks"]

@@ -88,7 +88,6 @@ def attribute_history(
     at = F.coalesce("n_at", "o_next")
     events = classified.select(F.coalesce("nk", "ok").alias("__key"), at["__t"].alias("__t"), at[BLOCK].alias(BLOCK), "change", "n")
 
-    ending = Ordered.__new__(Ordered)
-    ending.df, ending.key, ending.order, ending.split = events, ["__key"], [F.col("__t")], ordered.split
+    ending = Ordered.over(events, ["__key"], [F.col("__t")], ordered.split)
     ended = ending.lead("__t", "__end").rows().where(F.col("change") != "deleted")
     return ended.select(F.col("__key").alias(key), *[F.col("n")[i].alias(n) for i, n in zip(inner, names)], "change", F.col("__t").alias("valid_from"), F.col("__end").alias("valid_to"))

@@ -52,6 +52,13 @@ class Ordered:
         place = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__at")))
         self.df = rows.withColumn(BLOCK, F.when(F.col("__at").isNull(), -1).otherwise(place)).select(*df.columns, BLOCK)
 
+    @classmethod
+    def over(cls, df: DataFrame, key: list[str], order: list[Column], split: bool) -> "Ordered":
+        """Windows over rows that already carry the blocks of another `Ordered`."""
+        self = cls.__new__(cls)
+        self.df, self.key, self.order, self.split = df, key, order, split
+        return self
+
     @staticmethod
     def _same(df: DataFrame, other: DataFrame, key: list[str]) -> Column:
         same = F.lit(True)

@@ -9,8 +9,7 @@ from pyspark.sql.window import Window
 from canonry.functions import vocabulary as V
 from canonry.functions.text import letters_digits
 
-#: Fixed value: a cited number with a year.
-NUMBER = r"(?iu)\d+[-/](?:20\d{2}|19\d{2})[-/][A-ZĐ][A-Z0-9Đ/\-]*"
+NUMBER = V.CITED_NUMBER
 
 
 def mentions(texts: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -197,3 +197,9 @@ def filters(equal: dict[str, object] | None = None, contains: dict[str, str] | N
     if any_of:
         out = out & reduce(lambda a, c: a | c, any_of)
     return out & F.col(active) if active else out
+
+
+def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """`first` if it has rows, else `second`; decided inside the plan, so it stays lazy."""
+    some = first.agg(F.count("*")).scalar() > 0
+    return first.unionByName(second.where(~some))

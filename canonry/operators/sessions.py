@@ -26,3 +26,21 @@ def first_of_role(messages: DataFrame, session: str, role: str, wanted: str, ord
 def session_list(messages: DataFrame, session: str, at: str, least: int = 2) -> DataFrame:
     """Sessions with at least `least` messages: count, first and last time."""
     return messages.groupBy(session).agg(F.count("*").alias("messages"), F.min(at).alias("first_at"), F.max(at).alias("last_at")).where(F.col("messages") >= least)
+
+
+def create_sessions(sessions: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """`sessions` with those of `new` whose key isn't there yet; one of several new rows with the same key, the lowest, counts."""
+    columns = [c for c in sessions.columns if c != key]
+    first = new.groupBy(key).agg(F.min(F.struct(*columns)).alias("r")).select(key, "r.*").select(*sessions.columns)
+    return sessions.unionByName(first.join(sessions.select(key), key, "left_anti").select(*sessions.columns))
+
+
+def rename_session(sessions: DataFrame, which: str, title: str, key: str = "id") -> DataFrame:
+    """`sessions` with a new title for one."""
+    return sessions.withColumn("title", F.when(F.col(key) == which, F.lit(title)).otherwise(F.col("title")))
+
+
+def delete_sessions(sessions: DataFrame, messages: DataFrame, gone: DataFrame, key: str = "id", session: str = "session_id") -> tuple[DataFrame, DataFrame]:
+    """Both tables without the sessions whose keys are in `gone`; messages without a session stay."""
+    keys = gone.select(key).distinct()
+    return sessions.join(keys, key, "left_anti"), messages.join(keys.withColumnRenamed(key, session), session, "left_anti").select(*messages.columns)

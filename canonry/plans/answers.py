@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canonry.functions import legal as L
+from canonry.functions import vocabulary as V
 from canonry.functions.text import fold, squeeze
 from canonry.operators import retrieval as R
 from canonry.operators.models import OverlapReranker, rename_report, rerank
+from canonry.operators.pipeline import document_contexts, processed_chunks
 from canonry.plans.graph import links
 from canonry.plans.retrieval import FOLD, _keyword, _questions, folded_words
 from canonry.sources.tables import table
@@ -124,9 +126,36 @@ def flattened_chats(spark: SparkSession, folder: str) -> DataFrame:
     return last.groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def verb_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Stems of relation labels with more than one form, in the corpus and among fixed names."""
+    found = table(spark, folder, "doc_contexts").select(F.explode("ontology_rels.edge_label").alias("raw")).distinct()
+    every = found.unionByName(spark.createDataFrame([(x,) for x in V.DOC_RELATIONS], "raw string")).distinct()
+    return every.groupBy(F.regexp_replace(L.verb_stem("raw"), "(S|ED|D)$", "").alias("stem")).agg(F.count("*").alias("forms"), F.array_join(F.array_sort(F.collect_set("raw")), ",").alias("names")).where(F.col("forms") > 1)
+
+
+def context_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of each question: the beginnings of its eight best documents, the best at both ends."""
+    hits = _keyword(spark, folder, 8).join(table(spark, folder, "documents").select("doc_id", "document_number", "text"), "doc_id")
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    placed = hits.select("query_id", R.interleaved(F.col("rank"), total).alias("position"), L.rerank_text(F.col("document_number"), F.lit(""), F.substring("text", 1, 300)).alias("piece"))
+    gathered = F.array_sort(F.collect_list(F.struct("position", "piece")))
+    return placed.groupBy("query_id").agg(F.array_join(F.transform(gathered, lambda x: x["piece"]), "\n---\n").alias("context"))
+
+
+def processed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Document contexts made of raw texts and the last crawl of their number, without the texts."""
+    return document_contexts(table(spark, folder, "documents"), table(spark, folder, "corpus_metadata"), F.lit("2024-01-01")).drop("text", "sectors")
+
+
+def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ingestion: contexts, chunks, citations, hints and point ids."""
+    contexts = document_contexts(table(spark, folder, "documents"), table(spark, folder, "corpus_metadata"), F.lit("2024-01-01"))
+    return processed_chunks(contexts).select("doc_id", "chunk_id", "chunk_index", "reference_citation", "has_potential_entities", "has_potential_relations", "point_id")
+
+
 QUERIES = {
     f.__name__: f for f in (
-        search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
 }
@@ -138,6 +167,11 @@ from canonry.plans import texts as _texts  # noqa: E402
 
 _SQ = _graph._sq
 SQL = {
+    "verb_groups": "WITH e AS (SELECT DISTINCT x.edge_label AS raw FROM " + _texts._REL + " UNION SELECT unnest([" + ", ".join(f"'{x}'" for x in V.DOC_RELATIONS) + """])),
+      s AS (SELECT regexp_replace(regexp_replace(raw, '_(BY|TO|IN|FOR|FROM|WITH|AS|VIA|ON|AT|OF)$', ''), '(S|ED|D)$', '') AS stem, raw FROM e) SELECT stem, count(*) AS forms, string_agg(raw, ',' ORDER BY raw) AS names FROM s GROUP BY stem HAVING count(*) > 1""",
+    "context_text": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 8)}, t AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM b JOIN documents USING (doc_id)),
+      p AS (SELECT query_id, CASE WHEN total <= 2 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE total - rank // 2 + 1 END AS position, concat_ws(chr(10), nullif(trim(document_number), ''), nullif(trim(substr(text, 1, 300), ' '), '')) AS piece FROM t)
+      SELECT query_id, string_agg(piece, chr(10) || '---' || chr(10) ORDER BY position) AS context FROM p GROUP BY query_id""",
     "context_budget": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 10)}, u AS (SELECT query_id, doc_id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b JOIN documents USING (doc_id))
       SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= 15000""",
     "hinted_missing": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 20, 'doc_contexts', 'doc_title')}, {_graph._BASE}, f AS (SELECT query_id, doc_id AS id FROM b),

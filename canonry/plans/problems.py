@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canonry.functions.text import known, letters_digits
-from canonry.functions.times import utc_seconds, utc_text
+from canonry.functions.times import ABBREVIATIONS, utc_seconds, utc_text
 from canonry.operators.history import attribute_history, day_value, status_value
 from canonry.operators.orphans import orphan_cascade
 from canonry.operators.packed import split_packed
@@ -128,10 +128,41 @@ cas(k, depth) AS (SELECT DISTINCT o.k, 1 FROM owned o JOIN direct d ON d.record_
 first AS (SELECT k, min(depth) AS depth FROM cas GROUP BY k)
 """
 
+def _p4_sql() -> str:
+    """The same rules in DuckDB: patterns by number, calendar by cast, zones by its own library."""
+    date, dmy, clock, zone = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?:\s?([ap])m\b)?", r"(?:\s?\[?([a-z]+(?:[/_+-][a-z0-9_+-]+)*|[+-]\d{2}(?::?\d{2})?)\]?)?"
+    months = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+    forms = [
+        (f"^{date}$", "12300000"), (f"^{dmy}$", "32100000"), (r"^(\d{4})(\d{2})(\d{2})$", "12300000"), (f"^{date}[t ]{clock}{zone}$", "12345678"), (f"^{dmy}[t ,]\\s?{clock}{zone}$".replace("\\\\", "\\"), "32145678"),
+        (r"^(\d{1,2}) gio (\d{1,2})(?: phut)?,? (?:ngay )?" + dmy + "$", "54312000"), (r"^(?:ngay )?(\d{1,2}) thang (\d{1,2}),? nam (\d{4})$", "32100000"),
+        (r"^(?:[a-z]{3,9},? )?(\d{1,2})[ -]" + months + r"[ -](\d{4})$", "32100000"), (r"^(?:[a-z]{3,9},? )?(\d{1,2})[ -]" + months + r"[ -](\d{4}) " + clock + zone + "$", "32145678"),
+    ]
+    which = "CASE " + " ".join(f"WHEN regexp_matches(s, '{f}') THEN {n}" for n, (f, _) in enumerate(forms)) + " END"
+    part = lambda slot: "CASE w " + " ".join(f"WHEN {n} THEN regexp_extract(s, '{f}', {g[slot]})" for n, (f, g) in enumerate(forms) if g[slot] != "0") + " ELSE '' END"
+    offsets = "CASE z " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ABBREVIATIONS.items()) + r" ELSE CASE WHEN regexp_full_match(z, '[+-]\d{2}(:?\d{2})?') THEN (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (60 * CAST(z[2:3] AS INTEGER) + coalesce(TRY_CAST(right(replace(z[4:], ':', ''), 2) AS INTEGER), 0)) END END"
+    return f"""
+WITH v AS (SELECT 'promulgation_date' AS field_name, doc_id AS record_id, zone_hint, promulgation_date AS raw FROM doc_contexts UNION ALL SELECT 'final_effective_date', doc_id, zone_hint, final_effective_date FROM doc_contexts
+  UNION ALL SELECT 'issuance_date', CAST(row_id AS VARCHAR), zone_hint, issuance_date FROM corpus_metadata),
+f AS (SELECT *, replace(lower(strip_accents(trim(regexp_replace(raw, '\\s+', ' ', 'g')))), 'đ', 'd') AS s FROM v),
+m AS (SELECT *, {which} AS w FROM f),
+p AS (SELECT *, {part(0)} AS y, {part(1)} AS mo, {part(2)} AS d, {part(3)} AS h, {part(4)} AS mi, {part(5)} AS se, {part(6)} AS ap, {part(7)} AS z FROM m),
+q AS (SELECT *, {offsets} AS off, (SELECT any_value(name) FROM pg_timezone_names() WHERE lower(name) = z AND contains(name, '/')) AS region,
+  CASE ap WHEN '' THEN coalesce(TRY_CAST(h AS INTEGER), 0) ELSE CASE WHEN CAST(h AS INTEGER) BETWEEN 1 AND 12 THEN CAST(h AS INTEGER) % 12 + CASE ap WHEN 'p' THEN 12 ELSE 0 END ELSE 99 END END AS hour,
+  coalesce(TRY_CAST(mo AS INTEGER), list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], mo)) AS month FROM p),
+t AS (SELECT *, CASE WHEN hour < 24 AND coalesce(TRY_CAST(mi AS INTEGER), 0) < 60 AND coalesce(TRY_CAST(se AS INTEGER), 0) < 60 THEN
+  TRY_CAST(CASE WHEN length(y) = 2 THEN '20' || y ELSE y END || '-' || lpad(CAST(month AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') || ' ' || lpad(CAST(hour AS VARCHAR), 2, '0') || ':' || lpad(CASE mi WHEN '' THEN '0' ELSE mi END, 2, '0') || ':' || CASE se WHEN '' THEN '00' ELSE se END AS TIMESTAMP) END AS wall FROM q),
+u AS (SELECT *, CASE WHEN regexp_full_match(s, '\\d{{12,18}}') THEN epoch_ms(CAST(s AS BIGINT)) WHEN regexp_full_match(s, '\\d{{9,11}}') THEN epoch_ms(CAST(s AS BIGINT) * 1000)
+  WHEN off IS NOT NULL THEN wall - to_minutes(off) WHEN z <> '' AND region IS NULL THEN NULL
+  ELSE CASE WHEN timezone(coalesce(region, zone_hint, 'Asia/Ho_Chi_Minh'), timezone(coalesce(region, zone_hint, 'Asia/Ho_Chi_Minh'), wall) - INTERVAL 1 HOUR) = wall THEN timezone('UTC', timezone(coalesce(region, zone_hint, 'Asia/Ho_Chi_Minh'), wall) - INTERVAL 1 HOUR)
+    ELSE timezone('UTC', timezone(coalesce(region, zone_hint, 'Asia/Ho_Chi_Minh'), wall)) END END AS utc FROM t)
+SELECT field_name, record_id, strftime(utc, '%Y-%m-%d %H:%M:%S') AS utc_time FROM u WHERE utc IS NOT NULL"""
+
+
 QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
 SQL = {
     "p1_found": _P1_STATES + "SELECT doc_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d %H:%M:%S'), '') AS valid_to FROM fin WHERE change <> 'deleted'",
     "p1_history": _P1_STATES + "SELECT doc_id, st AS doc_status, dt AS final_effective_date, ac AS is_active, change, valid_from, valid_to FROM fin WHERE change <> 'deleted'",
+    "p4_found": _p4_sql(),
     "p6_found": _P6_REFS + "SELECT DISTINCT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, record_id, ref_pos FROM direct",
     "p6_report": _P6_REFS + """SELECT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, count(*) FILTER (orphan = 'direct') AS direct, count(*) FILTER (orphan = 'inherited') AS inherited, CAST(max(depth) AS INTEGER) AS deepest
       FROM (SELECT ref_field, ref_time, 'direct' AS orphan, 0 AS depth FROM direct UNION ALL SELECT e.ref_field, e.ref_time, 'inherited', f.depth FROM edges e JOIN first f ON f.k = e.k) GROUP BY ALL""",
