@@ -128,6 +128,16 @@ cas(k, depth) AS (SELECT DISTINCT o.k, 1 FROM owned o JOIN direct d ON d.record_
 first AS (SELECT k, min(depth) AS depth FROM cas GROUP BY k)
 """
 
+_P2 = r"""
+WITH v AS (SELECT 'sectors_str' AS field_name, doc_id AS record_id, sectors_str AS raw FROM doc_contexts UNION ALL SELECT 'legal_sectors', CAST(row_id AS VARCHAR), legal_sectors FROM corpus_metadata UNION ALL SELECT 'signers', CAST(row_id AS VARCHAR), signers FROM corpus_metadata),
+t AS (SELECT field_name, record_id, regexp_replace(regexp_replace(raw, '^\s*\[(.*)\]\s*$', '\1', 's'), '\s*/\s+|\s+/', ';', 'g') AS s FROM v WHERE raw IS NOT NULL),
+p AS (SELECT field_name, record_id, regexp_extract_all(s, '(?:\\.|"(?:[^"\\]|""|\\.)*"|“[^”]*”|''(?:[^''\\]|\\.)*''|[^,;|\n\t，；•、"“''\\])+') AS l FROM t),
+c AS (SELECT field_name, record_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(replace(regexp_replace(regexp_replace(trim(x, E' \t\n\r'), '^"(.*)"(:[^":]*)?$', '\1\2', 's'), '^(?:“([^”]*)”|''(.*)'')(:[^:]*)?$', '\1\2\3', 's'), '""', '"'), '\\(.)', '\1', 'g'), E' \t\n\r')),
+  lambda x: lower(x) NOT IN ('', 'n/a', 'nan', 'none', 'chung')) AS l FROM p)
+SELECT field_name, record_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS val FROM c
+"""
+
+
 def _p4_sql() -> str:
     """The same rules in DuckDB: patterns by number, calendar by cast, zones by its own library."""
     date, dmy, clock, zone = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})", r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?:\s?([ap])m\b)?", r"(?:\s?\[?([a-z]+(?:[/_+-][a-z0-9_+-]+)*|[+-]\d{2}(?::?\d{2})?)\]?)?"
@@ -162,6 +172,7 @@ QUERIES = {"p1_found": p1_found, "p1_history": p1_history, "p2_found": p2_found,
 SQL = {
     "p1_found": _P1_STATES + "SELECT doc_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d %H:%M:%S'), '') AS valid_to FROM fin WHERE change <> 'deleted'",
     "p1_history": _P1_STATES + "SELECT doc_id, st AS doc_status, dt AS final_effective_date, ac AS is_active, change, valid_from, valid_to FROM fin WHERE change <> 'deleted'",
+    "p2_found": _P2,
     "p4_found": _p4_sql(),
     "p6_found": _P6_REFS + "SELECT DISTINCT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, record_id, ref_pos FROM direct",
     "p6_report": _P6_REFS + """SELECT ref_field, strftime(ref_time, '%Y-%m') AS ref_month, count(*) FILTER (orphan = 'direct') AS direct, count(*) FILTER (orphan = 'inherited') AS inherited, CAST(max(depth) AS INTEGER) AS deepest
