@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canonry.llm.canonical import map_values
+from canonry.llm.canonical import TITLES, map_values
 from canonry.llm.conversations import conversations, fold_events
 from canonry.llm.leakage import leaked_items
 from canonry.llm.mojibake import garbled
@@ -112,7 +112,33 @@ v AS (SELECT item_id, regexp_extract_all(replace(lower(strip_accents(passage)),
 h AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(l[i:i + 11], ' '))) AS gram FROM v)
 SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)
 """
+
+
+def _p5_sql() -> str:
+    """Brute force: every distinct value against every entry, equal but for one letter after the same normalisation."""
+
+    def name(text: str, person: str) -> str:
+        """CTEs would repeat the input, so the steps are nested; `person` is a condition."""
+        plain = f"replace(lower(strip_accents(CASE WHEN trim(regexp_replace({text}, '\\([^()]*\\)', '', 'g')) = '' THEN {text} ELSE regexp_replace({text}, '\\([^()]*\\)', ' ', 'g') END)), 'đ', 'd')"
+        body = f"CASE WHEN regexp_matches({plain}, ':.*[a-z0-9]') THEN regexp_extract({plain}, '^.*:(.*)$', 1) ELSE {plain} END"
+        turned = f"CASE WHEN {person} AND regexp_matches({body}, '^[^,]*[a-z0-9][^,]*,[^,]*[a-z0-9][^,]*$') THEN regexp_replace({body}, '^([^,]*),([^,]*)$', '\\2 \\1') ELSE {body} END"
+        return f"array_to_string(regexp_extract_all(regexp_replace(regexp_replace({turned}, '\\btp\\.', 'thanh pho ', 'g'), '\\bt\\.', 'tinh ', 'g'), '[a-z0-9]+'), ' ')"
+
+    titles = "|".join(sorted(TITLES, key=len, reverse=True))
+    bare = f"CASE WHEN contains(regexp_replace(n, '^(?:(?:{titles})\\b[. ]*)+', ''), ' ') THEN regexp_replace(n, '^(?:(?:{titles})\\b[. ]*)+', '') ELSE n END"
+    return f"""
+WITH v AS (SELECT doc_id, 'authority' AS kind, 'issuing_auth' AS field_name, 1 AS pos, issuing_auth AS raw FROM doc_contexts UNION ALL SELECT doc_id, 'signer', 'signer_name', 1, signer_name FROM doc_contexts
+  UNION ALL SELECT doc_id, 'entity', 'entities.' || label, CAST(generate_subscripts(names, 1) AS INTEGER), unnest(names) FROM (SELECT doc_id, unnest(map_keys(entities)) AS label, unnest(map_values(entities)) AS names FROM doc_contexts)),
+w AS (SELECT * FROM v WHERE raw IS NOT NULL AND lower(trim(raw)) NOT IN ('', 'n/a', 'nan') AND (kind, raw) NOT IN (SELECT (entry_kind, canon_name) FROM canon_names WHERE canon_name IS NOT NULL)),
+d AS (SELECT kind, raw, {bare} AS n FROM (SELECT DISTINCT kind, raw, {name('raw', "kind = 'signer'")} AS n FROM w)),
+c AS (SELECT kind, canon_id, {bare} AS n FROM (SELECT entry_kind AS kind, canon_id, {name('x', 'false')} AS n FROM (SELECT entry_kind, canon_id, unnest([canon_name, short_form]) AS x FROM canon_names) WHERE x IS NOT NULL)),
+m AS (SELECT d.kind, d.raw, c.canon_id, least(damerau_levenshtein(d.n, c.n), damerau_levenshtein(array_to_string(list_sort(string_split(d.n, ' ')), ' '), array_to_string(list_sort(string_split(c.n, ' ')), ' '))) AS dist FROM d JOIN c ON c.kind = d.kind AND abs(length(c.n) - length(d.n)) <= 1),
+b AS (SELECT kind, raw, arg_min(canon_id, (dist, canon_id)) AS canon_id FROM m WHERE dist <= 1 GROUP BY kind, raw)
+SELECT w.doc_id, w.field_name, w.pos, coalesce(b.canon_id, 0) AS canon_id FROM w LEFT JOIN b ON b.kind = w.kind AND b.raw = w.raw"""
+
+
 SQL = {
+    "p5_found": _p5_sql(),
     "p3_found": "SELECT DISTINCT 'chunk_text' AS field_name, chunk_id AS item_id FROM chunks WHERE length(chunk_text) > 2000 UNION SELECT 'document_toc', doc_id FROM doc_contexts WHERE length(document_toc) > 2000",
     "p7_found": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
     "p7_conversations": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id, role, content FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
