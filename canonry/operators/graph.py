@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from canonry.functions.text import known, squeeze
 from canonry.session import checkpointed
@@ -124,7 +123,12 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__r")).select(*key, "__r.*")
 
 
-def levels(chunks: DataFrame, document: str, article: str, order: list[Column | str]) -> DataFrame:
-    """`level`: the first row of an article is its node, later ones are leaves."""
-    place = Window.partitionBy(document, article).orderBy(*order)
-    return chunks.withColumn("level", F.when(F.row_number().over(place) == 1, "article").otherwise("leaf"))
+def levels(chunks: DataFrame, document: str, article: str, order: list[str]) -> DataFrame:
+    """`level`: the first row of an article is its node, later ones are leaves.
+
+    The first is found by an aggregate, so an article of any size isn't
+    gathered; `order` must be total within an article.
+    """
+    first = chunks.groupBy(document, article).agg(F.min(F.struct(*order)).alias("__first")).select(F.col(document).alias("__d"), F.col(article).alias("__a"), "__first")
+    joined = chunks.join(first, chunks[document].eqNullSafe(F.col("__d")) & chunks[article].eqNullSafe(F.col("__a")))
+    return joined.withColumn("level", F.when(F.struct(*order).eqNullSafe(F.col("__first")), "article").otherwise("leaf")).drop("__d", "__a", "__first")

@@ -11,6 +11,7 @@ from canonry.functions import vocabulary as V
 from canonry.functions.text import fold, squeeze
 from canonry.operators import retrieval as R
 from canonry.operators.models import OverlapReranker, rename_report, rerank
+from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
 from canonry.plans.graph import links
 from canonry.plans.retrieval import FOLD, _keyword, _questions, folded_words
@@ -58,8 +59,8 @@ def text_citations(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_order(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every chunk in its document by the numbers in its id."""
-    rows = table(spark, folder, "chunks").select("document_id", "chunk_id").distinct()
-    return rows.select("document_id", "chunk_id", F.row_number().over(Window.partitionBy("document_id").orderBy(L.order_key("chunk_id"))).alias("place"))
+    rows = table(spark, folder, "chunks").select("document_id", "chunk_id").distinct().withColumn("key", L.order_key("chunk_id"))
+    return Ordered(rows, ["document_id"], F.col("key.c"), [F.col("key")]).row_number("place").rows().select("document_id", "chunk_id", F.col("place").cast("int").alias("place"))
 
 
 def article_bodies(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from canonry.functions.text import known, letters_digits, squeeze
 from canonry.operators import graph as G
@@ -168,8 +167,8 @@ def same_authority(spark: SparkSession, folder: str) -> DataFrame:
 def article_siblings(spark: SparkSession, folder: str) -> DataFrame:
     """For every chunk the number of other chunks of its article and the first of them."""
     rows = table(spark, folder, "chunks").where(F.col("article_ref") != "").select("document_id", "article_ref", "chunk_id").distinct()
-    per = Window.partitionBy("document_id", "article_ref")
-    return rows.select("chunk_id", "document_id", (F.count("*").over(per) - 1).alias("others"), F.min("chunk_id").over(per).alias("first"))
+    per = rows.groupBy("document_id", "article_ref").agg((F.count("*") - 1).alias("others"), F.min("chunk_id").alias("first"))
+    return rows.join(per, ["document_id", "article_ref"]).select("chunk_id", "document_id", "others", "first")
 
 
 def keyword_union(spark: SparkSession, folder: str) -> DataFrame:
