@@ -15,7 +15,7 @@ BLANK = r"[\s\p{Z}\x{200B}\x{FEFF}]"
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Characters that decompose to one ASCII letter or digit, and those; by rule, not by list."""
+    """Characters that decompose to one ASCII letter or digit, and those; then the marks to remove. By rule, not by list."""
     source, target = [], []
     for code in range(0xA1, min(0x10000, sys.maxunicode)):
         if 0xD800 <= code <= 0xDFFF:
@@ -26,14 +26,16 @@ def _fold_table() -> tuple[str, str]:
         if len(letters) == 1 and letters[0].isascii() and letters[0].isalnum():
             source.append(char)
             target.append(letters[0].lower())
-    return "".join(source) + "đĐ", "".join(target) + "dd"
+    # characters beyond the length of the target are removed: the combining marks of the Unicode blocks for them
+    marks = [chr(c) for a, b in ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)) for c in range(a, b + 1)]
+    return "".join(source) + "đĐ" + "".join(marks), "".join(target) + "dd"
 
 
 def fold(col: Column | str) -> Column:
     """Lower case without accents, in any Unicode form, with đ as d. Null stays null."""
     source, target = _fold_table()
     col = F.col(col) if isinstance(col, str) else col
-    return F.translate(F.regexp_replace(F.lower(col), r"\p{M}+", ""), source, target)
+    return F.translate(F.lower(col), source, target)
 
 
 def squeeze(col: Column | str) -> Column:
