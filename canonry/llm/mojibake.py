@@ -47,9 +47,30 @@ _UNIT = re.compile(r"^[±≈~]?[\d.,]*(?:µ|μ)(?:m|g|l|L|s|A|V|F|W|mol)[²³]?$
 #: Characters outside of which a text is looked at closer.
 _PLAIN = "\\x00-\\x7f" + "".join(sorted({c for base in "aăâeêioôơuưy" for tone in ("", *_TONES) for form in (base, base.upper()) for c in unicodedata.normalize("NFC", form + tone) if ord(c) > 127})) + "đĐ“”‘’–—…•°̛̣̀́̂̃̆̉"
 #: Regular expression that every text with a possible case matches: a character out of the plain ones, or plain ones in an order that words don't have.
-SUSPECT = f"[^{_PLAIN}]|[ÃÂáâ][“”‘’–—…•]|[a-z][ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝ]|a[âáàùúãõ]|e[âáàùúãõ]|o[âùúãõ]"
-#: Sequences that a wrong decoding leaves and writing doesn't.
-_CLUE = re.compile("á[º»][^\\s.,;:)?!]|[ÃÂÄÅÆĂ][\xa0“”‘’‚„–—…•»«°§©®¡-¿]|â€|[ÂÃГ├√Ă]\xa0")
+SUSPECT = f"[^{_PLAIN}]|[ÃÂáâ][“”‘’–—…•°]|[a-z][ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝ]|a[âáàùúãõ]|e[âáàùúãõ]|o[âùúãõ]"
+#: Sequences that a wrong decoding leaves and writing doesn't. A quote mark or dash that ends a word after Â or Ã may be just that.
+_CAPITAL = "A-Z" + "".join(sorted({c for c in (chr(i) for i in range(0xC0, 0x1EFA)) if c.isupper() and (c < "ſ" or c in "ƠƯ" or c >= "Ẁ")}))
+_CLUE = re.compile(
+    "á[º»][^\\s.,;:)?!]|[ÃÂ][“”‘’–—…•](?=\\w)|[ÃÂ][‚„«°§©®¡-º¼-¿]|(?<!«)[ÃÂ]»|[ÄÅÆĂ][\xa0“”‘’‚„–—…•»«°§©®¡-¿]|â€|[Г├√Ă]\xa0"
+    # Â or Ã before a no-break space inside words in capitals is a letter
+    f"|[ÂÃ]\xa0(?![{_CAPITAL}])|(?<![{_CAPITAL}])[ÂÃ]\xa0"
+)
+#: Signs whose misread forms are known as such even where they stand alone.
+_SIGNS = "’‘“”–—…•«»§°½¼¾£€©®™±µ·×"
+
+
+def _sloppy(text: str, encoding: str) -> str:
+    """UTF-8 bytes of a text read as `encoding`; bytes without a character become C1 controls."""
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode("utf-8"))
+
+
+@lru_cache(maxsize=1)
+def _misread() -> tuple[frozenset[str], re.Pattern[str], frozenset[str]]:
+    """Second characters of misread signs, a pattern of those that aren't all letters, and those that are."""
+    once = {_sloppy(c, e) for e in WRONG for c in _SIGNS}
+    forms = once | {_sloppy(_sloppy(c, e), e) for e in WRONG for c in _SIGNS}
+    mixed = sorted((f for f in forms if not f.isalpha()), key=len, reverse=True)
+    return frozenset(f[1] for f in forms), re.compile("|".join(map(re.escape, mixed))), frozenset(f for f in forms if f.isalpha())
 
 
 def _is_syllable(word: str) -> bool:
@@ -68,7 +89,11 @@ def cost(token: str) -> float:
     if token.isascii():
         return 0.0
     core = unicodedata.normalize("NFC", token)
-    total = 3.0 * sum(c == "\ufffd" or "\x80" <= c <= "\x9f" or c == "\xad" for c in core) + 2.0 * len(_CLUE.findall(core))
+    second, mixed, lettered = _misread()
+    signs = 0.0
+    if any(c in second for c in core):
+        signs = sum(1.0 + 0.5 * len(f) for f in mixed.findall(re.sub("«[ÂÃ]»", "", core))) + (1.0 + 0.5 * len(core) if core in lettered else 0.0)
+    total = signs + 3.0 * sum(c == "\ufffd" or "\x80" <= c <= "\x9f" or c == "\xad" for c in core) + 2.0 * len(_CLUE.findall(core))
     return total + sum(_piece_cost(p) for p in re.split("[\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", core) if not p.isascii())
 
 
@@ -87,7 +112,7 @@ def _piece_cost(core: str) -> float:
     if trimmed and tail and trimmed[-1].isalpha() and tail[0] in "§©®™¡¿‚„‹·°":
         total += 1.5
     if not trimmed:
-        return 2.0 * max(0, sum(c in "§©®™¡¿‚„‹›·" for c in core) - 1)
+        return 2.0 * max(0, len({c for c in core if c in "§©®™¡¿‚„‹›·"}) - 1)
     if _UNIT.match(trimmed):
         return total
     return total + sum(_part_cost(p) for p in re.split(r"[-/.,;:()'’_|+&=]+", trimmed))

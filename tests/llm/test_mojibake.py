@@ -14,6 +14,8 @@ TEXTS = [
     "L’exploitant du réservoir doit présenter le procès-verbal de réception à la demande de l’autorité compétente",
 ]
 CORRECT = [
+    "Ông nói: “ĐÃ” rồi", "CHÂ… và LÂ—HÀ", "ĐÃ”, XÃ’, LÃ•", "São João comeu maçã; não à vista", "¿Qué pasó? ¡El Niño, señor!", "Grüße aus Köln, Maß", "Zażółć gęślą jaźń", "Чоловік ВІД Києва; «Правда» — №5", "├── src\n│   └── main.py",
+    "Điều 5 § 2; §§ 3–4; ¶ 5", "«Â», «Ã», chữ Â hoa", "a\xa0b VÀ\xa0CÁC\xa0ĐIỀU ĐÃ\xa0KÝ LÂ\xa0N", "ภาษาไทย ประกาศ", "العربية النص", "한국어 문서", "H₂O, x², 10⁻³, 5 Å", "1º, 2ª, nº 5",
     *TEXTS, "® Bản in lại © kho lưu trữ, khổ ½ trang, sai số ±2 µm, giá £3/¥400. «Ghi chú» — §4.", "Tên riêng: Ångström, Señor Ibáñez, Müller, São Tomé, Dvořák, Ærø, Þórr; ĐÃ, XÃ, GIÃN, ÂU, ÊM.",
     "​✔ Đã kiểm 🙂👩‍⚖️ 一二三  → …____ 0x1F ½", "Постановление о порядке", "Ελληνικά και μαθηματικά: π ≈ 3,14", "D&#233;cret 7864/2016/TT-TN&#272;", "=C4=90i=E1=BB=81u", "Dieu 5. Thoi han", "", "m², km², 25 °C, n° 5, 1º",
     "Điều 5. Thời hạn « de tutelle »", __import__("unicodedata").normalize("NFD", TEXTS[2]),
@@ -77,6 +79,16 @@ def test_correct_texts(text):
     assert not examine(text, proof=True)[0]
 
 
+SIGNS = [("the parties’ agreement", "’"), ("a fee — taxes included", "—"), ("the “competent body” may", "“"), ("§ 1. The unit", "§"), ("organe « de tutelle » peut", "«"), ("Act 2266/2018/TT-TNĐ", "Đ"), ("Tàu dịch vụ là", "à"), ("25 °C", "°"), ("khổ ½ trang", "½"), ("Đã bãi bỏ.", "ã")]
+
+
+@pytest.mark.parametrize("encoding", ["latin_1", "cp1252", "cp1251", "cp437", "mac_roman", "cp1258"])
+def test_single_signs(encoding):
+    for text, sign in SIGNS:
+        bad = text.replace(sign, sloppy(sign, encoding))
+        assert examine(bad, proof=True)[0] and examine(bad)[1] == text, bad
+
+
 def test_parts_and_loss():
     rng = random.Random(3)
     lines = [t if rng.random() < 0.5 else sloppy(t, "cp1252") for t in TEXTS * 4] + [sloppy(TEXTS[0], "latin_1")]
