@@ -114,7 +114,7 @@ SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)
 """
 
 
-def _p5_sql() -> str:
+def _p5_sql(columns: str = "w.doc_id, w.field_name, w.pos, coalesce(b.canon_id, 0) AS canon_id", rest: str = "") -> str:
     """Brute force: every distinct value against every entry, equal but for one letter after the same normalisation."""
 
     def name(text: str, person: str) -> str:
@@ -134,11 +134,12 @@ d AS (SELECT kind, raw, {bare} AS n FROM (SELECT DISTINCT kind, raw, {name('raw'
 c AS (SELECT kind, canon_id, {bare} AS n FROM (SELECT entry_kind AS kind, canon_id, {name('x', 'false')} AS n FROM (SELECT entry_kind, canon_id, unnest([canon_name, short_form]) AS x FROM canon_names) WHERE x IS NOT NULL)),
 m AS (SELECT d.kind, d.raw, c.canon_id, least(damerau_levenshtein(d.n, c.n), damerau_levenshtein(array_to_string(list_sort(string_split(d.n, ' ')), ' '), array_to_string(list_sort(string_split(c.n, ' ')), ' '))) AS dist FROM d JOIN c ON c.kind = d.kind AND abs(length(c.n) - length(d.n)) <= 1),
 b AS (SELECT kind, raw, arg_min(canon_id, (dist, canon_id)) AS canon_id FROM m WHERE dist <= 1 GROUP BY kind, raw)
-SELECT w.doc_id, w.field_name, w.pos, coalesce(b.canon_id, 0) AS canon_id FROM w LEFT JOIN b ON b.kind = w.kind AND b.raw = w.raw"""
+SELECT {columns} FROM w LEFT JOIN b ON b.kind = w.kind AND b.raw = w.raw {rest}"""
 
 
 SQL = {
     "p5_found": _p5_sql(),
+    "p5_unmatched": _p5_sql("w.kind, w.raw, count(*) AS n", "WHERE b.canon_id IS NULL GROUP BY ALL"),
     "p3_found": "SELECT DISTINCT 'chunk_text' AS field_name, chunk_id AS item_id FROM chunks WHERE length(chunk_text) > 2000 UNION SELECT 'document_toc', doc_id FROM doc_contexts WHERE length(document_toc) > 2000",
     "p7_found": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
     "p7_conversations": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id, role, content FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
