@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,15 +134,25 @@ def verb_groups(spark: SparkSession, folder: str) -> DataFrame:
     return every.groupBy(F.regexp_replace(L.verb_stem("raw"), "(S|ED|D)$", "").alias("stem")).agg(F.count("*").alias("forms"), F.array_join(F.array_sort(F.collect_set("raw")), ",").alias("names")).where(F.col("forms") > 1)
 
 
-def context_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The context of each question: the beginnings of its eight best documents, the best at both ends."""
-    hits = _keyword(spark, folder, 8).join(table(spark, folder, "documents").select("doc_id", "document_number", "text"), "doc_id")
+def _context(spark: SparkSession, folder: str, hits: DataFrame, content: Column) -> DataFrame:
+    """One text of each question's hits, the best at both ends; `content` is what a document gives to it."""
+    texts = hits.join(table(spark, folder, "documents").select("doc_id", "document_number", "text"), "doc_id")
     total = F.count("*").over(Window.partitionBy("query_id"))
-    placed = hits.select("query_id", R.interleaved(F.col("rank"), total).alias("position"), L.rerank_text(F.col("document_number"), F.lit(""), F.substring("text", 1, 300)).alias("piece"))
+    placed = texts.select("query_id", R.interleaved(F.col("rank"), total).alias("position"), L.rerank_text(F.col("document_number"), F.lit(""), content).alias("piece"))
     gathered = F.array_sort(F.collect_list(F.struct("position", "piece")))
     return placed.groupBy("query_id").agg(F.array_join(F.transform(gathered, lambda x: x["piece"]), "\n---\n").alias("context"))
 
 
+def context_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 300 characters of the eight best documents of each question, the best at both ends, as its SQL has it; `context_whole` has the whole texts."""
+    return _context(spark, folder, _keyword(spark, folder, 8), F.substring("text", 1, 300))
+
+
+def context_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of each question: the whole texts of its eight best documents, the best at both ends."""
+    return _context(spark, folder, _keyword(spark, folder, 8), F.col("text"))
+
+
 def processed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Document contexts made of raw texts and the last crawl of their number, without the texts."""
     return document_contexts(table(spark, folder, "documents"), table(spark, folder, "corpus_metadata"), F.lit("2024-01-01")).drop("text", "sectors")
@@ -156,7 +166,7 @@ def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        verb_groups, context_text, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
 }
