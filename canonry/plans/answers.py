@@ -13,7 +13,7 @@ from canonry.operators import retrieval as R
 from canonry.operators.models import OverlapReranker, rename_report, rerank
 from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
-from canonry.plans.graph import links
+from canonry.plans.graph import changes, links
 from canonry.plans.retrieval import FOLD, _keyword, _questions, folded_words
 from canonry.sources.tables import table
 
@@ -70,12 +70,21 @@ def article_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def changed_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Changing relations with the first chunk of the changed document's article, or null."""
+    """Changing relations with the very first chunk of the changed document, or null, as its SQL has it; `changed_article_texts` goes by the article."""
     rels = links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES", "REPEALS")).select(F.col("src").alias("by_id"), "type", F.col("dst").alias("document_id"))
     first = table(spark, folder, "chunks").groupBy("document_id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first_chunk"))
     return rels.join(first, "document_id", "left")
 
 
+def changed_article_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Changing relations with the article they change, its first chunk and that chunk's text; null where no article is named or the document hasn't got it."""
+    article = lambda c: F.nullif(F.lower(squeeze(c)), F.lit(""))
+    rels = changes(spark, folder).withColumn("__a", article("article"))
+    chunks = table(spark, folder, "chunks").select("document_id", article("article_ref").alias("__a"), F.struct("chunk_index", "chunk_id", "chunk_text").alias("c")).where(F.col("__a").isNotNull())
+    first = chunks.groupBy("document_id", "__a").agg(F.min("c").alias("c"))
+    return rels.join(first, ["document_id", "__a"], "left").select("by_id", "type", "document_id", "article", F.col("c.chunk_id").alias("first_chunk"), F.col("c.chunk_text").alias("old_text"))
+
+
 def leaf_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Number of entities by label that the document of every chunk has; chunks without any too."""
     names = table(spark, folder, "doc_contexts").select(F.col("doc_id").alias("document_id"), F.explode("entities").alias("label", "names")).groupBy("document_id").agg(F.sum(F.size("names")).alias("entities"))
@@ -166,7 +175,7 @@ def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
 }

@@ -39,6 +39,13 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     return citations(spark, folder).join(known_numbers, "dst").select("src", "type", F.col("id").alias("dst")).distinct()
 
 
+def changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Changing relations to numbers that a document has: `by_id`, `type`, `document_id`, and the `article` they name, null where none; distinct."""
+    rels = table(spark, folder, "doc_contexts").select(F.col("doc_id").alias("by_id"), F.explode("ontology_rels").alias("x")).where(F.col("x.edge_label").isin("AMENDS", "REPLACES", "REPEALS"))
+    named = rels.select("by_id", F.col("x.edge_label").alias("type"), squeeze(known("x.target_article", *_REAL)).alias("article"), _key("x.target_doc").alias("key"))
+    return named.join(numbers(spark, folder), "key").select("by_id", "type", F.col("id").alias("document_id"), "article").distinct()
+
+
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     """All edges of documents to authorities, signers, types, numbers and entities."""
     return G.document_edges(table(spark, folder, "doc_contexts"))

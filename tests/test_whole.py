@@ -18,3 +18,24 @@ def test_context_has_whole_texts(spark, folder):
     assert len(hits) > 8 and any(len(texts[h.doc_id]) > 300 for h in hits)
     for h in hits:
         assert texts[h.doc_id] in contexts[h.query_id]
+
+
+def test_changed_articles_have_their_own_text(spark, folder):
+    chunks = spark.read.parquet(f"{folder}/chunks.parquet").select("document_id", "article_ref", "chunk_index", "chunk_id", "chunk_text").collect()
+    got = rows(spark, folder, "changed_article_texts")
+    for r in got:
+        of = [(c.chunk_index, c.chunk_id, c.chunk_text) for c in chunks if r["article"] and c.document_id == r["document_id"] and (c.article_ref or "").strip().lower() == r["article"].lower()]
+        assert (r["first_chunk"], r["old_text"]) == (min(of)[1:] if of else (None, None))
+    links = {(r["by_id"], r["type"], r["document_id"]) for r in rows(spark, folder, "changed_articles")}
+    assert {(r["by_id"], r["type"], r["document_id"]) for r in got} == links
+
+
+def test_changed_article_of_a_small_case(spark, tmp_path):
+    rel = lambda article: ("1/2020/A", "2/2020/B", "AMENDS", "", "", article, True)
+    rels = "array<struct<source_doc:string,target_doc:string,edge_label:string,relation_phrase:string,context:string,target_article:string,is_cross_doc:boolean>>"
+    spark.createDataFrame([("1", "1/2020/A", [rel("Điều 2"), rel("Điều 9"), rel("")]), ("2", "2/2020/B", [])], f"doc_id string, doc_number string, ontology_rels {rels}").write.parquet(f"{tmp_path}/doc_contexts.parquet")
+    spark.createDataFrame([], "doc_id string, doc_number string").write.parquet(f"{tmp_path}/base_laws.parquet")
+    parts = [("2", "a", 1, "Điều 1", "x"), ("2", "c", 3, "điều 2", "z"), ("2", "b", 2, "Điều  2", "y")]
+    spark.createDataFrame(parts, "document_id string, chunk_id string, chunk_index int, article_ref string, chunk_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["article"], r["first_chunk"], r["old_text"]) for r in rows(spark, str(tmp_path), "changed_article_texts")}
+    assert got == {("Điều 2", "b", "y"), ("Điều 9", None, None), (None, None, None)}
