@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canonry.functions.text import known, squeeze
+from canonry.operators.packed import split_packed
 from canonry.session import checkpointed
 
 
@@ -20,7 +21,7 @@ def edge(df: DataFrame, src: Column, kind: str, dst: Column) -> DataFrame:
 
 
 def document_edges(documents: DataFrame) -> DataFrame:
-    """Distinct ISSUED_BY, SIGNED_BY, HAS_TYPE, BASED_ON, relation and HAS_ENTITY edges of document contexts; sentinels are no nodes."""
+    """Distinct ISSUED_BY, SIGNED_BY, HAS_TYPE, BASED_ON, relation and HAS_ENTITY edges of document contexts, without sectors and the tree; sentinels are no nodes."""
     real = lambda c: squeeze(known(c, "N/A", "nan"))
     doc = F.col("doc_id")
     out = edge(documents, doc, "ISSUED_BY", real("issuing_auth")).unionByName(edge(documents, doc, "SIGNED_BY", real("signer_name"))).unionByName(edge(documents, doc, "HAS_TYPE", real("legal_type_meta")))
@@ -32,6 +33,41 @@ def document_edges(documents: DataFrame) -> DataFrame:
     return out.unionByName(named).unionByName(edge(entities, doc, "HAS_ENTITY", real("name"))).distinct()
 
 
+def sector_edges(documents: DataFrame) -> DataFrame:
+    """Distinct HAS_SECTOR edges of the sectors packed in `sectors_str`."""
+    return edge(split_packed(documents, F.col("doc_id"), ["sectors_str"]), F.col("record_id"), "HAS_SECTOR", squeeze("val")).distinct()
+
+
+def tree_edges(chunks: DataFrame) -> DataFrame:
+    """Distinct edges of the tree of documents, articles, clauses and chunks; clauses only where the chunks have a `clause_ref`.
+
+    The first chunk of an article or clause that is neither a table nor a
+    continuation is that node itself; the others are chunks of their own. It
+    is found by an aggregate, so an article of any size isn't gathered.
+    """
+    filled = lambda c: F.nullif(squeeze(c), F.lit(""))
+    clause = filled("clause_ref") if "clause_ref" in chunks.columns else F.lit(None).cast("string")
+    rows = chunks.select("document_id", "chunk_id", "chunk_index", F.coalesce("is_table", F.lit(False)).alias("table"), filled("article_ref").alias("article"), clause.alias("clause")).distinct()
+    more = F.coalesce(F.contains("clause", F.lit("(tiếp theo)")) | F.contains("clause", F.lit("[")), F.lit(False))
+    bare = F.when(more, F.trim(F.regexp_replace("clause", r" \(tiếp theo\)|\[| tiếp theo\]", ""))).otherwise(F.col("clause"))
+    article = F.concat_ws("_", "document_id", "article")
+    rows = rows.withColumns({"more": more, "base": F.when(F.col("article").isNotNull(), bare), "article_id": F.when(F.col("article").isNotNull(), article)})
+    rows = rows.withColumn("clause_id", F.concat(F.col("article_id"), F.lit("_"), F.col("base"))).withColumn("node", F.coalesce("clause_id", "article_id"))
+    own = F.col("node").isNotNull() & ~F.col("table") & ~F.col("more")
+    first = rows.where(own).groupBy("node").agg(F.min(F.struct("chunk_index", "chunk_id"))["chunk_id"].alias("leaf"))
+    rows = rows.join(first, "node", "left").withColumn("part", ~F.coalesce(own & (F.col("chunk_id") == F.col("leaf")), F.lit(False)))
+    parts = rows.where("part")
+    out = edge(rows, F.col("document_id"), "HAS_ARTICLE", F.col("article_id")).unionByName(edge(rows, F.col("clause_id"), "PART_OF", F.col("article_id")))
+    out = out.unionByName(edge(parts, F.col("chunk_id"), "PART_OF", F.col("node")))
+    return out.unionByName(edge(parts.where(F.col("node").isNull()), F.col("chunk_id"), "BELONGS_TO", F.col("document_id"))).distinct()
+
+
+def phantom_edges(relations: DataFrame) -> DataFrame:
+    """Distinct BELONGS_TO edges from the articles that relations name to their documents: `id`, or one made of `number` where none is known; `article`."""
+    owner = F.coalesce(F.col("id"), F.concat(F.lit("REF_"), F.col("number")))
+    return edge(relations, F.concat(owner, F.lit("_"), F.nullif(squeeze("article"), F.lit(""))), "BELONGS_TO", owner).distinct()
+
+
 def ghosts(edges: DataFrame, vertices: DataFrame, types: list[str]) -> DataFrame:
     """Vertices that are referred to by edges of `types` but don't exist, with the number of references."""
     cited = edges.where(F.col("type").isin(types)).groupBy("dst").agg(F.count("*").alias("refs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from canonry.functions.text import known, letters_digits, squeeze
 from canonry.operators import graph as G
@@ -47,7 +48,7 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """All edges of documents to authorities, signers, types, numbers and entities."""
+    """Edges of documents to authorities, signers, types, numbers and entities, as its SQL has them; `whole_graph_edges` has the others too."""
     return G.document_edges(table(spark, folder, "doc_contexts"))
 
 
@@ -56,6 +57,19 @@ def edge_counts(spark: SparkSession, folder: str) -> DataFrame:
     return graph_edges(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
+def whole_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """All edges of the graph: those of documents, their sectors, the tree of articles and chunks, and the articles that relations name."""
+    docs = table(spark, folder, "doc_contexts")
+    rels = docs.select(F.explode("ontology_rels").alias("x")).where(F.length("x.target_article") > 0).select(squeeze(known("x.target_doc", "N/A", "nan")).alias("number"), F.col("x.target_article").alias("article")).distinct()
+    named = rels.withColumn("key", _key("number")).join(numbers(spark, folder).select("key", "id"), "key", "left")
+    return graph_edges(spark, folder).unionByName(G.sector_edges(docs)).unionByName(G.tree_edges(table(spark, folder, "chunks"))).unionByName(G.phantom_edges(named)).distinct()
+
+
+def whole_edge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All edges of the graph by type."""
+    return whole_graph_edges(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
 def ghost_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Cited numbers that no document has."""
     return G.ghosts(citations(spark, folder), numbers(spark, folder).select(F.col("key").alias("id")), ["BASED_ON", "AMENDS", "REPEALS", "REPLACES", "GUIDES", "APPLIES_TO"])
@@ -171,6 +185,15 @@ def same_authority(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.rows().select("doc_id", "authority", F.inline(ahead)).where(F.col("other").isNotNull())
 
 
+def same_sector(spark: SparkSession, folder: str) -> DataFrame:
+    """Three pairs of another document and a sector shared with it for each document, or all if fewer: the next by id first, then those before it."""
+    rows = G.sector_edges(table(spark, folder, "doc_contexts")).select(F.col("src").alias("doc_id"), F.col("dst").alias("sector"), F.col("src").try_cast("double").alias("at"))
+    ordered = Ordered(rows, ["sector"], F.col("at"), [F.col("at"), F.col("doc_id")]).lead("doc_id", "o1").lead("o1", "o2").lead("o2", "o3").lag("doc_id", "o4").lag("o4", "o5").lag("o5", "o6")
+    near = F.array(*[F.struct(F.col(f"o{i}").alias("other"), F.lit(i).alias("place")) for i in range(1, 7)])
+    found = ordered.rows().select("doc_id", "sector", F.inline(near)).where(F.col("other").isNotNull())
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "sector"))).where(F.col("n") <= 3).select("doc_id", "sector", "other", F.col("n").alias("place"))
+
+
 def article_siblings(spark: SparkSession, folder: str) -> DataFrame:
     """For every chunk the number of other chunks of its article and the first of them."""
     rows = table(spark, folder, "chunks").where(F.col("article_ref") != "").select("document_id", "article_ref", "chunk_id").distinct()
@@ -205,8 +228,8 @@ def enriched_laws(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        graph_edges, edge_counts, ghost_documents, canonical_references, closure_two, leaf_levels, document_tree, admin_card, time_travel, conflicts_by_article, chain_two, chains_two_three,
-        reverse_basis, one_hop, two_hop, path_length, impact_three, rare_siblings, same_authority, article_siblings, keyword_union, cross_authority, enriched_laws,
+        graph_edges, edge_counts, whole_graph_edges, whole_edge_counts, ghost_documents, canonical_references, closure_two, leaf_levels, document_tree, admin_card, time_travel, conflicts_by_article, chain_two, chains_two_three,
+        reverse_basis, one_hop, two_hop, path_length, impact_three, rare_siblings, same_authority, same_sector, article_siblings, keyword_union, cross_authority, enriched_laws,
     )
 }
 

@@ -39,3 +39,41 @@ def test_changed_article_of_a_small_case(spark, tmp_path):
     spark.createDataFrame(parts, "document_id string, chunk_id string, chunk_index int, article_ref string, chunk_text string").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {(r["article"], r["first_chunk"], r["old_text"]) for r in rows(spark, str(tmp_path), "changed_article_texts")}
     assert got == {("Điều 2", "b", "y"), ("Điều 9", None, None), (None, None, None)}
+
+
+def test_tree_sectors_and_phantoms(spark):
+    from canonry.operators import graph as G
+
+    parts = [
+        ("d", "t", 0, "Điều 1", None, True), ("d", "a", 1, "Điều 1", None, False), ("d", "a", 1, "Điều 1", None, False), ("d", "b", 2, "Điều 1", "", False), ("d", "c", 3, "Điều 2", "Khoản 1", None),
+        ("d", "e", 4, "Điều 2", "Khoản 1 (tiếp theo)", False), ("d", "f", 5, "Điều 2", "[Khoản 1 tiếp theo]", False), ("d", "o", 6, "", "Khoản 9", False), ("d", "p", 7, None, None, False),
+    ]
+    chunks = spark.createDataFrame(parts, "document_id string, chunk_id string, chunk_index int, article_ref string, clause_ref string, is_table boolean")
+    assert sorted((r.src, r.type, r.dst) for r in G.tree_edges(chunks).collect()) == sorted([
+        ("d", "HAS_ARTICLE", "d_Điều 1"), ("d", "HAS_ARTICLE", "d_Điều 2"), ("t", "PART_OF", "d_Điều 1"), ("b", "PART_OF", "d_Điều 1"), ("d_Điều 2_Khoản 1", "PART_OF", "d_Điều 2"),
+        ("e", "PART_OF", "d_Điều 2_Khoản 1"), ("f", "PART_OF", "d_Điều 2_Khoản 1"), ("o", "BELONGS_TO", "d"), ("p", "BELONGS_TO", "d"),
+    ])
+    docs = spark.createDataFrame([("1", 'Y tế; "Thuế, phí";Y tế'), ("2", "Chung"), ("3", None)], "doc_id string, sectors_str string")
+    assert sorted((r.src, r.type, r.dst) for r in G.sector_edges(docs).collect()) == [("1", "HAS_SECTOR", "Thuế, phí"), ("1", "HAS_SECTOR", "Y tế")]
+    rels = spark.createDataFrame([("7", "1/2020/A", "Điều 3"), (None, "9/2020/X", "Điều 4"), (None, None, "Điều 5"), ("7", "1/2020/A", "")], "id string, number string, article string")
+    assert sorted((r.src, r.type, r.dst) for r in G.phantom_edges(rels).collect()) == [("7_Điều 3", "BELONGS_TO", "7"), ("REF_9/2020/X_Điều 4", "BELONGS_TO", "REF_9/2020/X")]
+
+
+def test_whole_graph_and_same_sector(spark, folder):
+    edges = {(r["src"], r["type"], r["dst"]) for r in rows(spark, folder, "whole_graph_edges")}
+    assert edges > {(r["src"], r["type"], r["dst"]) for r in rows(spark, folder, "graph_edges")}
+    chunks = spark.read.parquet(f"{folder}/chunks.parquet").select("document_id", "article_ref", "chunk_id").distinct().collect()
+    parents = {s for s, t, _ in edges if t in ("PART_OF", "BELONGS_TO")}
+    assert {(c.document_id, f"{c.document_id}_{c.article_ref}") for c in chunks if c.article_ref} == {(s, d) for s, t, d in edges if t == "HAS_ARTICLE"}
+    assert {c.chunk_id for c in chunks if not c.article_ref} <= parents
+    of = {}
+    for s, t, d in edges:
+        if t == "HAS_SECTOR":
+            of.setdefault(s, set()).add(d)
+    got = {}
+    for r in rows(spark, folder, "same_sector"):
+        assert r["sector"] in of[r["doc_id"]] & of[r["other"]] and r["doc_id"] != r["other"]
+        got.setdefault(r["doc_id"], set()).add((r["other"], r["sector"]))
+    for doc, sectors in of.items():
+        pairs = sum(len(sectors & other) for o, other in of.items() if o != doc)
+        assert len(got.get(doc, ())) == min(3, pairs)
