@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +126,143 @@ def bm25_topk(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_
     return ranked(scored.withColumn("score", F.round("score", 9)), k, key)
 
 
+def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
+    """The arrays cut to the `k` best scores of every query; ties go to the lower key."""
+    order = np.lexsort((key, -score, query))
+    sorted_query = query[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query)
+    kept = order[place < k]
+    return [x[kept] for x in (query, key, score, *more)]
+
+
+def _word_blocks(queries: DataFrame, asked: Column, size: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Blocks of at most `size` queries: their ids, their distinct words, and which query (column) has which word (row)."""
+    def built(held: list) -> tuple[np.ndarray, list[str], np.ndarray]:
+        vocabulary = sorted({w for r in held for w in r.w})
+        at = {w: i for i, w in enumerate(vocabulary)}
+        has = np.zeros((len(vocabulary), len(held)), bool)
+        for q, r in enumerate(held):
+            has[[at[w] for w in r.w], q] = True
+        return np.array([r.q for r in held], np.int64), vocabulary, has
+
+    held = []
+    for r in queries.select(F.col("query_id").cast("long").alias("q"), F.array_distinct(asked).alias("w")).where(F.size("w") > 0).toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield built(held)
+            held = []
+    if held:
+        yield built(held)
+
+
+def _top(scores: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, query) of the scores that may be among a query's best `k` and reach `least`; ties with the last one too."""
+    bar = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], least)
+    return np.nonzero((scores >= np.maximum(bar, least)[None]) & (scores > 0))
+
+
+def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, tokens=words, block: int = 1024, step: int = 1000, words_at_once: int = 2048) -> DataFrame:
+    """The rows of `bm25_topk` for so many queries that their matches can't be shuffled.
+
+    Queries go to the executors in blocks, each two passes over the documents:
+    one counts the block's words, one scores `step` documents against the
+    block by matrix products and keeps the best `k` of each query in a task.
+    """
+    kind = documents.schema[key].dataType
+    listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w"))
+    counts_schema = "word long, n long, size long"
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
+    context, parts = documents.sparkSession.sparkContext, []
+
+    def found(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Length of every document; row, word and count of the words that occur."""
+        lists = batch["w"]
+        size = np.diff(lists.offsets.to_numpy())
+        ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)
+        pairs, tf = np.unique(row[ids >= 0].astype(np.int64) * max(len(vocabulary), 1) + ids[ids >= 0], return_counts=True)
+        return size, pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1), tf
+
+    for ids, vocabulary, has in _word_blocks(queries, tokens("query"), block):
+        shared = context.broadcast((ids, vocabulary, has))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names = pa.array(shared.value[1], pa.string())
+            df, docs, total = np.zeros(len(names), np.int64), 0, 0
+            for batch in batches:
+                size, _, word, _ = found(batch, names)
+                df += np.bincount(word, minlength=len(names))
+                docs, total = docs + len(size), total + int(size.sum())
+            word = np.append(np.flatnonzero(df), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.append(df[df > 0], docs)), pa.array(np.append(np.zeros(len(word) - 1, np.int64), total))], ["word", "n", "size"])
+
+        df = np.zeros(len(vocabulary))
+        docs = total = 0
+        for r in listed.mapInArrow(count, counts_schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect():
+            if r.word < 0:
+                docs, total = r.n, r["size"]
+            else:
+                df[r.word] = r.n
+        weights = context.broadcast((np.log(1 + (docs - df + 0.5) / (df + 0.5)), total / docs if total else 1.0))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, weights=weights) -> Iterator[pa.RecordBatch]:
+            (ids, vocabulary, has), (idf, mean) = shared.value, weights.value
+            names, best = pa.array(vocabulary, pa.string()), None
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    size, row, word, tf = found(batch, names)
+                    weight = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
+                    used, place = np.unique(word, return_inverse=True)
+                    scores = np.zeros((len(size), len(ids)))
+                    for at in range(0, len(used), words_at_once):
+                        inside = (place >= at) & (place < at + words_at_once)
+                        dense = np.zeros((len(size), len(used[at : at + words_at_once])))
+                        dense[row[inside], place[inside] - at] = weight[inside]
+                        scores += dense @ has[used[at : at + words_at_once]].astype(np.float64)
+                    scores = np.round(scores, 9)
+                    r, q = _top(scores, 0.0, k)
+                    keys = np.array(batch[key].to_pylist())
+                    new = [ids[q], keys[r], scores[r, q]]
+                    best = _best(*(np.concatenate(x) for x in zip(best, new)), k) if best else _best(*new, k)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1].tolist(), pa.string() if isinstance(kind, T.StringType) else pa.int64()), pa.array(best[2])], schema.names)
+
+        parts.append(listed.mapInArrow(run, schema))
+    if not parts:
+        return documents.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    return ranked(reduce(DataFrame.unionByName, parts), k, key)
+
+
+def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str, least: int = 2, per_hit: float = 0.1, most: int = 10, longer_than: int = 3, block: int = 1024, step: int = 1000) -> DataFrame:
+    """`keyword_rescue` for each of many queries: a text is searched once for every distinct word of a block of them."""
+    asked = F.filter(words("query"), lambda w: F.length(w) > longer_than)
+    lowered = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("t"))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, T.LongType()), T.StructField("hits", T.IntegerType())])
+    parts = []
+    for found in _word_blocks(queries, asked, block):
+        shared = documents.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (ids, vocabulary, has), best = shared.value, None
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
+                    hits = np.zeros((batch.num_rows, len(ids)), np.float32)
+                    for at in range(0, len(vocabulary), 512):
+                        inside = np.stack([pc.match_substring(batch["t"], w).to_numpy(zero_copy_only=False) for w in vocabulary[at : at + 512]], axis=1)
+                        hits += inside.astype(np.float32) @ has[at : at + 512].astype(np.float32)
+                    r, q = _top(hits, float(least), most)
+                    new = [ids[q], batch[key].to_numpy(zero_copy_only=False)[r], hits[r, q]]
+                    best = _best(*(np.concatenate(x) for x in zip(best, new)), most) if best else _best(*new, most)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2].astype(np.int32))], schema.names)
+
+        parts.append(lowered.mapInArrow(run, schema))
+    hits = reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
+    return ranked(hits.withColumn("score", F.round(F.col("hits") * per_hit, 6)), most, key)
+
+
 def _few(words: DataFrame, most: int = 100_000) -> bool:
     """Whether there are at most `most` rows, so that they may be sent to every executor."""
     return words.limit(most + 1).count() <= most

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,7 @@ from canonry.operators.models import OverlapReranker, rename_report, rerank
 from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
 from canonry.plans.graph import changes, links
-from canonry.plans.retrieval import FOLD, _keyword, _questions, folded_words
+from canonry.plans.retrieval import FOLD, _keyword, _questions, every_question, folded_words
 from canonry.sources.tables import table
 
 
@@ -35,9 +37,10 @@ def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("used", used).where(F.col("used") <= 15_000).select("query_id", "doc_id", "rank", "used")
 
 
-def hinted_missing(spark: SparkSession, folder: str) -> DataFrame:
+def hinted_missing(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Up to three documents that a question's hits by title cite and that aren't hits themselves."""
-    found = R.bm25_topk(table(spark, folder, "doc_contexts"), _questions(spark), 20, text="doc_title", tokens=folded_words).select("query_id", F.col("doc_id").alias("id"))
+    search, asked = (R.bm25_every, every_question(spark, folder)) if every else (R.bm25_topk, _questions(spark))
+    found = search(table(spark, folder, "doc_contexts"), asked, 20, text="doc_title", tokens=folded_words).select("query_id", F.col("doc_id").alias("id"))
     near = found.join(links(spark, folder).select(F.col("src").alias("id"), "dst"), "id").select("query_id", F.col("dst").alias("id")).distinct()
     missing = near.join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.25))
     return R.ranked(missing, 3, "id").select("query_id", "id", "score")
@@ -157,9 +160,9 @@ def context_text(spark: SparkSession, folder: str) -> DataFrame:
     return _context(spark, folder, _keyword(spark, folder, 8), F.substring("text", 1, 300))
 
 
-def context_whole(spark: SparkSession, folder: str) -> DataFrame:
+def context_whole(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """The context of each question: the whole texts of its eight best documents, the best at both ends."""
-    return _context(spark, folder, _keyword(spark, folder, 8), F.col("text"))
+    return _context(spark, folder, _keyword(spark, folder, 8, every=every), F.col("text"))
 
 
 def processed_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +181,7 @@ QUERIES = {
         verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
-}
+} | {f"{f.__name__}_all": partial(f, every=True) for f in (context_whole, hinted_missing)}
 
 from canonry.plans import graph as _graph  # noqa: E402
 from canonry.plans import retrieval as _retrieval  # noqa: E402

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from canonry.functions.text import fold, letters_digits
 from canonry.operators import retrieval as R
 from canonry.sources.tables import table
 
-#: The questions of the keyword and hybrid queries: id, text, and the embedding row that stands for the question.
+#: The questions of the keyword and hybrid queries that SQL checks; those named `..._all` ask the whole query set: id, text, and the embedding row that stands for the question.
 QUESTIONS = [(1, "thời hạn của giấy phép khai thác cát sỏi", 10), (2, "kế hoạch nạo vét luồng và bến bãi", 20), (3, "the applicant file on request of the competent body", 30)]
 
 
@@ -23,6 +25,11 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id long, query string, vec_id long")
 
 
+def every_question(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set of searches: the text of every document whose id is divisible by 100."""
+    return table(spark, folder, "documents").where((F.col("doc_id") % 100 == 0) & F.col("text").isNotNull()).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _vector(embeddings: DataFrame, key: int) -> list[float]:
     """One stored vector, looked up by its key."""
     return list(embeddings.where(F.col("vec_id") == key).select("embedding").first()[0])
@@ -60,45 +67,46 @@ def session_priority(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-def _keyword(spark: SparkSession, folder: str, k: int, where: Column | None = None) -> DataFrame:
+def _keyword(spark: SparkSession, folder: str, k: int, where: Column | None = None, every: bool = False) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return R.bm25_topk(docs if where is None else docs.where(where), _questions(spark), k, tokens=folded_words)
+    docs = docs if where is None else docs.where(where)
+    return R.bm25_every(docs, every_question(spark, folder), k, tokens=folded_words) if every else R.bm25_topk(docs, _questions(spark), k, tokens=folded_words)
 
 
-def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """The ten best documents of each question by keywords."""
-    return _keyword(spark, folder, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _keyword(spark, folder, 10, every=every).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def _by_vector(spark: SparkSession, folder: str, k: int) -> DataFrame:
+def _by_vector(spark: SparkSession, folder: str, k: int, every: bool = False) -> DataFrame:
     rows = table(spark, folder, "embeddings")
-    asked = _questions(spark).join(rows, "vec_id").select("query_id", "embedding")
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding") if every else _questions(spark).join(rows, "vec_id").select("query_id", "embedding")
     return R.dense_knn(rows.withColumnRenamed("vec_id", "doc_id"), asked, k, key="doc_id")
 
 
-def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
+def hybrid_rrf(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Keyword and vector ranks fused: 20 and 20 candidates, 5 results a question."""
-    return R.fuse_ranks([_keyword(spark, folder, 20), _by_vector(spark, folder, 20)], 5, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return R.fuse_ranks([_keyword(spark, folder, 20, every=every), _by_vector(spark, folder, 20, every)], 5, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def tiered_rrf(spark: SparkSession, folder: str) -> DataFrame:
+def tiered_rrf(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Vietnamese documents and the others as tiers of their own, fused with the vector ranks."""
     main, rest = F.col("lang") == "vi", F.coalesce(F.col("lang") != "vi", F.lit(True))
-    lists = [_keyword(spark, folder, 30, main), _keyword(spark, folder, 15, rest), _by_vector(spark, folder, 30)]
+    lists = [_keyword(spark, folder, 30, main, every), _keyword(spark, folder, 15, rest, every), _by_vector(spark, folder, 30, every)]
     return R.fuse_ranks(lists, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def typology_boost(spark: SparkSession, folder: str) -> DataFrame:
+def typology_boost(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Keyword hits with small boosts by source and a malus for other languages, ranked anew."""
-    hits = _keyword(spark, folder, 20).join(table(spark, folder, "documents").select("doc_id", "lang", "source"), "doc_id")
+    hits = _keyword(spark, folder, 20, every=every).join(table(spark, folder, "documents").select("doc_id", "lang", "source"), "doc_id")
     rules = [(F.col("source") == "cong_bao", 0.005), (F.col("source") == "cong_tinh", 0.003), (F.coalesce(F.col("lang"), F.lit("")) != "vi", -0.002)]
     return R.ranked(R.boosted(hits.drop("rank"), rules), 8, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def graph_boost(spark: SparkSession, folder: str) -> DataFrame:
+def graph_boost(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Keyword hits whose document number some document is based on gain 0.3."""
     cited = table(spark, folder, "doc_contexts").select(F.explode("basis_refs.doc_number").alias("n")).select(letters_digits("n").alias("k")).where(F.col("k").isNotNull()).distinct()
-    hits = _keyword(spark, folder, 20).join(table(spark, folder, "documents").select("doc_id", letters_digits("document_number").alias("k")), "doc_id")
+    hits = _keyword(spark, folder, 20, every=every).join(table(spark, folder, "documents").select("doc_id", letters_digits("document_number").alias("k")), "doc_id")
     flagged = hits.join(cited.withColumn("linked", F.lit(True)), "k", "left")
     return R.ranked(R.boosted(flagged.drop("rank"), [(F.col("linked"), 0.3)]), 8, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.coalesce("linked", F.lit(False)).alias("linked"))
 
@@ -109,6 +117,11 @@ def keyword_rescue(spark: SparkSession, folder: str) -> DataFrame:
     return R.keyword_rescue(docs, F.lit("the archive centre shall publish the boundary drawings"), "doc_id", "text").select("doc_id", "hits", "score")
 
 
+def keyword_rescue_all(spark: SparkSession, folder: str) -> DataFrame:
+    """For every question of the query set up to ten documents with at least two of its long words, a tenth of a point each."""
+    return R.rescue_every(table(spark, folder, "documents"), every_question(spark, folder), "doc_id", "text").select("query_id", "doc_id", "hits", "score")
+
+
 def metadata_scroll(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the most cited document number, main text first, then in order."""
     chunks = table(spark, folder, "chunks").withColumn("k", letters_digits("document_number"))
@@ -170,10 +183,10 @@ def ranked_head(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        dense_topk, dense_topk_filtered, dense_knn_batch, session_priority, bm25_topk, hybrid_rrf, tiered_rrf, typology_boost, graph_boost, keyword_rescue, metadata_scroll,
+        dense_topk, dense_topk_filtered, dense_knn_batch, session_priority, bm25_topk, hybrid_rrf, tiered_rrf, typology_boost, graph_boost, keyword_rescue, keyword_rescue_all, metadata_scroll,
         emergency_scroll, context_neighbours, context_siblings, interleave_order, filter_tree, article_fetch, sample_by_hash, ranked_head,
     )
-}
+} | {f"{f.__name__}_all": partial(f, every=True) for f in (bm25_topk, hybrid_rrf, tiered_rrf, typology_boost, graph_boost)}
 
 FOLD = "replace(lower(strip_accents({0})), 'đ', 'd')"
 KEY = "nullif(regexp_replace(replace(lower(strip_accents({0})), 'đ', 'd'), '[^\\pL\\pN]+', '', 'g'), '')"

@@ -1,5 +1,7 @@
 """The whole job where an older query does a part of it."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 QUERIES = entry.queries()
@@ -77,3 +79,24 @@ def test_whole_graph_and_same_sector(spark, folder):
     for doc, sectors in of.items():
         pairs = sum(len(sectors & other) for o, other in of.items() if o != doc)
         assert len(got.get(doc, ())) == min(3, pairs)
+
+
+def test_every_question_is_asked(spark, folder):
+    from canonry.operators import retrieval as R
+    from canonry.plans.retrieval import every_question, folded_words
+
+    docs = spark.read.parquet(f"{folder}/../sf0.01/documents.parquet")
+    asked = every_question(spark, f"{folder}/../sf0.01")
+    ids = {r.doc_id for r in docs.where("doc_id % 100 = 0 and text <> ''").collect()}
+    assert ids and {r["query_id"] for r in rows(spark, f"{folder}/../sf0.01", "bm25_topk_all")} == ids
+    want = sorted(map(tuple, R.bm25_topk(docs, asked, 7, tokens=folded_words).select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
+    for size in (3, 1024):
+        got = R.bm25_every(docs, asked, 7, tokens=folded_words, block=size, step=64, words_at_once=50).select("query_id", "doc_id", F.round("score", 6), "rank")
+        assert sorted(map(tuple, got.collect())) == want
+    titled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    want = sorted(map(tuple, R.bm25_topk(titled, asked, 7, tokens=folded_words).select("query_id", "doc_id", "rank").collect()))
+    assert sorted(map(tuple, R.bm25_every(titled, asked, 7, tokens=folded_words).select("query_id", "doc_id", "rank").collect())) == want
+    got = {(r.query_id, r.doc_id, r.hits) for r in R.rescue_every(docs, asked, "doc_id", "text", block=3, step=64).collect()}
+    for q in asked.collect():
+        alone = R.keyword_rescue(docs.where("text is not null"), F.lit(q.query), "doc_id", "text").collect()
+        assert {(d, h) for i, d, h in got if i == q.query_id} == {(r.doc_id, r.hits) for r in alone}
