@@ -268,9 +268,9 @@ def _few(words: DataFrame, most: int = 100_000) -> bool:
     return words.limit(most + 1).count() <= most
 
 
-def ranked(hits: DataFrame, k: int, key: str, by: str = "query_id", score: str = "score") -> DataFrame:
+def ranked(hits: DataFrame, k: int, key: str, by: str | list[str] = "query_id", score: str = "score") -> DataFrame:
     """The best `k` hits of each query with their `rank`; ties go to the lower key."""
-    place = Window.partitionBy(by).orderBy(F.desc(score), key)
+    place = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(score), key)
     return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 

@@ -10,24 +10,56 @@ from pyspark.sql.window import Window
 
 from canonry.functions import legal as L
 from canonry.functions import vocabulary as V
-from canonry.functions.text import fold, squeeze
+from canonry.functions.text import fold, letters_digits, squeeze
 from canonry.operators import retrieval as R
 from canonry.operators.models import OverlapReranker, rename_report, rerank
 from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
 from canonry.plans.graph import changes, links
-from canonry.plans.retrieval import FOLD, _keyword, _questions, every_question, folded_words
+from canonry.plans.retrieval import FOLD, _by_vector, _keyword, _questions, every_question, folded_words
 from canonry.sources.tables import table
 
 
-def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """A whole search: 25 keyword candidates, reranked to 8, boosted by source, in the order that puts the best at both ends."""
-    broad = _keyword(spark, folder, 25).drop("rank").join(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id").join(F.broadcast(_questions(spark)), "query_id")
-    scored = rerank(broad.select("query_id", "query", "doc_id", "text", "source", "score"), OverlapReranker(), "query", "text")
-    boosted = R.boosted(scored.withColumn("final", F.round("rerank_score", 6)), [(F.col("source") == "cong_bao", 0.005), (F.col("source") == "cong_tinh", 0.003)], "final")
-    best = R.ranked(boosted, 8, "doc_id", score="final")
+#: A document number in a question, and its short form.
+_NUMBER, _SHORT = r"(?iu)\d+/\d{4}/(?:TT|NĐ|QH|L|QĐ|NQ)(?:-[\p{L}]+)*", r"\d+/\d{4}"
+
+
+def searched(documents: DataFrame, asked: DataFrame, lists: list[DataFrame], cited: DataFrame) -> DataFrame:
+    """A whole search from ranked candidate lists: `query_id`, `doc_id`, `score`, `rank`, `position`, `stage`.
+
+    25 fused candidates, 60 where the question names a number, reranked to 8;
+    boosts by source and of documents in `cited` (`k`, folded numbers); for a
+    question without candidates up to 50 documents of each number it names;
+    last up to ten other candidates that have at least two long words of it.
+    """
+    full = F.regexp_extract_all("query", F.lit(_NUMBER), F.lit(0))
+    numbers = F.when(F.size(full) > 0, full).otherwise(F.regexp_extract_all("query", F.lit(_SHORT), F.lit(0)))
+    asked = asked.select("query_id", "query", F.array_distinct(F.transform(numbers, F.upper)).alias("numbers"))
+    docs = documents.select("doc_id", "text", "source", "document_number", letters_digits("document_number").alias("k"))
+    broad = R.fuse_ranks(lists, 60, "doc_id").withColumnRenamed("score", "fused").join(asked, "query_id").where((F.col("rank") <= 25) | (F.size("numbers") > 0)).drop("rank", "numbers")
+    scored = rerank(broad.join(docs.drop("document_number"), "doc_id"), OverlapReranker(), "query", "text").withColumn("score", F.round("rerank_score", 6))
+    placed = R.ranked(scored, 60, "doc_id")
+    heavy = F.array_distinct(F.filter(F.split("query", r"[\s,;.]+"), lambda w: F.length(w) > 3))
+    top = F.col("rank") <= 8
+    flagged = placed.join(cited.withColumn("linked", F.lit(True)), "k", "left").withColumn("matches", F.when(top, 0).otherwise(F.size(F.filter(heavy, lambda w: F.contains("text", w)))))
+    boosted = R.boosted(flagged, [(top & (F.col("source") == "cong_bao"), 0.005), (top & (F.col("source") == "cong_tinh"), 0.003), (top & F.col("linked"), 0.3)])
+    staged = boosted.withColumns({"stage": F.when(top, "reranked").otherwise("rescued"), "score": F.when(top, F.col("score")).otherwise(F.col("fused") + 0.1 * F.col("matches"))})
+    best = R.ranked(staged.where(top | (F.col("matches") >= 2)).drop("rank"), 10, "doc_id", by=["query_id", "stage"], score="matches").select("query_id", "doc_id", "score", "stage")
+    empty = asked.join(broad.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("numbers").alias("number"))
+    named = docs.join(F.broadcast(empty), F.contains(F.upper("document_number"), F.col("number"))).withColumn("score", F.lit(1.0))
+    scrolled = R.ranked(named, 50, "doc_id", by=["query_id", "number"]).select("query_id", "doc_id", "score", F.lit("number").alias("stage")).distinct()
+    every = best.unionByName(scrolled)
+    order = Window.partitionBy("query_id").orderBy(F.col("stage") == "rescued", F.desc("score"), "doc_id")
     total = F.count("*").over(Window.partitionBy("query_id"))
-    return best.select("query_id", "doc_id", F.round("final", 6).alias("score"), "rank", R.interleaved(F.col("rank"), total).alias("position"))
+    out = every.withColumns({"rank": F.row_number().over(order), "total": total})
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", R.interleaved(F.col("rank"), F.col("total")).alias("position"), "stage")
+
+
+def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole search for every question of the query set, in the order that puts the best at both ends; candidates from keywords and vectors."""
+    lists = [_keyword(spark, folder, 60, every=True), _by_vector(spark, folder, 60, every=True)]
+    cited = table(spark, folder, "doc_contexts").select(F.explode("basis_refs.doc_number").alias("n")).select(letters_digits("n").alias("k")).where(F.col("k").isNotNull()).distinct()
+    return searched(table(spark, folder, "documents"), every_question(spark, folder), lists, cited)
 
 
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:

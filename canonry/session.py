@@ -63,6 +63,8 @@ def ship(spark: SparkSession, root: str) -> None:
     Workers find it when they start in `root` or have it in PYTHONPATH; else
     the package is sent to them by Spark, once per session.
     """
+    # Spark 4.1 may zip the parts of a union by their partitioning, which fails when adaptive execution has given them different numbers of partitions
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     paths = [os.path.abspath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
     if os.path.abspath(root) in paths or getattr(spark.sparkContext, "_canonry_shipped", False):
         return

@@ -100,3 +100,26 @@ def test_every_question_is_asked(spark, folder):
     for q in asked.collect():
         alone = R.keyword_rescue(docs.where("text is not null"), F.lit(q.query), "doc_id", "text").collect()
         assert {(d, h) for i, d, h in got if i == q.query_id} == {(r.doc_id, r.hits) for r in alone}
+
+
+def test_search_has_all_stages(spark):
+    from canonry.plans.answers import searched
+
+    texts = ["alpha beta", "gamma", "alpha delta epsilon zetas"] + [f"delta epsilon filler{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "cong_bao" if i == 1 else "", "7/2020/TT-A" if i == 1 else f"{i}/1999/X") for i, t in enumerate(texts)], "doc_id long, text string, source string, document_number string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "see 7/2020/TT-A"), (3, "delta epsilon one two three four"), (4, "nothing")], "query_id long, query string")
+    keyword = spark.createDataFrame([(1, 0, 1)] + [(3, i, i - 2) for i in range(3, 23)], "query_id long, doc_id long, rank int")
+    dense = spark.createDataFrame([(1, 1, 1)], "query_id long, doc_id long, rank int")
+    got = {(r.query_id, r.doc_id): r for r in searched(docs, asked, [keyword, dense], spark.createDataFrame([("72020tta",)], "k string")).collect()}
+    assert got[1, 1].score == 0.305 and got[1, 0].score == 1.0 and {d for q, d in got if q == 1} == {0, 1}
+    assert (got[2, 1].stage, got[2, 1].score) == ("number", 1.0) and sum(q == 2 for q, _ in got) == 1
+    assert sum(r.stage == "reranked" for (q, _), r in got.items() if q == 3) == 8 and sum(r.stage == "rescued" for (q, _), r in got.items() if q == 3) == 10
+    assert sorted(r["rank"] for (q, _), r in got.items() if q == 3) == sorted(r.position for (q, _), r in got.items() if q == 3) == list(range(1, 19))
+    assert not any(q == 4 for q, _ in got)
+
+
+def test_search_asks_every_question(spark, folder):
+    base = f"{folder}/../sf0.01"
+    got = rows(spark, base, "search_pipeline")
+    asked = {r.id for r in spark.read.parquet(f"{base}/documents.parquet").where("doc_id % 100 = 0 and text <> ''").selectExpr("doc_id as id").collect()}
+    assert asked <= {r["query_id"] for r in got}
