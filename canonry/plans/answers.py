@@ -79,13 +79,46 @@ def hinted_missing(spark: SparkSession, folder: str, every: bool = False) -> Dat
 
 
 def cited_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Keyword hits of the test questions whose document the expected passage cites by article; the best hit where none is."""
+    """For each test item the first chunk of any document with the cited article, and how many there are, without a search, as its SQL has it; `cited_search_hits` searches."""
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "citation")
     chunks = table(spark, folder, "chunks").select("chunk_id", "article_ref").distinct()
     cited = chunks.join(items, F.lower("article_ref") == F.lower(F.trim("citation"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("matches"))
     return items.join(cited, "query_id", "left").select("query_id", "chunk_id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def chunk_hits(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best `k` chunks of each question by keywords, with all that `chunks` has of them; one row a chunk."""
+    rows = chunks.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in chunks.columns if c != "chunk_id"])).alias("c")).select("chunk_id", "c.*")
+    return R.bm25_every(rows, asked, k, key="chunk_id", text="chunk_text", tokens=folded_words).join(rows, "chunk_id")
+
+
+def cited_of(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """The hits that the answer of their question cites, by article, by number where a hit has no article, or by title; the best hit where none is.
+
+    `hits` has `query_id`, `rank`, `document_number`, `article_ref`, `title`; `answers` has `query_id`, `answer`.
+    """
+    said, number, article, title = F.lower("answer"), F.lower(F.trim("document_number")), F.coalesce(F.lower(squeeze("article_ref")), F.lit("")), squeeze("title")
+    short = F.regexp_extract(number, r"^([^/]*/[^/]*)", 1)
+    by_number = (F.length(number) > 3) & (F.contains(said, number) | ((short != "") & F.contains(said, short)))
+    # not the beginning of a longer number
+    by_article = (F.length(article) > 2) & F.regexp_like(said, F.concat(F.regexp_replace(article, r"([.()\[\]\\+*?^$|{}])", r"\\$1"), F.lit("(?![0-9])")))
+    parts = F.split(title, " ")
+    by_title = (F.length(title) > 15) & (F.size(parts) > 3) & F.contains(said, F.lower(F.array_join(F.slice(parts, 1, 5), " ")))
+    cited = F.coalesce(by_article, F.lit(False)) | F.coalesce(by_number & (article == ""), F.lit(False)) | F.coalesce(by_title, F.lit(False))
+    marked = hits.join(answers, "query_id", "left").withColumn("cited", cited)
+    some = F.max("cited").over(Window.partitionBy("query_id"))
+    return marked.withColumn("some", some).where(F.col("cited") | (~F.col("some") & (F.col("rank") == 1))).drop("some", "answer")
+
+
+def cited_search_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the eight best chunks of each test question those that its citation names; the best where none is named."""
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.col("citation").alias("answer"))
+    titles = table(spark, folder, "doc_contexts").groupBy(F.col("doc_id").alias("document_id")).agg(F.min("doc_title").alias("title"))
+    chunks = table(spark, folder, "chunks").select("chunk_id", "document_id", "document_number", "article_ref", "chunk_text")
+    hits = chunk_hits(chunks, items.select("query_id", "query"), 8).drop("chunk_text").join(titles, "document_id", "left")
+    return cited_of(hits, items.select("query_id", "answer")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "cited")
+
+
 def text_citations(spark: SparkSession, folder: str) -> DataFrame:
     """How often articles, clauses and numbers are cited in chunks."""
     rows = table(spark, folder, "chunks").select("chunk_id", "chunk_text").distinct()
@@ -210,7 +243,7 @@ def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, cited_search_hits, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
 } | {f"{f.__name__}_all": partial(f, every=True) for f in (context_whole, hinted_missing)}

@@ -123,3 +123,17 @@ def test_search_asks_every_question(spark, folder):
     got = rows(spark, base, "search_pipeline")
     asked = {r.id for r in spark.read.parquet(f"{base}/documents.parquet").where("doc_id % 100 = 0 and text <> ''").selectExpr("doc_id as id").collect()}
     assert asked <= {r["query_id"] for r in got}
+
+
+def test_cited_hits_come_from_the_search(spark):
+    from canonry.plans.answers import cited_of
+
+    hits = [(1, "a", 1, "1/2020/A", "Điều 1", "x"), (1, "b", 2, "1/2020/A", "Điều 17", "x"), (2, "a", 1, "1/2020/A", "Điều 1", None), (2, "c", 2, None, None, None), (3, "d", 1, "2/2021/B", "", "x"), (3, "e", 2, "2/2021/B", "Điều 9", "x"), (4, "f", 2, "3/3/C", "Điều 3", "Nghị định về kế hoạch nạo vét")]
+    df = spark.createDataFrame(hits, "query_id long, chunk_id string, rank int, document_number string, article_ref string, title string")
+    answers = spark.createDataFrame([(1, "theo Điều 17"), (2, "gì đó"), (3, "theo 2/2021"), (4, "nghị định về kế hoạch 2020")], "query_id long, answer string")
+    assert {(r.query_id, r.chunk_id, r.cited) for r in cited_of(df, answers).collect()} == {(1, "b", True), (2, "a", False), (3, "d", True), (4, "f", True)}
+
+
+def test_every_item_has_a_cited_or_best_hit(spark, folder):
+    items = {r.item_id for r in spark.read.parquet(f"{folder}/eval_items.parquet").where("question is not null").collect()}
+    assert items == {r["query_id"] for r in rows(spark, folder, "cited_search_hits")}
