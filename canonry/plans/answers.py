@@ -63,7 +63,7 @@ def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that fit a budget of 15 000 characters a question, best first; at most ten."""
+    """Documents that fit a budget of 15 000 characters a question, best first; at most ten. No references, as its SQL has it; `context_references` follows them."""
     hits = _keyword(spark, folder, 10).join(table(spark, folder, "documents").select("doc_id", F.length("text").alias("chars")), "doc_id")
     used = F.sum("chars").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return hits.withColumn("used", used).where(F.col("used") <= 15_000).select("query_id", "doc_id", "rank", "used")
@@ -119,6 +119,30 @@ def cited_search_hits(spark: SparkSession, folder: str) -> DataFrame:
     return cited_of(hits, items.select("query_id", "answer")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "cited")
 
 
+def with_references(hits: DataFrame, chunks: DataFrame, most: int = 10, budget: int = 15_000) -> DataFrame:
+    """The hits, and after them up to `most` chunks of the articles of the same document that their texts cite.
+
+    Chunks are added in the order of hits and citations as long as fewer than
+    `budget` characters are added before them; hits are always kept.
+    """
+    article = lambda c: F.lower(squeeze(c))
+    known_parts = hits.select("query_id", "document_id", article("article_ref").alias("a")).distinct()
+    refs = hits.select("query_id", "document_id", F.col("rank").alias("hit"), F.posexplode(L.citations_in("chunk_text")).alias("at", "citation"))
+    refs = refs.withColumn("a", F.regexp_extract("citation", r"^(điều \d+[a-zđ]?)$", 1)).where(F.col("a") != "").groupBy("query_id", "document_id", "a").agg(F.min(F.struct("hit", "at")).alias("o"))
+    parts = chunks.select("document_id", article("article_ref").alias("a"), "chunk_id", "chunk_index", F.length("chunk_text").alias("chars")).dropDuplicates(["chunk_id"])
+    found = refs.join(known_parts, ["query_id", "document_id", "a"], "left_anti").join(parts, ["document_id", "a"])
+    order = Window.partitionBy("query_id").orderBy("o.hit", "o.at", "chunk_index", "chunk_id")
+    counted = found.withColumns({"n": F.row_number().over(order), "before": F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    added = counted.where((F.col("n") <= most) & (F.col("before") < budget)).select("query_id", "chunk_id", F.col("n").alias("rank"), F.lit(True).alias("supplemental"), F.col("chars"))
+    return hits.select("query_id", "chunk_id", "rank", F.lit(False).alias("supplemental"), F.length("chunk_text").alias("chars")).unionByName(added)
+
+
+def context_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best chunks of each question of the query set, and the parts of their documents that they cite."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "document_id", "article_ref", "chunk_index", "chunk_text")
+    return with_references(chunk_hits(chunks, every_question(spark, folder), 10), chunks)
+
+
 def text_citations(spark: SparkSession, folder: str) -> DataFrame:
     """How often articles, clauses and numbers are cited in chunks."""
     rows = table(spark, folder, "chunks").select("chunk_id", "chunk_text").distinct()
@@ -243,7 +267,7 @@ def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, cited_search_hits, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, cited_search_hits, context_references, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
 } | {f"{f.__name__}_all": partial(f, every=True) for f in (context_whole, hinted_missing)}

@@ -137,3 +137,13 @@ def test_cited_hits_come_from_the_search(spark):
 def test_every_item_has_a_cited_or_best_hit(spark, folder):
     items = {r.item_id for r in spark.read.parquet(f"{folder}/eval_items.parquet").where("question is not null").collect()}
     assert items == {r["query_id"] for r in rows(spark, folder, "cited_search_hits")}
+
+
+def test_references_are_followed(spark):
+    from canonry.plans.answers import with_references
+
+    parts = [("h", "d", "Điều 1", 1, "theo Điều 2 và Điều 3, Điều 1"), ("b", "d", "Điều 2", 2, "y" * 20_000), ("c", "d", "điều 3", 3, "z"), ("x", "e", "Điều 2", 2, "w")]
+    chunks = spark.createDataFrame(parts, "chunk_id string, document_id string, article_ref string, chunk_index int, chunk_text string")
+    hits = chunks.where("chunk_id = 'h'").selectExpr("1L as query_id", "*", "1 as rank")
+    got = lambda budget: {(r.chunk_id, r.supplemental) for r in with_references(hits, chunks, budget=budget).collect()}
+    assert got(15_000) == {("h", False), ("b", True)} and got(30_000) == {("h", False), ("b", True), ("c", True)}
