@@ -1,6 +1,6 @@
 """Property graph as vertex and edge DataFrames, and bounded traversals of it.
 
-Edges have `src`, `dst`, `type`. Loops checkpoint their frontier in the shared
+Edges have `src`, `dst`, `type`. Loops write their frontier to the shared
 folder and keep only vertices not seen before, so cycles end and a hub is
 expanded once.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canonry.functions.text import known, squeeze
 from canonry.operators.packed import split_packed
-from canonry.session import checkpointed
+from canonry.session import written
 
 
 def edge(df: DataFrame, src: Column, kind: str, dst: Column) -> DataFrame:
@@ -75,15 +75,18 @@ def ghosts(edges: DataFrame, vertices: DataFrame, types: list[str]) -> DataFrame
 
 
 def closure(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """`id`, `depth` of all vertices within `depth` steps of the seeds; each at its least depth."""
-    frontier = seeds.select("id").distinct()
-    reached = frontier.withColumn("depth", F.lit(0))
+    """`id`, `depth` of all vertices within `depth` steps of the seeds; each at its least depth.
+
+    `edges` is read once a level, so it should be a table rather than a query.
+    """
+    frontier, _ = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    reached = frontier
     for step in range(1, depth + 1):
         following = edges.join(frontier, edges.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(following.join(reached, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier, new = written(following.join(reached, "id", "left_anti").withColumn("depth", F.lit(step)))
+        if not new:
             break
-        reached = checkpointed(reached.unionByName(frontier.withColumn("depth", F.lit(step))))
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -92,37 +95,57 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "type", "dst").unionByName(edges.select(F.col("dst").alias("src"), "type", F.col("src").alias("dst")))
 
 
-def shortest_path(edges: DataFrame, start: Column, goal: Column, most: int) -> DataFrame:
-    """One row with the least number of undirected steps between two vertices, or none beyond `most`.
+def shortest_path(edges: DataFrame, start: str | None, goal: str | None, most: int | None = None) -> DataFrame:
+    """One row (`id`, `steps`) with the least number of undirected steps between two vertices, or none; `most` None is without bound.
 
-    Breadth first from the start; the search ends at the goal's level.
+    Breadth first from both ends, a level of the smaller side at a time. The
+    sides first meet in their outermost levels, and the sum of the levels is
+    then the distance. A null end gives no row.
     """
-    both = undirected(edges).select("src", "dst").distinct()
-    seeds = edges.sparkSession.range(1).select(start.alias("id"))
-    frontier, reached = seeds, seeds.withColumn("steps", F.lit(0))
-    for step in range(1, most + 1):
-        if not reached.where(F.col("id") == goal).isEmpty():
+    spark = edges.sparkSession
+    if start is None or goal is None:
+        return spark.createDataFrame([], "id string, steps int")
+    if start == goal:
+        return spark.createDataFrame([(goal, 0)], "id string, steps int")
+    both = undirected(edges).select("src", "dst")
+    sides = {end: [spark.range(1).select(F.lit(end).alias("id")), 1] for end in (start, goal)}
+    reached = {end: side[0] for end, side in sides.items()}
+    steps = 0
+    while most is None or steps < most:
+        steps += 1
+        own, other = sorted((start, goal), key=lambda end: sides[end][1])
+        frontier = sides[own][0]
+        # the first level is a filter that reaches the scan
+        near = both.where(F.col("src") == own) if sides[own][1] == 1 and reached[own] is frontier else both.join(frontier, both.src == frontier.id, "left_semi")
+        new = near.select(F.col("dst").alias("id")).distinct().join(reached[own], "id", "left_anti")
+        marked = new.join(sides[other][0].select("id", F.lit(True).alias("met")), "id", "left")
+        level, size, met = written(marked, "met")
+        if met:
+            return spark.createDataFrame([(goal, steps)], "id string, steps int")
+        if not size:
             break
-        following = both.join(frontier, both.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(following.join(reached, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = checkpointed(reached.unionByName(frontier.withColumn("steps", F.lit(step))))
-    return reached.where(F.col("id") == goal).select("id", "steps")
-
-
-def chains(edges: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
-    """Directed chains of `shortest` to `longest` edges without a repeated vertex: `first`, `last`, `hops`, `path`."""
-    one = edges.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes")).where(F.col("first") != F.col("last"))
-    level, out = one, None
-    for hops in range(1, longest + 1):
-        if hops > 1:
-            nxt = edges.select(F.col("src").alias("last"), F.col("dst").alias("__to"))
-            level = level.join(nxt, "last").where(~F.array_contains("nodes", F.col("__to"))).select("first", F.col("__to").alias("last"), F.concat("nodes", F.array("__to")).alias("nodes"))
-        if hops >= shortest:
-            rows = level.select("first", "last", F.lit(hops).alias("hops"), F.array_join("nodes", ">").alias("path"))
-            out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+        sides[own] = [level.select("id"), size]
+        reached[own] = reached[own].unionByName(level.select("id"))
+    return spark.createDataFrame([], "id string, steps int")
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """Directed chains of two and three different edges, as one row for each edge that begins some.
+
+    `first`, `second` are the edge; `two` and `three` count the chains that
+    go on from it, `onward` is its least third vertex. A chain may come back
+    to a vertex but not use an edge twice; loops and repeated edges don't
+    count. The rows are as many as the edges: the chains through a hub are
+    not written out, and the third vertices of a row are the edges of `second`.
+    """
+    one = edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    out = one.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"))
+    # per vertex: edges that leave it, and chains of two that do
+    further = one.join(out.select(F.col("src").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("n2"))
+    ahead = out.join(further, "src", "left").select(F.col("src").alias("dst"), "n", F.coalesce("n2", F.lit(0)).alias("n2"), "least")
+    back = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("back"))
+    begun = one.join(ahead, "dst").join(back, ["src", "dst"], "left")
+    return begun.select(F.col("src").alias("first"), F.col("dst").alias("second"), F.col("n").alias("two"), (F.col("n2") - F.coalesce("back", F.lit(0))).alias("three"), F.col("least").alias("onward"))
 
 
 def degrees(edges: DataFrame, end: str = "dst") -> DataFrame:

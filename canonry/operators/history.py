@@ -70,7 +70,7 @@ def attribute_history(
     state = F.struct("__gone", *inner)
     last = rows.groupBy("__key", "__t").agg(F.max_by(state, F.struct("__loaded", "__tie", state)).alias("__s"))
     last = last.select("__key", "__t", "__s.*")
-    ordered = Ordered(last, ["__key"], F.unix_micros(F.col("__t").cast("timestamp")), [F.col("__t")], max_rows)
+    ordered = Ordered(last, ["__key"], F.unix_micros(F.col("__t").cast("timestamp")), [F.col("__t")], max_rows, counted=snapshots.select(F.col(key).alias("__key")))
     ordered.fill_forward(inner).row_number("__seq")
     ordered.df = ordered.df.withColumn("__at", F.struct("__t", BLOCK))
     ordered.lead("__at", "__next")

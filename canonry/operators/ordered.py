@@ -1,10 +1,10 @@
 """Order-dependent columns of keyed rows when one key may hold a large share of all rows.
 
 A window over a hot key is one task's work. `Ordered` finds the keys with
-more than `max_rows` rows, cuts each into time blocks at approximate
-quantiles, runs every window per (key, block) and adds what earlier or later
-blocks contribute, which is one small row a block. The result equals the
-plain window's, whatever the cuts are.
+more than `max_rows` rows, cuts each into blocks along its order at
+approximate quantiles, runs every window per (key, block) and adds what
+earlier or later blocks contribute, which is one small row a block. The
+result equals the plain window's, whatever the cuts are.
 """
 
 from __future__ import annotations
@@ -14,43 +14,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = "__block"
+#: An instant that takes this share of a hot key's quantiles is cut by the second order column, into so many blocks.
+_SHARE, _INNER = 64, 32
 
 
 class Ordered:
     """Rows of `df` in the order of `order` within `key`.
 
     `time` is the leading order column, or an expression of one that rises with it;
-    `order` must give a total order within the key. Counting the keys is
-    one eager job over the key column. Hot keys are few, as each has more
-    than `max_rows` rows; where more than `most_hot` exist, the limit is
-    doubled until they fit, which changes the work per task, never a result.
+    `order` must give a total order within the key, or as much of one as the
+    windows need. `within` is a number that rises with `order` among rows of
+    one time; with it an instant that holds many rows of a hot key, as a bulk
+    load leaves, is cut too.
+
+    Counting the keys is one eager job. `counted` gives it the keys of a
+    frame that has at least the rows of `df` for each key and is cheaper to
+    read (the raw table's key column); else `df` is read for it. The
+    `most_hot` largest keys over `max_rows` are cut, into up to `cuts`
+    blocks; any other key has at most `max_rows` rows or less than 1 /
+    `most_hot` of all. What is broadcast has at most `most_hot` x `cuts` numbers.
     """
 
-    def __init__(self, df: DataFrame, key: list[str], time: Column, order: list[Column], max_rows: int = 2_000_000, cuts: int = 256, most_hot: int = 2_000):
+    def __init__(
+        self, df: DataFrame, key: list[str], time: Column, order: list[Column], max_rows: int = 2_000_000, cuts: int = 2_048, most_hot: int = 2_000,
+        counted: DataFrame | None = None, within: Column | None = None,
+    ):
         self.key, self.order = key, order
-        hot = None
-        while True:
-            counts = df.groupBy(*key).count().where(F.col("count") > max_rows).select(*key)
-            found = counts.limit(most_hot + 1).collect()
-            if len(found) <= most_hot:
-                hot = found
-                break
-            max_rows *= 2
+        counts = (df if counted is None else counted).groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > max_rows)
+        hot = counts.orderBy(F.desc("__n"), *key).limit(most_hot).collect()
         self.split = bool(hot)
         if not self.split:
-            self.df = df.withColumn(BLOCK, F.lit(0))
+            self.df = df.withColumn(BLOCK, F.lit(0).cast("long"))
             return
-        keys = df.sparkSession.createDataFrame(hot, df.select(*key).schema)
-        same = self._same(df, keys, key)
-        shares = [i / cuts for i in range(1, cuts)]
-        bounds = (
-            df.withColumn("__at", time.cast("double")).join(F.broadcast(keys.select(*[F.col(k).alias(f"__{k}") for k in key])), same, "left_semi")
-            .groupBy(*key).agg(F.percentile_approx("__at", shares, 10_000).alias("__cuts"))
-        )
-        bounds = bounds.select(*[F.col(k).alias(f"__{k}") for k in key], "__cuts")
-        rows = df.withColumn("__at", time.cast("double")).join(F.broadcast(bounds), same, "left")
-        place = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__at")))
-        self.df = rows.withColumn(BLOCK, F.when(F.col("__at").isNull(), -1).otherwise(place)).select(*df.columns, BLOCK)
+        cuts = min(cuts, max(16, 4 * hot[0]["__n"] // max_rows))
+        at = df.withColumn("__at", F.coalesce(time.cast("double"), F.lit(-1e308)))
+        keys = df.sparkSession.createDataFrame([r[:-1] for r in hot], df.select(*key).schema)
+        renamed = [F.col(k).alias(f"__{k}") for k in key]
+        bounds = at.join(F.broadcast(keys.select(*renamed)), self._same(df, key), "left_semi").groupBy(*key).agg(self._quantiles("__at", cuts).alias("__cuts"))
+        if within is not None:
+            at = at.withColumn("__within", within.cast("double"))
+            often = F.filter(F.array_distinct("__cuts"), lambda c: F.size(F.filter("__cuts", lambda x: x == c)) * _SHARE >= cuts)
+            crowded = bounds.select(*renamed, F.explode(often).alias("__instant"))
+            inside = at.join(F.broadcast(crowded), self._same(df, key) & (at["__at"] == F.col("__instant"))).groupBy(*key, "__instant").agg(self._quantiles("__within", _INNER).alias("__sub"))
+            bounds = bounds.join(inside.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__instant", "__sub"))).alias("__subs")), key, "left")
+        rows = at.join(F.broadcast(bounds.select(*renamed, *[c for c in bounds.columns if c not in key])), self._same(df, key), "left")
+        place = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col("__at"))).cast("long") * (_INNER + 1)
+        if within is not None:
+            sub = F.try_element_at(F.col("__subs"), F.col("__at"))
+            place = place + F.coalesce(F.when(sub.isNotNull(), 1 + F.size(F.filter(sub, lambda c: c < F.col("__within")))), F.lit(0))
+        self.df = rows.withColumn(BLOCK, place).select(*df.columns, BLOCK)
+
+    @staticmethod
+    def _quantiles(name: str, parts: int) -> Column:
+        return F.percentile_approx(name, [i / parts for i in range(1, parts)], 10_000)
 
     @classmethod
     def over(cls, df: DataFrame, key: list[str], order: list[Column], split: bool) -> "Ordered":
@@ -60,7 +76,7 @@ class Ordered:
         return self
 
     @staticmethod
-    def _same(df: DataFrame, other: DataFrame, key: list[str]) -> Column:
+    def _same(df: DataFrame, key: list[str]) -> Column:
         same = F.lit(True)
         for k in key:
             same = same & df[k].eqNullSafe(F.col(f"__{k}"))
@@ -75,7 +91,7 @@ class Ordered:
         return per.select(*[F.col(c).alias(f"__{c}") for c in [*self.key, BLOCK]], *[e.alias(n) for n, e in derive.items()])
 
     def _attach(self, blocks: DataFrame) -> DataFrame:
-        return self.df.join(blocks, self._same(self.df, blocks, [*self.key, BLOCK]), "left").drop(*[f"__{c}" for c in [*self.key, BLOCK]])
+        return self.df.join(blocks, self._same(self.df, [*self.key, BLOCK]), "left").drop(*[f"__{c}" for c in [*self.key, BLOCK]])
 
     def _over(self):
         return Window.partitionBy(*self.key).orderBy(BLOCK)

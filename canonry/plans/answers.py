@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,7 @@ from canonry.functions import legal as L
 from canonry.functions import vocabulary as V
 from canonry.functions.text import fold, letters_digits, squeeze
 from canonry.operators import retrieval as R
+from canonry.operators.containment import contained
 from canonry.operators.models import OverlapReranker, rename_report, rerank
 from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
@@ -62,13 +63,6 @@ def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return searched(table(spark, folder, "documents"), every_question(spark, folder), lists, cited)
 
 
-def context_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that fit a budget of 15 000 characters a question, best first; at most ten. No references, as its SQL has it; `context_references` follows them."""
-    hits = _keyword(spark, folder, 10).join(table(spark, folder, "documents").select("doc_id", F.length("text").alias("chars")), "doc_id")
-    used = F.sum("chars").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("used", used).where(F.col("used") <= 15_000).select("query_id", "doc_id", "rank", "used")
-
-
 def hinted_missing(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Up to three documents that a question's hits by title cite and that aren't hits themselves."""
     search, asked = (R.bm25_every, every_question(spark, folder)) if every else (R.bm25_topk, _questions(spark))
@@ -78,14 +72,6 @@ def hinted_missing(spark: SparkSession, folder: str, every: bool = False) -> Dat
     return R.ranked(missing, 3, "id").select("query_id", "id", "score")
 
 
-def cited_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """For each test item the first chunk of any document with the cited article, and how many there are, without a search, as its SQL has it; `cited_search_hits` searches."""
-    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "citation")
-    chunks = table(spark, folder, "chunks").select("chunk_id", "article_ref").distinct()
-    cited = chunks.join(items, F.lower("article_ref") == F.lower(F.trim("citation"))).groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("matches"))
-    return items.join(cited, "query_id", "left").select("query_id", "chunk_id", F.coalesce("matches", F.lit(0)).alias("matches"))
-
-
 def chunk_hits(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The best `k` chunks of each question by keywords, with all that `chunks` has of them; one row a chunk."""
     rows = chunks.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in chunks.columns if c != "chunk_id"])).alias("c")).select("chunk_id", "c.*")
@@ -110,7 +96,7 @@ def cited_of(hits: DataFrame, answers: DataFrame) -> DataFrame:
     return marked.withColumn("some", some).where(F.col("cited") | (~F.col("some") & (F.col("rank") == 1))).drop("some", "answer")
 
 
-def cited_search_hits(spark: SparkSession, folder: str) -> DataFrame:
+def cited_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Of the eight best chunks of each test question those that its citation names; the best where none is named."""
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"), F.col("citation").alias("answer"))
     titles = table(spark, folder, "doc_contexts").groupBy(F.col("doc_id").alias("document_id")).agg(F.min("doc_title").alias("title"))
@@ -162,13 +148,6 @@ def article_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def changed_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Changing relations with the very first chunk of the changed document, or null, as its SQL has it; `changed_article_texts` goes by the article."""
-    rels = links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES", "REPEALS")).select(F.col("src").alias("by_id"), "type", F.col("dst").alias("document_id"))
-    first = table(spark, folder, "chunks").groupBy("document_id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("first_chunk"))
-    return rels.join(first, "document_id", "left")
-
-
-def changed_article_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Changing relations with the article they change, its first chunk and that chunk's text; null where no article is named or the document hasn't got it."""
     article = lambda c: F.nullif(F.lower(squeeze(c)), F.lit(""))
     rels = changes(spark, folder).withColumn("__a", article("article"))
@@ -178,9 +157,9 @@ def changed_article_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaf_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of entities by label that the document of every chunk has; chunks without any too."""
-    names = table(spark, folder, "doc_contexts").select(F.col("doc_id").alias("document_id"), F.explode("entities").alias("label", "names")).groupBy("document_id").agg(F.sum(F.size("names")).alias("entities"))
-    return table(spark, folder, "chunks").select("chunk_id", "document_id").distinct().join(names, "document_id", "left").select("chunk_id", F.coalesce("entities", F.lit(0)).alias("entities"))
+    """The labels of the entities that the document of every chunk has, with their number; a null label for a chunk whose document has none."""
+    names = table(spark, folder, "doc_contexts").select(F.col("doc_id").alias("document_id"), F.explode("entities").alias("label", "names")).select("document_id", "label", F.size("names").alias("entities")).where(F.col("entities") > 0)
+    return table(spark, folder, "chunks").select("chunk_id", "document_id").distinct().join(names, "document_id", "left").select("chunk_id", "label", F.coalesce("entities", F.lit(0)).alias("entities"))
 
 
 def samples_per_document(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,12 +178,8 @@ def entity_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical names and sectors of which one contains the other, by words in common first, not by all pairs."""
-    names = table(spark, folder, "canon_names").select("canon_id", fold("canon_name").alias("name"))
-    exploded = names.select("canon_id", "name", F.explode(F.array_distinct(folded_words("name"))).alias("word"))
-    a, b = exploded.toDF("a_id", "a_name", "word"), exploded.toDF("b_id", "b_name", "word")
-    rare = exploded.groupBy("word").count().where(F.col("count") <= 40).select("word")
-    return a.join(rare, "word").join(b, "word").where((F.col("a_id") != F.col("b_id")) & F.contains("a_name", F.col("b_name"))).select("a_id", "b_id").distinct()
+    """Canonical names and sectors of which one contains the other; equal ones are one class."""
+    return contained(table(spark, folder, "canon_names").select("canon_id", fold("canon_name").alias("name")), "canon_id", "name")
 
 
 def relation_rename(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,25 +210,15 @@ def verb_groups(spark: SparkSession, folder: str) -> DataFrame:
     return every.groupBy(F.regexp_replace(L.verb_stem("raw"), "(S|ED|D)$", "").alias("stem")).agg(F.count("*").alias("forms"), F.array_join(F.array_sort(F.collect_set("raw")), ",").alias("names")).where(F.col("forms") > 1)
 
 
-def _context(spark: SparkSession, folder: str, hits: DataFrame, content: Column) -> DataFrame:
-    """One text of each question's hits, the best at both ends; `content` is what a document gives to it."""
-    texts = hits.join(table(spark, folder, "documents").select("doc_id", "document_number", "text"), "doc_id")
+def context_text(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
+    """The context of each question: the whole texts of its eight best documents, the best at both ends."""
+    texts = _keyword(spark, folder, 8, every=every).join(table(spark, folder, "documents").select("doc_id", "document_number", "text"), "doc_id")
     total = F.count("*").over(Window.partitionBy("query_id"))
-    placed = texts.select("query_id", R.interleaved(F.col("rank"), total).alias("position"), L.rerank_text(F.col("document_number"), F.lit(""), content).alias("piece"))
+    placed = texts.select("query_id", R.interleaved(F.col("rank"), total).alias("position"), L.rerank_text(F.col("document_number"), F.lit(""), F.col("text")).alias("piece"))
     gathered = F.array_sort(F.collect_list(F.struct("position", "piece")))
     return placed.groupBy("query_id").agg(F.array_join(F.transform(gathered, lambda x: x["piece"]), "\n---\n").alias("context"))
 
 
-def context_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 300 characters of the eight best documents of each question, the best at both ends, as its SQL has it; `context_whole` has the whole texts."""
-    return _context(spark, folder, _keyword(spark, folder, 8), F.substring("text", 1, 300))
-
-
-def context_whole(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
-    """The context of each question: the whole texts of its eight best documents, the best at both ends."""
-    return _context(spark, folder, _keyword(spark, folder, 8, every=every), F.col("text"))
-
-
 def processed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Document contexts made of raw texts and the last crawl of their number, without the texts."""
     return document_contexts(table(spark, folder, "documents"), table(spark, folder, "corpus_metadata"), F.lit("2024-01-01")).drop("text", "sectors")
@@ -267,10 +232,10 @@ def ingested_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        verb_groups, context_text, context_whole, processed_documents, ingested_chunks, search_pipeline, context_budget, hinted_missing, cited_hits, cited_search_hits, context_references, text_citations, chunk_order, article_bodies, changed_articles, changed_article_texts, leaf_entities, samples_per_document, entity_search, name_overlaps,
+        verb_groups, context_text, processed_documents, ingested_chunks, search_pipeline, hinted_missing, cited_hits, context_references, text_citations, chunk_order, article_bodies, changed_articles, leaf_entities, samples_per_document, entity_search, name_overlaps,
         relation_rename, date_years, flattened_chats,
     )
-} | {f"{f.__name__}_all": partial(f, every=True) for f in (context_whole, hinted_missing)}
+} | {f"{f.__name__}_all": partial(f, every=True) for f in (context_text, hinted_missing)}
 
 from canonry.plans import graph as _graph  # noqa: E402
 from canonry.plans import retrieval as _retrieval  # noqa: E402
@@ -282,22 +247,23 @@ SQL = {
     "verb_groups": "WITH e AS (SELECT DISTINCT x.edge_label AS raw FROM " + _texts._REL + " UNION SELECT unnest([" + ", ".join(f"'{x}'" for x in V.DOC_RELATIONS) + """])),
       s AS (SELECT regexp_replace(regexp_replace(raw, '_(BY|TO|IN|FOR|FROM|WITH|AS|VIA|ON|AT|OF)$', ''), '(S|ED|D)$', '') AS stem, raw FROM e) SELECT stem, count(*) AS forms, string_agg(raw, ',' ORDER BY raw) AS names FROM s GROUP BY stem HAVING count(*) > 1""",
     "context_text": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 8)}, t AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM b JOIN documents USING (doc_id)),
-      p AS (SELECT query_id, CASE WHEN total <= 2 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE total - rank // 2 + 1 END AS position, concat_ws(chr(10), nullif(trim(document_number), ''), nullif(trim(substr(text, 1, 300), ' '), '')) AS piece FROM t)
+      p AS (SELECT query_id, CASE WHEN total <= 2 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE total - rank // 2 + 1 END AS position, concat_ws(chr(10), nullif(trim(document_number), ''), nullif(trim(text, ' '), '')) AS piece FROM t)
       SELECT query_id, string_agg(piece, chr(10) || '---' || chr(10) ORDER BY position) AS context FROM p GROUP BY query_id""",
-    "context_budget": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 10)}, u AS (SELECT query_id, doc_id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b JOIN documents USING (doc_id))
-      SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(used AS BIGINT) AS used FROM u WHERE used <= 15000""",
     "hinted_missing": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 20, 'doc_contexts', 'doc_title')}, {_graph._BASE}, f AS (SELECT query_id, doc_id AS id FROM b),
       n AS (SELECT DISTINCT query_id, l.dst AS id FROM f JOIN links l ON l.src = f.id), m AS (SELECT * FROM n WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM f))
       SELECT query_id, id, 0.25::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM m) WHERE r <= 3""",
-    "cited_hits": """WITH c AS (SELECT DISTINCT chunk_id, article_ref FROM chunks) SELECT i.item_id AS query_id, min(c.chunk_id) AS chunk_id, count(c.chunk_id) AS matches FROM eval_items i LEFT JOIN c ON lower(c.article_ref) = lower(trim(i.citation)) GROUP BY i.item_id""",
     "chunk_order": """SELECT document_id, chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY coalesce(TRY_CAST(regexp_extract(chunk_id, 'c(\\d+)', 1) AS INTEGER), 0), coalesce(TRY_CAST(regexp_extract(chunk_id, 'p(\\d+)', 1) AS INTEGER), 0), chunk_id) AS INTEGER) AS place
       FROM (SELECT DISTINCT document_id, chunk_id FROM chunks)""",
-    "changed_articles": f"WITH {_graph._BASE} SELECT l.src AS by_id, l.type, l.dst AS document_id, f.first_chunk FROM links l LEFT JOIN (SELECT document_id, arg_min(chunk_id, (chunk_index, chunk_id)) AS first_chunk FROM chunks GROUP BY 1) f ON f.document_id = l.dst WHERE l.type IN ('AMENDS', 'REPLACES', 'REPEALS')",
-    "leaf_entities": f"SELECT c.chunk_id, CAST(coalesce(e.n, 0) AS BIGINT) AS entities FROM (SELECT DISTINCT chunk_id, document_id FROM chunks) c LEFT JOIN (SELECT doc_id, len(flatten(map_values(entities))) AS n FROM doc_contexts WHERE cardinality(entities) > 0) e ON e.doc_id = c.document_id",
+    "changed_articles": f"""WITH {_graph._BASE}, r AS (SELECT DISTINCT by_id, type, id AS document_id, article FROM (SELECT by_id, x.edge_label AS type, {_graph._real('x.target_article')} AS article, {_graph._k('x.target_doc')} AS key
+        FROM (SELECT doc_id AS by_id, unnest(ontology_rels) AS x FROM doc_contexts) WHERE x.edge_label IN ('AMENDS', 'REPLACES', 'REPEALS')) JOIN nums USING (key)),
+      f AS (SELECT document_id, lower({_SQ('article_ref')}) AS a, min((chunk_index, chunk_id, chunk_text)) AS c FROM chunks WHERE {_SQ('article_ref')} <> '' GROUP BY ALL)
+      SELECT by_id, type, r.document_id, article, c[2] AS first_chunk, c[3] AS old_text FROM r LEFT JOIN f ON f.document_id = r.document_id AND f.a = lower(r.article)""",
+    "leaf_entities": "SELECT c.chunk_id, e.label, CAST(coalesce(e.n, 0) AS INTEGER) AS entities FROM (SELECT DISTINCT chunk_id, document_id FROM chunks) c LEFT JOIN (SELECT doc_id, label, len(names) AS n FROM (SELECT doc_id, unnest(map_keys(entities)) AS label, unnest(map_values(entities)) AS names FROM doc_contexts) WHERE len(names) > 0) e ON e.doc_id = c.document_id",
     "samples_per_document": "SELECT * FROM (SELECT document_id, chunk_index, chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS INTEGER) AS n FROM (SELECT DISTINCT document_id, chunk_index, chunk_id FROM chunks)) WHERE n <= 3",
     "entity_search": f"""WITH e AS (SELECT doc_id, label, {FOLD.format(_SQ('raw'))} AS name FROM (SELECT doc_id, label, unnest(names) AS raw FROM (SELECT doc_id, unnest(map_keys(entities)) AS label, unnest(map_values(entities)) AS names FROM doc_contexts)))
       SELECT label, name, count(DISTINCT doc_id) AS docs FROM e WHERE contains(name, 'tram quan trac') OR levenshtein(name, 'tram quan trac') <= 1 GROUP BY ALL""",
-    "name_overlaps": f"SELECT a.canon_id AS a_id, b.canon_id AS b_id FROM canon_names a JOIN canon_names b ON a.canon_id <> b.canon_id AND contains({FOLD.format('a.canon_name')}, {FOLD.format('b.canon_name')})",
+    "name_overlaps": f"""WITH n AS (SELECT {FOLD.format('canon_name')} AS name, min(canon_id) AS id, count(*) AS same FROM canon_names WHERE canon_name <> '' GROUP BY 1)
+      SELECT a.id AS a_id, b.id AS b_id, a.same AS a_same, b.same AS b_same FROM n a JOIN n b ON a.name <> b.name AND contains(a.name, b.name)""",
     "relation_rename": "WITH n AS (" + _texts.SQL["relation_names"] + f") SELECT n.raw AS old, n.relation AS new, count(*) AS edges FROM {_texts._REL} r JOIN n ON n.raw = r.x.edge_label WHERE n.raw <> n.relation GROUP BY ALL",
     "date_years": "SELECT coalesce(nullif(regexp_extract(trim(issuance_date, ' '), '^\\d{1,2}/\\d{1,2}/(\\d{4})', 1), ''), nullif(regexp_extract(trim(issuance_date, ' '), '^(\\d{4})-\\d{1,2}-\\d{1,2}', 1), '')) AS year, count(*) AS n FROM corpus_metadata GROUP BY 1",
     "flattened_chats": _sessions._M + ", b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC, created_at DESC NULLS LAST, role DESC, content DESC) AS back FROM m WHERE content IS NOT NULL AND role IS NOT NULL) SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY back DESC) AS prompt FROM b WHERE back <= 14 GROUP BY session_id",

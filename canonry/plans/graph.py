@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from canonry.functions.text import known, letters_digits, squeeze
 from canonry.operators import graph as G
 from canonry.operators.ordered import Ordered
-from canonry.sources.tables import table
+from canonry.sources.tables import derived, table
 
 _REAL = ("N/A", "unknown", "nan")
 
@@ -18,8 +18,16 @@ def _key(name: str):
     return letters_digits(known(name, *_REAL))
 
 
+#: The tables that citations are made of.
+_CITING = ["doc_contexts", "base_laws"]
+
+
 def numbers(spark: SparkSession, folder: str) -> DataFrame:
     """One document per number: the lowest id, documents before base laws; `key`, `id`, `number`."""
+    return derived(spark, folder, "numbers", _CITING, lambda: _numbers(spark, folder))
+
+
+def _numbers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "doc_contexts").select(_key("doc_number").alias("key"), F.col("doc_id").alias("id"), F.col("doc_number").alias("number"), F.lit(0).alias("t"))
     laws = table(spark, folder, "base_laws").select(_key("doc_number").alias("key"), F.col("doc_id").alias("id"), F.col("doc_number").alias("number"), F.lit(1).alias("t"))
     every = docs.unionByName(laws).where(F.col("key").isNotNull())
@@ -28,6 +36,10 @@ def numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
     """`src` document, `type`, `dst` key of the cited number; distinct."""
+    return derived(spark, folder, "citations", _CITING[:1], lambda: _citations(spark, folder))
+
+
+def _citations(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "doc_contexts")
     basis = docs.select(F.col("doc_id").alias("src"), F.lit("BASED_ON").alias("type"), F.explode("basis_refs.doc_number").alias("raw"))
     rels = docs.select(F.col("doc_id").alias("src"), F.explode("ontology_rels").alias("x")).select("src", F.col("x.edge_label").alias("type"), F.col("x.target_doc").alias("raw"))
@@ -36,8 +48,8 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
     """Citations whose number is that of a document: `src`, `type`, `dst` ids."""
-    known_numbers = numbers(spark, folder).select(F.col("key").alias("dst"), "id")
-    return citations(spark, folder).join(known_numbers, "dst").select("src", "type", F.col("id").alias("dst")).distinct()
+    known_numbers = lambda: numbers(spark, folder).select(F.col("key").alias("dst"), "id")
+    return derived(spark, folder, "links", _CITING, lambda: citations(spark, folder).join(known_numbers(), "dst").select("src", "type", F.col("id").alias("dst")).distinct())
 
 
 def changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,26 +60,21 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges of documents to authorities, signers, types, numbers and entities, as its SQL has them; `whole_graph_edges` has the others too."""
-    return G.document_edges(table(spark, folder, "doc_contexts"))
-
-
-def edge_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges by type."""
-    return graph_edges(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    """All edges of the graph: those of documents, their sectors, the tree of articles and chunks, and the articles that relations name."""
+    return derived(spark, folder, "graph", [*_CITING, "chunks"], lambda: _graph_edges(spark, folder), "type").select("src", "type", "dst")
 
 
-def whole_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """All edges of the graph: those of documents, their sectors, the tree of articles and chunks, and the articles that relations name."""
+def _graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "doc_contexts")
     rels = docs.select(F.explode("ontology_rels").alias("x")).where(F.length("x.target_article") > 0).select(squeeze(known("x.target_doc", "N/A", "nan")).alias("number"), F.col("x.target_article").alias("article")).distinct()
     named = rels.withColumn("key", _key("number")).join(numbers(spark, folder).select("key", "id"), "key", "left")
-    return graph_edges(spark, folder).unionByName(G.sector_edges(docs)).unionByName(G.tree_edges(table(spark, folder, "chunks"))).unionByName(G.phantom_edges(named)).distinct()
+    tree = G.tree_edges(table(spark, folder, "chunks")).unionByName(G.phantom_edges(named))
+    return G.document_edges(docs).unionByName(G.sector_edges(docs)).unionByName(tree).distinct()
 
 
-def whole_edge_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """All edges of the graph by type."""
-    return whole_graph_edges(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+def edge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges by type."""
+    return graph_edges(spark, folder).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
 def ghost_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,15 +132,14 @@ def conflicts_by_article(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chain_two(spark: SparkSession, folder: str) -> DataFrame:
-    """Chains of one or two changing citations."""
-    change = links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES", "REPEALS")).select("src", "dst").distinct()
-    return G.chains(change, 2)
+    """Changing citations that others follow, how many do, and the least of them; the chains of a hub aren't written out."""
+    change = links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES", "REPEALS"))
+    return G.chains(change).select("first", "second", "two", "onward")
 
 
 def chains_two_three(spark: SparkSession, folder: str) -> DataFrame:
-    """Chains of two or three changing citations."""
-    change = links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES", "REPEALS")).select("src", "dst").distinct()
-    return G.chains(change, 3, 2)
+    """Amending and replacing citations with the number of chains of two and three that begin with each."""
+    return G.chains(links(spark, folder).where(F.col("type").isin("AMENDS", "REPLACES"))).select("first", "second", "two", "three")
 
 
 def reverse_basis(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,12 +162,23 @@ def two_hop(spark: SparkSession, folder: str) -> DataFrame:
     return G.histogram(links(spark, folder), seeds, 2)
 
 
+def _ends(edges: DataFrame) -> tuple[str | None, str | None]:
+    """The first citing document and the most cited base law."""
+    goal = edges.where(F.length("dst") <= 4).groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select("dst")
+    row = edges.agg(F.min("src").alias("start")).select("start", goal.scalar().alias("goal")).first()
+    return row.start, row.goal
+
+
 def path_length(spark: SparkSession, folder: str) -> DataFrame:
-    """Steps between the first citing document and the most cited base law, at most six."""
+    """Steps between the first citing document and the most cited base law, however many."""
     edges = links(spark, folder)
-    start = edges.agg(F.min("src")).first()[0]
-    goal = edges.where(F.length("dst") <= 4).groupBy("dst").count().orderBy(F.desc("count"), "dst").first()
-    return G.shortest_path(edges, F.lit(start), F.lit(goal[0] if goal else None), 6)
+    return G.shortest_path(edges, *_ends(edges))
+
+
+def path_two(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where there are at most two."""
+    edges = links(spark, folder)
+    return G.shortest_path(edges, *_ends(edges), 2)
 
 
 def impact_three(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,11 +245,13 @@ def enriched_laws(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        graph_edges, edge_counts, whole_graph_edges, whole_edge_counts, ghost_documents, canonical_references, closure_two, leaf_levels, document_tree, admin_card, time_travel, conflicts_by_article, chain_two, chains_two_three,
-        reverse_basis, one_hop, two_hop, path_length, impact_three, rare_siblings, same_authority, same_sector, article_siblings, keyword_union, cross_authority, enriched_laws,
+        graph_edges, edge_counts, ghost_documents, canonical_references, closure_two, leaf_levels, document_tree, admin_card, time_travel, conflicts_by_article, chain_two, chains_two_three,
+        reverse_basis, one_hop, two_hop, path_length, path_two, impact_three, rare_siblings, same_authority, same_sector, article_siblings, keyword_union, cross_authority, enriched_laws,
     )
 }
 
+from canonry.plans import problems as _problems  # noqa: E402
+
 _NO = "('', 'n/a', 'unknown', 'nan')"
 
 
@@ -261,12 +280,20 @@ _EDGES = f"""
 SELECT doc_id AS src, 'ISSUED_BY' AS type, {_real2('issuing_auth')} AS dst FROM doc_contexts UNION SELECT doc_id, 'SIGNED_BY', {_real2('signer_name')} FROM doc_contexts UNION SELECT doc_id, 'HAS_TYPE', {_real2('legal_type_meta')} FROM doc_contexts
 UNION SELECT doc_id, 'BASED_ON', {_real2('n')} FROM (SELECT doc_id, unnest(list_transform(basis_refs, lambda x: x.doc_number)) AS n FROM doc_contexts)
 UNION SELECT doc_id, x.edge_label, {_real2('x.target_doc')} FROM (SELECT doc_id, unnest(ontology_rels) AS x FROM doc_contexts) WHERE x.edge_label IS NOT NULL
-UNION SELECT doc_id, 'HAS_ENTITY', {_real2('n')} FROM (SELECT doc_id, unnest(flatten(map_values(entities))) AS n FROM doc_contexts)"""
+UNION SELECT doc_id, 'HAS_ENTITY', {_real2('n')} FROM (SELECT doc_id, unnest(flatten(map_values(entities))) AS n FROM doc_contexts)
+UNION SELECT record_id, 'HAS_SECTOR', {_sq('val')} FROM ({_problems._P2}) WHERE field_name = 'sectors_str'
+UNION SELECT document_id, 'HAS_ARTICLE', document_id || '_' || a FROM parts WHERE a IS NOT NULL
+UNION SELECT chunk_id, 'PART_OF', p.document_id || '_' || a FROM parts p LEFT JOIN leaves l USING (document_id, a) WHERE a IS NOT NULL AND (t OR chunk_id IS DISTINCT FROM leaf)
+UNION SELECT chunk_id, 'BELONGS_TO', document_id FROM parts WHERE a IS NULL
+UNION SELECT owner || '_' || a, 'BELONGS_TO', owner FROM (SELECT coalesce(id, 'REF_' || n) AS owner, a FROM
+  (SELECT {_real2('x.target_doc')} AS n, nullif({_sq('x.target_article')}, '') AS a, {_k('x.target_doc')} AS key FROM (SELECT unnest(ontology_rels) AS x FROM doc_contexts)) LEFT JOIN nums USING (key)) WHERE a IS NOT NULL AND owner IS NOT NULL"""
+_PARTS = f"""{_BASE}, parts AS (SELECT DISTINCT document_id, chunk_id, chunk_index, coalesce(is_table, false) AS t, nullif({_sq('article_ref')}, '') AS a FROM chunks),
+leaves AS (SELECT document_id, a, arg_min(chunk_id, (chunk_index, chunk_id)) AS leaf FROM parts WHERE a IS NOT NULL AND NOT t GROUP BY ALL)"""
 _CHANGE = "change AS (SELECT DISTINCT src, dst FROM links WHERE type IN ('AMENDS', 'REPLACES', 'REPEALS'))"
 _BOTH = "both_ways AS (SELECT src, type, dst FROM links UNION SELECT dst, type, src FROM links)"
 SQL = {
-    "graph_edges": f"SELECT * FROM ({_EDGES}) WHERE dst IS NOT NULL",
-    "edge_counts": f"SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ({_EDGES}) WHERE dst IS NOT NULL GROUP BY type",
+    "graph_edges": f"WITH {_PARTS} SELECT * FROM ({_EDGES}) WHERE dst IS NOT NULL",
+    "edge_counts": f"WITH {_PARTS} SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ({_EDGES}) WHERE dst IS NOT NULL GROUP BY type",
     "ghost_documents": f"WITH {_BASE} SELECT dst AS id, count(*) AS refs FROM cites WHERE type IN ('BASED_ON', 'AMENDS', 'REPEALS', 'REPLACES', 'GUIDES', 'APPLIES_TO') AND dst NOT IN (SELECT key FROM nums) GROUP BY dst",
     "canonical_references": f"WITH {_BASE}, r AS (SELECT doc_id, raw, {_k('raw')} AS key FROM (SELECT doc_id, unnest(list_transform(basis_refs, lambda x: x.doc_number)) AS raw FROM doc_contexts)) SELECT DISTINCT doc_id, raw, coalesce(number, raw) AS number, number IS NOT NULL AS known FROM r LEFT JOIN nums USING (key)",
     "closure_two": f"WITH RECURSIVE {_BASE}, c(id, depth) AS (SELECT doc_id, 0 FROM doc_contexts WHERE doc_year = '2019' UNION SELECT l.dst, c.depth + 1 FROM c JOIN links l ON l.src = c.id WHERE c.depth < 2) SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY id",
@@ -277,14 +304,16 @@ SQL = {
     "time_travel": f"WITH {_BASE} SELECT d.doc_id, l.src AS by_id, l.type FROM doc_contexts d LEFT JOIN (SELECT * FROM links WHERE type IN ('AMENDS', 'REPLACES', 'REPEALS')) l ON l.dst = d.doc_id",
     "conflicts_by_article": f"""WITH {_BASE}, r AS (SELECT by_id, x.edge_label AS type, x.target_article AS article, {_k('x.target_doc')} AS key FROM (SELECT doc_id AS by_id, unnest(ontology_rels) AS x FROM doc_contexts) WHERE x.edge_label IN ('AMENDS', 'REPLACES', 'REPEALS') AND length(x.target_article) > 0)
       SELECT DISTINCT by_id, type, document_id, chunk_id FROM r JOIN nums USING (key) JOIN chunks ON chunks.document_id = nums.id AND contains(lower(article_ref), lower(article))""",
-    "chain_two": f"WITH {_BASE}, {_CHANGE} SELECT DISTINCT src AS first, dst AS last, 1 AS hops, src || '>' || dst AS path FROM change WHERE src <> dst UNION SELECT a.src, b.dst, 2, a.src || '>' || a.dst || '>' || b.dst FROM change a JOIN change b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)",
-    "chains_two_three": f"""WITH {_BASE}, {_CHANGE} SELECT a.src AS first, b.dst AS last, 2 AS hops, a.src || '>' || a.dst || '>' || b.dst AS path FROM change a JOIN change b ON a.dst = b.src WHERE a.src <> a.dst AND b.dst NOT IN (a.src, a.dst)
-      UNION SELECT a.src, c.dst, 3, a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst FROM change a JOIN change b ON a.dst = b.src JOIN change c ON b.dst = c.src WHERE a.src <> a.dst AND b.dst NOT IN (a.src, a.dst) AND c.dst NOT IN (a.src, a.dst, b.dst)""",
+    "chain_two": f"WITH {_BASE}, {_CHANGE} SELECT a.src AS first, a.dst AS second, count(*) AS two, min(b.dst) AS onward FROM change a JOIN change b ON a.dst = b.src WHERE a.src <> a.dst AND b.src <> b.dst GROUP BY ALL",
+    "chains_two_three": f"""WITH {_BASE}, change AS (SELECT DISTINCT src, dst FROM links WHERE type IN ('AMENDS', 'REPLACES') AND src <> dst),
+      t AS (SELECT a.src AS first, a.dst AS second, count(*) AS two FROM change a JOIN change b ON a.dst = b.src GROUP BY ALL),
+      u AS (SELECT a.src AS first, a.dst AS second, count(*) AS three FROM change a JOIN change b ON a.dst = b.src JOIN change c ON b.dst = c.src WHERE NOT (c.src = a.src AND c.dst = a.dst) GROUP BY ALL)
+      SELECT first, second, two, coalesce(three, 0) AS three FROM t LEFT JOIN u USING (first, second)""",
     "reverse_basis": f"WITH {_BASE} SELECT b.doc_id AS law_id, b.law_title, count(DISTINCT l.src) AS documents FROM links l JOIN base_laws b ON b.doc_id = l.dst WHERE l.type = 'BASED_ON' AND l.src NOT IN (SELECT doc_id FROM doc_contexts WHERE legal_type_meta = 'Luật') GROUP BY ALL",
     "one_hop": f"WITH {_BASE}, {_BOTH} SELECT type, count(DISTINCT dst) AS vertices FROM both_ways WHERE src IN (SELECT doc_id FROM doc_contexts WHERE doc_year = '2019') GROUP BY type",
     "two_hop": f"WITH {_BASE}, {_BOTH} SELECT type, count(DISTINCT dst) AS vertices FROM both_ways WHERE src IN (SELECT dst FROM both_ways WHERE src IN (SELECT doc_id FROM doc_contexts WHERE doc_year = '2019')) GROUP BY type",
-    "path_length": f"""WITH RECURSIVE {_BASE}, {_BOTH}, s AS (SELECT min(src) AS start FROM links), g AS (SELECT dst AS goal FROM links WHERE length(dst) <= 4 GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
-      c(id, steps) AS (SELECT start, 0 FROM s UNION SELECT b.dst, c.steps + 1 FROM c JOIN both_ways b ON b.src = c.id WHERE c.steps < 6) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM c WHERE id = (SELECT goal FROM g) GROUP BY id""",
+    **{name: f"""WITH RECURSIVE {_BASE}, {_BOTH}, s AS (SELECT min(src) AS start FROM links), g AS (SELECT dst AS goal FROM links WHERE length(dst) <= 4 GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+      c(id, steps) AS (SELECT start, 0 FROM s UNION SELECT b.dst, c.steps + 1 FROM c JOIN both_ways b ON b.src = c.id WHERE c.steps < {most}) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM c WHERE id = (SELECT goal FROM g) GROUP BY id""" for name, most in (("path_length", 12), ("path_two", 2))},
     "impact_three": f"WITH RECURSIVE {_BASE}, c(id, depth) AS (SELECT doc_id, 0 FROM base_laws WHERE doc_id = '1001' UNION SELECT l.src, c.depth + 1 FROM c JOIN links l ON l.dst = c.id WHERE c.depth < 3) SELECT depth, count(*) AS documents FROM (SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY id) GROUP BY depth",
     "rare_siblings": f"""WITH u AS (SELECT DISTINCT doc_id, {_sq('n')} AS name FROM (SELECT doc_id, unnest(flatten(map_values(entities))) AS n FROM doc_contexts) WHERE {_sq('n')} <> ''), f AS (SELECT * FROM u WHERE name IN (SELECT name FROM u GROUP BY name HAVING count(*) BETWEEN 2 AND 29))
       SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM f x JOIN f y USING (name) WHERE x.doc_id < y.doc_id GROUP BY ALL""",

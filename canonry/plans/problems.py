@@ -124,7 +124,7 @@ direct AS (SELECT * FROM refs r WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM targ
 edges AS (SELECT * FROM refs r WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.ref_field = r.ref_field AND d.record_id = r.record_id AND d.ref_pos = r.ref_pos)),
 owned AS (SELECT DISTINCT doc_id AS record_id, regexp_replace(replace(lower(strip_accents(doc_number)), 'đ', 'd'), '[^a-z0-9]+', '', 'g') AS k FROM doc_contexts WHERE doc_number IS NOT NULL AND lower(trim(doc_number)) NOT IN ('', 'n/a', 'unknown')),
 cas(k, depth) AS (SELECT DISTINCT o.k, 1 FROM owned o JOIN direct d ON d.record_id = o.record_id
-  UNION SELECT DISTINCT o.k, c.depth + 1 FROM cas c JOIN edges e ON e.k = c.k JOIN owned o ON o.record_id = e.record_id WHERE c.depth < 12),
+  UNION SELECT DISTINCT o.k, c.depth + 1 FROM cas c JOIN edges e ON e.k = c.k JOIN owned o ON o.record_id = e.record_id WHERE c.depth < 60),
 first AS (SELECT k, min(depth) AS depth FROM cas GROUP BY k)
 """
 

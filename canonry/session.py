@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "canonry", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,29 +39,65 @@ def build_session(app: str = "canonry", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables between two steps.
 
-    `spark.checkpoint.dir` names the folder that all executors share; a
-    machine-local folder is used only in local mode, where it is unset.
+    It is what `spark.checkpoint.dir` names. Where that is unset, local mode
+    gets a folder of its own that ends with the process; a cluster gets an error.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    shared = context.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "canonry-checkpoints")
-    context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
-
-
-def checkpointed(df, eager: bool = True):
-    """`df` written to the shared checkpoint folder, so that lost executors don't lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{_local_folder()}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="canonry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def written(df: DataFrame, flag: str | None = None) -> tuple:
+    """`df` as a Parquet table of the shared folder, which cuts its lineage and outlives executors; its number of rows; with `flag`, how many have that column true."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/canonry-steps/{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag) if flag else F.lit(False)).alias("k")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, seen.get["n"], seen.get["k"]) if flag else (table, seen.get["n"])
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:
+    """A table derived from the files `sources`, built once and kept in the shared folder; rows of one `bucket` value share a folder.
+
+    The sources' paths, sizes and times are part of its name, so changed files
+    get a new table. A table is complete once it has its success mark; a
+    builder that was lost leaves none and the next one builds again.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for source in sources:
+        path = hadoop.Path(source)
+        fs = path.getFileSystem(conf)
+        state += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)) if fs.exists(path) else [(source, 0, 0)]
+    mark = hashlib.sha256(repr((name, state)).encode()).hexdigest()[:24]
+    target = f"{shared_folder(spark)}/canonry-stored/{name}-{mark}"
+    done = hadoop.Path(f"{target}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        writer = build().write.mode("overwrite")
+        (writer.partitionBy(bucket) if bucket else writer).parquet(target)
+        _SCHEMAS.pop(target, None)
+    # the schema is read from the files once; later reads start no job for it
+    if target not in _SCHEMAS:
+        _SCHEMAS[target] = spark.read.parquet(target).schema
+    return spark.read.schema(_SCHEMAS[target]).parquet(target)
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def ship(spark: SparkSession, root: str) -> None:

@@ -1,10 +1,24 @@
-"""Named Parquet tables of one data folder."""
+"""Named Parquet tables of one data folder, and tables derived from them once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from canonry.session import stored
+
+
+def place(folder: str, name: str) -> str:
+    """Where the table `name` is."""
+    return f"{folder.rstrip('/')}/{name}.parquet"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` below `folder`; one file or a directory of files."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(place(folder, name))
+
+
+def derived(spark: SparkSession, folder: str, name: str, sources: list[str], build: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:
+    """A table made from the tables `sources` of `folder`, built at its first use and again when one of them changes."""
+    return stored(spark, name, [place(folder, s) for s in sources], build, bucket)

@@ -46,13 +46,24 @@ def test_bm25_edges(spark):
     assert [(r.query_id, r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (1, 1)]
 
 
+def brute_chains(edges):
+    one = {(a, b) for a, b in edges if a != b}
+    out = []
+    for e in one:
+        two = [f for f in one if f[0] == e[1]]
+        three = [g for f in two for g in one if g[0] == f[1] and g != e]
+        out += [(*e, len(two), len(three), min(f[1] for f in two))] if two else []
+    return sorted(out)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "a"), ("c", "S", "d"), ("x", "R", "y")], "src string, type string, dst string")
     seeds = spark.createDataFrame([("a",)], "id string")
     assert sorted((r.id, r.depth) for r in G.closure(seeds, edges, 5).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
-    assert G.shortest_path(edges, F.lit("a"), F.lit("d"), 4).collect()[0].steps == 2
-    assert G.shortest_path(edges, F.lit("a"), F.lit("y"), 4).count() == 0
-    assert sorted(r.path for r in G.chains(edges, 3, 2).collect()) == ["a>b>c", "a>b>c>d", "b>c>a", "b>c>d", "c>a>b"]
+    assert [tuple(r) for r in G.shortest_path(edges, "a", "d").collect()] == [("d", 2)]
+    assert G.shortest_path(edges, "a", "d", 1).count() == 0 and G.shortest_path(edges, "a", "y").count() == 0 and G.shortest_path(edges, None, "y").count() == 0
+    assert [tuple(r) for r in G.shortest_path(edges, "a", "a").collect()] == [("a", 0)]
+    assert sorted((r.first, r.second, r.two, r.three, r.onward) for r in G.chains(edges).collect()) == brute_chains([tuple(r) for r in edges.select("src", "dst").collect()])
     assert [r.id for r in G.ghosts(edges, spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), ["S"]).collect()] == ["d"]
     use = spark.createDataFrame([("d1", "e"), ("d2", "e"), ("d1", "e"), ("d3", "hot"), ("d1", "hot"), ("d2", "hot")], "o string, i string")
     assert [tuple(r) for r in G.rare_siblings(use, "o", "i", 3).collect()] == [("d1", "d2", 1)]
