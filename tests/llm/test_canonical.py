@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from canonry.llm.canonical import Matcher, edits, map_values, normalise
+from canonry.llm.canonical import Matcher, accepted, decide, edits, map_values, normalise, _room
 
 NAMES = ["Ủy ban nhân dân tỉnh Ghềnh Ngạn", "Hội đồng nhân dân tỉnh Ghềnh Ngạn", "Bộ Kinh tế Biển", "Cục Thanh tra Kinh tế Biển", "Sở Bến bãi tỉnh Phù Châm", "Bộ Công sản"]
 SHORT = ["UBND tỉnh Ghềnh Ngạn", "HĐND tỉnh Ghềnh Ngạn", "Bộ KTB", "CTT Kinh tế Biển", "SBB Phù Châm", "Bộ CS"]
@@ -15,7 +15,7 @@ def matcher():
 
 
 def match(values, m=None):
-    return [i for i, _ in (m or matcher()).match(values, 0.2, 0.02, 2, 16)]
+    return [decide(h, 0.85, 0.02)[0] for h in (m or matcher()).match(values, 0.3, 0.85, 0.02, 2)]
 
 
 def test_ways_of_writing():
@@ -59,5 +59,37 @@ def test_operator(spark):
     assert {r.canon_id for r in map_values(values, canon.limit(0)).collect()} == {0}
     clash = map_values(values.withColumnRenamed("n", "score"), canon)
     assert clash.columns == ["kind", "raw", "canon_id", "score"]
-    with pytest.raises(ValueError):
-        map_values(values, canon, most_chars=10)
+    for parts in ({"most_postings": 30}, {"most_broadcast": 0}):
+        assert sorted((r.n, r.canon_id) for r in map_values(values, canon, **parts).collect()) == got
+
+
+def test_all_that_brute_force_finds(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abceghilmnopqtuvxy") for _ in range(rng.randint(2, 6)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(300)})
+    m = Matcher.build([(i, n, None) for i, n in enumerate(names, 1)])
+    values = []
+    for n in rng.sample(names, 150):
+        p = rng.randrange(len(n))
+        values.append(rng.choice([n[:p] + n[p + 1 :], n[:p] + rng.choice("abcxyz") + n[p:], n[:p] + n[p + 1 : p + 2] + n[p] + n[p + 2 :], " ".join(reversed(n.split()))]))
+    values += [" ".join(word() for _ in range(3)) for _ in range(50)]
+    hits = m.match(values, 0.3, 0.85, 0.02, 2)
+    blocks = [Matcher.build([(i, n, None) for i, n in enumerate(names, 1) if i % 3 == b], False, *counted(names)).match(values, 0.3, 2.0, 0.02, 2) for b in range(3)]
+    for k, v in enumerate(values):
+        name, room = normalise(v, False), _room(normalise(v, False), 2)
+        near = {i: min(edits(name, n, room), edits(" ".join(sorted(name.split())), " ".join(sorted(n.split())), room)) for i, n in enumerate(names, 1)}
+        best = min(near.values())
+        if accepted(hits[k], 0.85, 0.02):
+            assert near[decide(hits[k], 0.85, 0.02)[0]] <= 4
+        else:
+            assert {h.id for h in hits[k] if h.distance < 99} <= {i for i, d in near.items() if d <= room}
+            assert best > room or any(h.distance == best for h in hits[k])
+        assert decide([h for b in blocks for h in b[k]], 0.85, 0.02) == pytest.approx(decide(hits[k], 0.85, 0.02))
+
+
+def counted(names):
+    from collections import Counter
+
+    from canonry.llm.canonical import grams
+
+    return Counter(g for n in names for g in grams(normalise(n, False))), len(names)
