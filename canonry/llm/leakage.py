@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canonry.functions.arrow_text import slices
+from canonry.session import written
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = {}
 _BITS = 22
 #: Candidates that are verified at once.
 _AT_ONCE = 1 << 16
@@ -167,76 +167,90 @@ def build_index(items: list, passages: list[str | None], window: int, edits: int
     return Index(items, words, np.searchsorted(words.text, number), np.searchsorted(words.text, number, "right"), keys[order], places[order], bitmap, window, edits)
 
 
-def find_hits(texts: list[str | None], index: Index) -> list[tuple[int, int]]:
-    """Pairs of text and item (by place) such that a window of the item occurs in the text within the error budget."""
-    if not len(index.keys):
-        return []
-    words = words_of(texts)
+def _candidates(words: Words, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
+    """Text, item, first word of the item's window and of the text's span, for every exact piece that the texts have; some at a time.
+
+    The hits of all pieces are numbered in a row and taken in stretches of
+    that row, so a piece that very many places share is split as well.
+    """
     h, at = grams(words, index.piece)
     likely = index.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
     h, at = h[likely], at[likely]
     low, high = np.searchsorted(index.keys, h), np.searchsorted(index.keys, h, "right")
-    count = high - low
-    t = np.repeat(at, count)
-    p = index.places[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    item = index.words.text[p]
+    ends = np.cumsum(high - low)
     w, k, g = index.window, index.edits, index.piece
     # the piece may be any of the k + 1 pieces of a window
-    shift = np.tile(np.arange(k + 1) * g, len(p))
-    t, p, item = (np.repeat(x, k + 1) for x in (t, p, item))
-    start = p - shift
-    ok = (start >= index.first[item]) & (start + w <= index.last[item])
-    t, start, item, shift = t[ok], start[ok], item[ok], shift[ok]
-    if not len(t):
+    shifts = np.arange(k + 1) * g
+    for a in range(0, int(ends[-1]) if len(ends) else 0, _AT_ONCE):
+        number = np.arange(a, min(a + _AT_ONCE, int(ends[-1])))
+        hit = np.searchsorted(ends, number, "right")
+        place = index.places[high[hit] - (ends[hit] - number)]
+        start, begin = (place[:, None] - shifts).ravel(), (at[hit][:, None] - shifts - k).ravel()
+        doc, item = np.repeat(words.text[at[hit]], k + 1), np.repeat(index.words.text[place], k + 1)
+        ok = (start >= index.first[item]) & (start + w <= index.last[item])
+        if ok.any():
+            yield tuple(np.unique(np.stack((doc[ok], item[ok], start[ok], begin[ok])), axis=1))
+
+
+def find_hits(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]:
+    """Text and item (by place) such that a window of the item occurs in the text within the error budget, and the least number of errors."""
+    if not len(index.keys):
         return []
-    doc = words.text[t]
-    begin = t - shift - k
-    cand = np.unique(np.stack((doc, item, start, begin), 1), axis=0)
+    words = words_of(texts)
+    w, k = index.window, index.edits
     padded = np.concatenate((words.hash, [np.uint64(0)]))
     text_of_word = np.concatenate((words.text, [-1]))
-    found: dict[tuple[int, int], bool] = {}
-    for a in range(0, len(cand), _AT_ONCE):
-        d, i, s, b = cand[a : a + _AT_ONCE].T
+    found: dict[tuple[int, int], int] = {}
+    for d, i, s, b in _candidates(words, index):
+        # a pair with an exact window needs no other
+        exact = np.array([x * len(index.items) + y for (x, y), n in found.items() if not n], np.int64)
+        open_ = ~np.isin(d * len(index.items) + i, exact)
+        d, i, s, b = d[open_], i[open_], s[open_], b[open_]
+        if not len(d):
+            continue
         span = b[:, None] + np.arange(w + 2 * k)
         span = np.where((span >= 0) & (span < len(words.hash)), span, len(words.hash))
         span = np.where(text_of_word[span] == d[:, None], span, len(words.hash))
-        near = myers(index.words.hash[s[:, None] + np.arange(w)], padded[span]) <= k
-        for j in np.flatnonzero(near):
+        distance = myers(index.words.hash[s[:, None] + np.arange(w)], padded[span])
+        # the nearest of a pair's windows first, so that others needn't be compared word by word
+        for j in np.flatnonzero(distance <= k)[np.argsort(distance[distance <= k], kind="stable")]:
             pair = (int(d[j]), int(i[j]))
-            if found.get(pair):
+            if found.get(pair, k + 1) <= distance[j]:
                 continue
             own = [words.word(x) for x in span[j] if x < len(words.hash)]
-            found[pair] = distance_within([index.words.word(x) for x in range(s[j], s[j] + w)], own) <= k
-    return sorted(pair for pair, true in found.items() if true)
+            true = distance_within([index.words.word(x) for x in range(s[j], s[j] + w)], own)
+            if true <= k:
+                found[pair] = min(true, found.get(pair, true))
+    return sorted((d, i, n) for (d, i), n in found.items())
 
 
 def leaked_items(
     documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column,
-    window: int = 12, edits: int = 0, block_chars: int = 8 << 20, slice_bytes: int = 2 << 20,
+    window: int = 12, edits: int = 1, block_chars: int = 8 << 20, slice_bytes: int = 2 << 20,
 ) -> DataFrame:
-    """`doc_id`, `item_id` of every document that holds a window of an item's passage.
+    """`doc_id`, `item_id`, `distance` of every document that holds a window of an item's passage.
 
     A window is `window` consecutive words of the passage; it occurs if the
-    text has it with at most `edits` words inserted, left out or replaced.
-    Words are unbroken runs of letters or digits, compared without case and
-    accents. Each window has `edits` + 1 pieces, of which one must occur
+    text has it with at most `edits` words inserted, left out or replaced;
+    `distance` is the least number of these over all windows, 0 for an exact
+    one. Words are unbroken runs of letters or digits, compared without case
+    and accents. Each window has `edits` + 1 pieces, of which one must occur
     exactly; piece hits are found by hash over all texts, verified by
     Myers' bit-parallel distance, and the words themselves compared last.
 
     The items are sent to the executors in blocks of at most `block_chars`
-    characters, each a pass over the documents, so what is broadcast has a
-    fixed bound. Null and short passages and null texts give nothing;
-    repeated documents, items and hits give one row.
+    characters. Beyond one block each is a pass over the documents that is
+    written before the next block is built, so one block is held at a time.
+    Null and short passages and null texts give nothing; repeated documents,
+    items and hits give one row.
     """
     spark = documents.sparkSession
     rows = documents.where(text.isNotNull()).select(doc_id.alias("doc_id"), text.alias("text"))
     asked = items.where(passage.isNotNull() & item_id.isNotNull()).select(item_id.alias("item_id"), passage.alias("passage"))
-    schema = T.StructType([rows.schema["doc_id"], asked.schema["item_id"]])
+    schema = T.StructType([rows.schema["doc_id"], asked.schema["item_id"], T.StructField("distance", T.IntegerType())])
     kind = pa.int64() if isinstance(asked.schema["item_id"].dataType, T.LongType) else None
 
-    def scan(ids: list, passages: list[str]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(ids, passages, window, edits))
-
+    def scan(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
@@ -244,17 +258,32 @@ def leaked_items(
                     part = batch.slice(a, b - a)
                     hits = find_hits(part["text"].to_pylist(), index)
                     if hits:
-                        yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array([d for d, _ in hits])), pa.array([index.items[i] for _, i in hits], kind)], schema.names)
+                        doc, item, distance = zip(*hits)
+                        yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array([index.items[i] for i in item], kind), pa.array(distance, pa.int32())], schema.names)
 
         return rows.mapInArrow(run, schema)
 
-    parts, ids, passages, size = [], [], [], 0
-    for row in asked.toLocalIterator():
+    parts, shared = [], None
+    for ids, passages in _blocks(asked, block_chars):
+        if shared is not None:
+            parts.append(written(scan(shared))[0])
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(build_index(ids, passages, window, edits))
+    last = scan(shared)
+    if parts:
+        last, _ = written(last)
+        shared.destroy()
+    return reduce(DataFrame.unionByName, [*parts, last]).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+
+
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and passages of at most `block_chars` characters, or of one item; at least one block."""
+    ids, passages, size = [], [], 0
+    for row in items.toLocalIterator():
         if size + len(row.passage) > block_chars and ids:
-            parts.append(scan(ids, passages))
+            yield ids, passages
             ids, passages, size = [], [], 0
         ids.append(row.item_id)
         passages.append(row.passage)
         size += len(row.passage)
-    parts.append(scan(ids, passages))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    yield ids, passages

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from canonry.llm.canonical import TITLES, map_values
-from canonry.llm.conversations import conversations, fold_events
+from canonry.llm.conversations import bare, conversations, fold_events
 from canonry.llm.leakage import leaked_items
 from canonry.llm.mojibake import garbled
 from canonry.llm.splitting import split_oversized
@@ -22,8 +23,8 @@ def _long_items(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The items that had to be cut."""
-    return _long_items(spark, folder, False).select("field_name", "item_id").distinct()
+    """The items that were cut: those of which there is a second piece."""
+    return _long_items(spark, folder, False).where(F.col("piece") == 2).select("field_name", "item_id").distinct()
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +32,17 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _long_items(spark, folder, True).distinct()
 
 
+def p3_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every oversized item put together again from its pieces, as a hash, with the longest piece and the largest overlap."""
+    pieces = p3_pieces(spark, folder)
+    before = F.lag("end_at").over(Window.partitionBy("field_name", "item_id", "article_ref").orderBy("piece"))
+    own = pieces.withColumn("shared", F.coalesce(before - F.col("start_at"), F.lit(0))).withColumn("new", F.substr("piece_text", F.col("shared") + 1, F.lit(2000)))
+    parts = F.array_sort(F.collect_list(F.struct("piece", "new")))
+    whole = F.array_join(F.transform(parts, lambda x: x["new"]), "")
+    gaps = F.count_if((F.col("shared") < 0) | ((F.col("piece") == 1) & (F.col("start_at") != 0)))
+    return own.groupBy("field_name", "item_id", "article_ref").agg(F.md5(whole).alias("text_hash"), (F.max(F.length("piece_text")) <= 2000).alias("fits"), (F.max("shared") <= 200).alias("shares"), (gaps == 0).alias("covers"))
+
+
 def p5_mapped(spark: SparkSession, folder: str) -> DataFrame:
     """Every typed value with its canonical entry and score."""
     docs, canon = table(spark, folder, "doc_contexts"), table(spark, folder, "canon_names")
@@ -54,8 +66,9 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Whole conversations with roles and contents."""
-    turns = fold_events(table(spark, folder, "messages"), "session_id", "role", "content", "created_at", "id")
-    return conversations(turns, table(spark, folder, "sessions"), "id")
+    messages = table(spark, folder, "messages")
+    turns = fold_events(messages, "session_id", "role", "content", "created_at", "id")
+    return conversations(turns, table(spark, folder, "sessions"), "id", counted=messages.select(bare("session_id").alias("session_id")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,16 +85,16 @@ def _leaks(spark: SparkSession, folder: str, edits: int) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), table(spark, folder, "eval_items"), F.col("item_id"), F.col("passage"), edits=edits)
 
 
-def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold twelve consecutive words of a test item's passage."""
-    return _leaks(spark, folder, 0)
-
-
 def p9_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold such words but for one word."""
+    """Documents that hold twelve consecutive words of a test item's passage but for one word, with the number of words that differ."""
     return _leaks(spark, folder, 1)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Those documents that hold the twelve words without a difference."""
+    return p9_near(spark, folder).where(F.col("distance") == 0).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with text that was decoded wrongly."""
     return garbled(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), texts=False).distinct()
@@ -92,7 +105,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_conversations": p7_conversations, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_restored": p10_restored}
 
 _P7 = r"""
 WITH m AS (SELECT id, lower(trim(session_id, E' \t\n\r')) AS sid, content,
@@ -114,6 +127,20 @@ SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)
 """
 
 
+#: Brute force: the windows with each word left out (replaced), the passages' with each word left out (missing), the texts' with each inner word left out (inserted).
+_P9_NEAR = """
+WITH w AS (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents(text)), 'đ', 'd'), '[\\pL\\p{Nd}]+') AS l FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(replace(lower(strip_accents(passage)), 'đ', 'd'), '[\\pL\\p{Nd}]+') AS l FROM eval_items),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: l[i:i + 11])) AS g FROM v),
+j AS (SELECT unnest(range(1, 14)) AS j),
+pk AS (SELECT item_id, hash(g, 0) AS k, 0 AS n FROM p UNION SELECT item_id, hash(g[1:j - 1] || g[j + 1:12], j), 1 FROM p, j WHERE j <= 12 UNION SELECT item_id, hash(g[1:j - 1] || g[j + 1:12], 100), 1 FROM p, j WHERE j <= 12 UNION SELECT item_id, hash(g, 200), 1 FROM p),
+t AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w WHERE len(l) >= 11),
+tk AS (SELECT doc_id, hash(l[i:i + 11], 0) AS k FROM t WHERE i + 11 <= len(l) UNION ALL SELECT doc_id, hash(l[i:i + j - 2] || l[i + j:i + 11], j) FROM t, j WHERE j <= 12 AND i + 11 <= len(l)
+  UNION ALL SELECT doc_id, hash(l[i:i + 10], 100) FROM t WHERE i + 10 <= len(l) UNION ALL SELECT doc_id, hash(l[i:i + j - 2] || l[i + j:i + 12], 200) FROM t, j WHERE j BETWEEN 2 AND 12 AND i + 12 <= len(l))
+SELECT doc_id, item_id, CAST(min(n) AS INTEGER) AS distance FROM tk JOIN pk USING (k) GROUP BY ALL
+"""
+
+
 def _p5_sql(columns: str = "w.doc_id, w.field_name, w.pos, coalesce(b.canon_id, 0) AS canon_id", rest: str = "") -> str:
     """Brute force: every distinct value against every entry, equal but for one letter after the same normalisation."""
 
@@ -143,5 +170,8 @@ SQL = {
     "p3_found": "SELECT DISTINCT 'chunk_text' AS field_name, chunk_id AS item_id FROM chunks WHERE length(chunk_text) > 2000 UNION SELECT 'document_toc', doc_id FROM doc_contexts WHERE length(document_toc) > 2000",
     "p7_found": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
     "p7_conversations": _P7 + "SELECT sid AS session_id, CAST(turn AS INTEGER) AS turn, id AS message_id, role, content FROM o WHERE sid IN (SELECT sid FROM ok) AND sid IN (SELECT lower(trim(id)) FROM sessions)",
+    "p3_rebuilt": """SELECT DISTINCT field_name, item_id, article_ref, md5(t) AS text_hash, true AS fits, true AS shares, true AS covers
+      FROM (SELECT 'chunk_text' AS field_name, chunk_id AS item_id, article_ref, chunk_text AS t FROM chunks UNION ALL SELECT 'document_toc', doc_id, NULL, document_toc FROM doc_contexts) WHERE length(t) > 2000""",
     "p9_found": _P9,
+    "p9_near": _P9_NEAR,
 }
