@@ -146,24 +146,33 @@ def line_kind(line: Column | str) -> Column:
     )
 
 
-def intent(question: Column | str) -> Column:
-    """The first intent one of whose keywords the question has; `general` without one."""
-    text, out = F.lower(_col(question)), F.lit("general")
-    for name, words in reversed(V.INTENTS):
+def _first_intent(question: Column | str, give) -> Column:
+    text, out = F.lower(_col(question)), F.lit(None)
+    for name, words, labels, relations in reversed(V.INTENTS):
         hit = F.lit(False)
         for word in words:
             hit = hit | text.contains(word)
-        out = F.when(hit, name).otherwise(out)
+        out = F.when(hit, give(name, labels, relations)).otherwise(out)
     return out
 
 
+def intent(question: Column | str) -> Column:
+    """The first intent one of whose keywords the question has; null without one."""
+    return _first_intent(question, lambda name, labels, relations: F.lit(name))
+
+
+def intent_scope(question: Column | str) -> Column:
+    """The labels and relations that the question's intent seeks an answer among, as a struct of arrays; null without an intent."""
+    return _first_intent(question, lambda name, labels, relations: F.struct(F.array(*map(F.lit, labels)).alias("labels"), F.array(*map(F.lit, relations)).alias("relations")))
+
+
 def relation_name(raw: Column | str, cross: dict[str, str] = V.CROSS_NAMES, aliases: dict[str, str] = V.RELATION_ALIASES, fixed: list[str] | None = None) -> Column:
-    """Canonical relation name: cross names, blacklist, aliases, fixed names, verb root of at least four letters, else itself."""
+    """Canonical relation name: cross names, blacklist, aliases, fixed names, verb root of at least four letters, else itself; `RELATED_TO` for null and empty."""
     text = F.replace(F.upper(F.trim(_col(raw))), F.lit(" "), F.lit("_"))
     lookup = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
     crossed = F.coalesce(lookup(cross, text), text)
     named = F.coalesce(lookup(aliases, crossed), crossed)
-    known = sorted(set(fixed or [*V.VERB_ROOTS.values(), *V.DOC_RELATIONS]))
+    known = V.NODE_RELATIONS if fixed is None else fixed
     first, root = F.split(named, "_")[0], F.lit(None).cast("string")
     for prefix in sorted((p for p in V.VERB_ROOTS if len(p) > 3), key=len):
         root = F.when(first.startswith(prefix), V.VERB_ROOTS[prefix]).otherwise(root)

@@ -7,75 +7,113 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canonry.functions import vocabulary as V
+from canonry.functions.legal import is_legal_document
 from canonry.functions.text import letters_digits
+from canonry.operators.chunker import chunk_documents
 
-NUMBER = V.CITED_NUMBER
+#: A citation by number or by name, and one that may stand in a passive clause.
+CITATION, STRICT = f"(?iuU)(?:{V.CITED_ANY}|{V.CITED_LAW})", f"(?iuU)(?:{V.CITED_STRICT}|{V.CITED_LAW})"
 
 
-def mentions(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    """`key`, `pos` from 1, `at` from 1, `target` of every cited number, with what stands before and around it.
+def mentions(texts: DataFrame, key: list[str], text: str, pattern: str = CITATION) -> DataFrame:
+    """`key`, `pos` from 1, `at` from 1, `cited` of every citation, with what stands before (`window`) and around it (`context`), and the text.
 
-    The text is split at the numbers, so the pieces between them give each
+    The text is split at the citations, so the pieces between them give each
     mention's place without a search per mention.
     """
     col = F.col(text)
-    found = F.regexp_extract_all(col, F.lit(NUMBER), F.lit(0))
-    between = F.split(col, NUMBER)
-    rows = texts.where(col.isNotNull() & col.rlike(NUMBER)).select(*key, col.alias("__text"), found.alias("__found"), between.alias("__between"))
-    each = rows.select(*key, "__text", "__found", "__between", F.posexplode("__found").alias("__p", "target"))
+    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+    rows = texts.where(col.isNotNull()).select(*key, col.alias("__text"), found.alias("__found")).where(F.size("__found") > 0)
+    rows = rows.withColumn("__between", F.split("__text", pattern))
+    each = rows.select(*key, "__text", "__found", "__between", F.posexplode("__found").alias("__p", "cited"))
     before = F.aggregate(F.slice(F.col("__between"), 1, F.col("__p") + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(F.col("__found"), 1, F.col("__p")), F.lit(0), lambda s, x: s + F.length(x))
     placed = each.withColumn("at", before + 1)
     start = F.greatest(F.col("at") - V.LOOK_BACK, F.lit(1))
     return placed.select(
-        *key, (F.col("__p") + 1).alias("pos"), "at", F.upper("target").alias("target"),
+        *key, F.col("__text").alias(text), (F.col("__p") + 1).alias("pos"), "at", "cited",
         F.lower(F.substr("__text", start, F.col("at") - start)).alias("window"),
-        F.trim(F.replace(F.substr("__text", start, F.col("at") - start + F.length("target") + V.LOOK_BACK), F.lit("\n"), F.lit(" "))).alias("context"),
+        F.trim(F.replace(F.substr("__text", start, F.col("at") - start + F.length("cited") + V.LOOK_BACK), F.lit("\n"), F.lit(" "))).alias("context"),
     )
 
 
-def label(window: Column) -> Column:
+def cited_document(cited: Column) -> Column:
+    """What a citation names: its number in upper case, the number of a law that is known by name (the longest name counts), else the name with capitals."""
+    number = F.regexp_extract(cited, f"(?iuU)(?:{V.CITED_ANY})", 0)
+    known = law_number(cited)
+    return F.when(number != "", F.upper(number)).otherwise(F.coalesce(known, F.replace(F.initcap(cited), F.lit("Năm"), F.lit("năm"))))
+
+
+def law_number(name: Column) -> Column:
+    """The number of the law that the text names; null for other texts."""
+    names = sorted(V.LAW_NUMBERS, key=len, reverse=True)
+    found = F.get(F.filter(F.array(*map(F.lit, names)), lambda law: F.contains(F.lower(name), law)), F.lit(0))
+    return F.try_element_at(F.create_map(*[F.lit(x) for law in names for x in (law, V.LAW_NUMBERS[law])]), found)
+
+
+def label(window: Column, words: list[tuple[str, list[str]]] = V.RELATION_WORDS) -> Column:
     """The relation whose keyword stands nearest before the mention; on ties the earlier relation; without one the default."""
     def last(word: str) -> Column:
         reverse = F.instr(F.reverse(window), F.lit(word[::-1]))
         return F.when(reverse > 0, F.length(window) - reverse - len(word) + 2).otherwise(0)
 
-    places = [F.greatest(F.lit(0), *[last(w) for w in words]) for _, words in V.RELATION_WORDS]
+    places = [F.greatest(F.lit(0), *[last(w) for w in group]) for _, group in words]
     best = F.greatest(*places)
     out = F.lit(V.DEFAULT_RELATION)
-    for (name, _), place in reversed(list(zip(V.RELATION_WORDS, places))):
+    for (name, _), place in reversed(list(zip(words, places))):
         out = F.when((place == best) & (best > 0), name).otherwise(out)
     return out
 
 
 def extract_relations(texts: DataFrame, source: str, text: str) -> DataFrame:
-    """`source`, `target`, `edge_label`, `mentions`, `context`: one row per source, target and label.
-
-    A document's own number is no target. The context is that of the
-    first mention.
+    """`source`, `target`, `edge_label`, `target_article`, `target_clause`, `mentions`, `is_cross_doc`, `context`: one row per source and target.
+
+    Texts are cut by the structure scanner; every citation by number or by
+    name in a chunk is a mention. The words before it name the relation; in a
+    line that starts like one of a preamble those of preambles. The first mention
+    gives the relation, the context, and the chunk's first article and
+    clause. What a passive clause says (see `passive_chains`) goes before
+    mentions. A document's own number and names that aren't those of
+    documents are no targets; texts without a source give nothing.
     """
-    found = mentions(texts.where(F.col(source).isNotNull()), [source], text)
-    named = found.where(letters_digits(F.col(source)) != letters_digits(F.col("target"))).withColumn("edge_label", label(F.col("window")))
-    return named.groupBy(source, "target", "edge_label").agg(F.count("*").alias("mentions"), F.min_by("context", F.struct("at", "context")).alias("context"))
-
-
-def passive_pairs(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Neighbouring numbers of a clause of which the first was changed by the second: `key`, `changed`, `by`, `edge_label`.
-
-    Clauses end at semicolons; the words between the two numbers must say
-    that something was done to the first by way of the second.
+    named = texts.where(F.col(source).isNotNull())
+    chunks = chunk_documents(named, F.col(text), {source: F.col(source)}).select(F.col(source).alias("source"), "chunk_index", "content")
+    found = mentions(chunks, ["source", "chunk_index"], "content").withColumn("target", cited_document(F.col("cited")))
+    kept = found.where(is_legal_document("target") & (letters_digits("source") != letters_digits("target")))
+    edge = F.when(F.substring_index(F.substr("content", F.lit(1), F.col("at") - 1), "\n", -1).rlike(V.PREAMBLE_START), label(F.col("window"), V.PREAMBLE_WORDS)).otherwise(label(F.col("window")))
+    part = lambda pattern: F.regexp_extract("content", pattern, 1)
+    told = kept.select("source", "target", edge.alias("edge_label"), part(V.FIRST_ARTICLE).alias("target_article"), part(V.FIRST_CLAUSE).alias("target_clause"), "context", F.lit(False).alias("is_cross_doc"), F.col("chunk_index").alias("__n"), "at")
+    passive = passive_chains(named, source, text).select(F.coalesce("by", source).alias("source"), F.col("changed").alias("target"), "edge_label", F.lit("").alias("target_article"), F.lit("").alias("target_clause"), F.col("clause").alias("context"), F.col("by").isNotNull().alias("is_cross_doc"), F.lit(0).alias("__n"), "at")
+    fields = F.struct("edge_label", "target_article", "target_clause", "context", "is_cross_doc")
+    first = told.unionByName(passive).groupBy("source", "target").agg(F.min_by(fields, F.struct("__n", "at", fields)).alias("r"), F.count("*").alias("mentions"))
+    return first.select(F.col("source").alias(source), "target", "r.*", "mentions")
+
+
+def passive_chains(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """What the preamble says was done to a cited document by another: `key`, `changed`, `by`, `edge_label`, `at`, `clause`.
+
+    The preamble ends at the first article, chapter, part or section; its
+    clauses end at semicolons. Of two neighbouring citations with passive
+    words between them the first was changed by the second. Each such pair
+    gives two rows: the second changes the first, and (with a null `by`) the
+    text is based on the first. Laws that are cited by name count if their
+    number is known.
     """
-    clauses = texts.select(key, F.posexplode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), ";")).alias("__c", "clause"))
-    found = mentions(clauses, [key, "__c", "clause"], "clause")
+    head = F.element_at(F.split(F.col(text), V.HEADING, 2), 1)
+    clauses = texts.where(F.length(F.trim(head)) > 30).select(key, F.posexplode(F.split(F.replace(head, F.lit("\n"), F.lit(" ")), ";")).alias("__c", "clause"))
+    found = mentions(clauses.where(F.col("clause").rlike(V.PASSIVE)), [key, "__c"], "clause", STRICT)
+    number = F.regexp_extract("cited", f"(?iuU)(?:{V.CITED_STRICT})", 0)
+    named = found.withColumn("target", F.coalesce(F.upper(F.nullif(number, F.lit(""))), law_number(F.col("cited"))))
+    own = F.coalesce(letters_digits(F.col(key).cast("string")) == letters_digits("target"), F.lit(False))
     pair = Window.partitionBy(key, "__c", "clause").orderBy("pos")
-    linked = found.withColumns({"by": F.lead("target").over(pair), "__next": F.lead("at").over(pair)}).where(F.col("by").isNotNull() & (F.col("by") != F.col("target")))
-    start = F.col("at") + F.length("target")
+    linked = named.where(F.col("target").isNotNull() & is_legal_document("target") & ~own).withColumns({"by": F.lead("target").over(pair), "__next": F.lead("at").over(pair)}).where(F.col("by").isNotNull())
+    start = F.col("at") + F.length("cited")
     between = F.lower(F.substr("clause", start, F.col("__next") - start))
-    kind = (
-        F.when(between.rlike("thay thế|thay cho"), "REPLACES").when(between.rlike("bãi bỏ|hết hiệu lực|hủy bỏ|đình chỉ|ngưng hiệu lực"), "REPEALS")
-        .when(between.rlike("đính chính|sửa lỗi"), "CORRECTS").otherwise("AMENDS")
-    )
-    passive = between.rlike(r"được\s+(sửa\s+đổi|bổ\s+sung|thay\s+thế|bãi\s+bỏ|đính\s+chính|hủy\s+bỏ|đình\s+chỉ|hiệu\s+chỉnh|điều\s+chỉnh|cập\s+nhật).*(theo|bởi|tại)\s")
-    return linked.where(passive).select(key, F.col("target").alias("changed"), "by", kind.alias("edge_label")).distinct()
+    kind = F.lit("AMENDS")
+    for name, words in reversed(V.PASSIVE_WORDS):
+        kind = F.when(between.rlike("|".join(words)), name).otherwise(kind)
+    passive = linked.where(between.rlike(V.PASSIVE)).select(key, F.col("target").alias("changed"), "by", kind.alias("edge_label"), "at", F.trim("clause").alias("clause"))
+    based = passive.withColumns({"by": F.lit(None).cast("string"), "edge_label": F.lit("BASED_ON")})
+    return passive.where(F.col("by") != F.col("changed")).unionByName(based).distinct()
 
 
 def case_insensitive_names(values: DataFrame, key: list[str], value: str) -> DataFrame:

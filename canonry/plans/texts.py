@@ -10,7 +10,7 @@ from canonry.functions import vocabulary as V
 from canonry.functions.text import letters_digits
 from canonry.operators.chunker import chunk_documents, citable, effective_date, table_of_contents
 from canonry.operators.packed import split_packed
-from canonry.operators.relations import case_insensitive_names, extract_relations, passive_pairs
+from canonry.operators.relations import case_insensitive_names, extract_relations, passive_chains
 from canonry.sources.tables import table
 
 
@@ -159,13 +159,13 @@ def legal_bases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_relations(spark: SparkSession, folder: str) -> DataFrame:
-    """Relations between documents from the words before cited numbers."""
+    """Relations between documents from citations by number and by name and the words before them."""
     return extract_relations(table(spark, folder, "documents"), "document_number", "text")
 
 
 def amended_by(spark: SparkSession, folder: str) -> DataFrame:
-    """Cited documents that a later one changed, from passive clauses."""
-    return passive_pairs(table(spark, folder, "documents"), "doc_id", "text")
+    """Cited documents that a later one changed, from passive clauses of preambles."""
+    return passive_chains(table(spark, folder, "documents"), "doc_id", "text").where(F.col("by").isNotNull()).select("doc_id", "changed", "by", "edge_label").distinct()
 
 
 QUERIES = {

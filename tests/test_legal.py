@@ -25,8 +25,11 @@ CASES = [
     (lambda: L.relation_hint("x"), ["sửa đổi 12/2015/NĐ-CP", "SỬA  ĐỔI 12/2015/nđ-cp", "sửa đổi", "12/2015/NĐ-CP", None], [True, True, False, False, False]),
     (lambda: L.letter_count("x"), ["Đất 12", "", None], [3, 0, 0]),
     (lambda: L.line_kind("x"), ["Chương I", "ĐIỀU 5. A", "1. a", "(2) b", "a) c", "| a | b |", "Phụ lục I", "Căn cứ Luật", "", "chữ"], ["chapter", "article", "clause", "clause", "point", "table", "appendix", "basis", "blank", "text"]),
-    (lambda: L.intent("x"), ["Mức phạt và thủ tục?", "thủ tục", "xin chào", None], ["penalty", "procedure", "general", "general"]),
+    (lambda: L.intent("x"), ["Mức phạt và thủ tục?", "thủ tục", "xin chào", None, "Ai ký nghị định?", "bao lâu", "cơ quan giám sát", "lệ phí"], ["penalty", "procedure", None, None, "authority", "timeframe", "management", "fee"]),
+    (lambda: L.intent_scope("x")["relations"], ["bị phạt", "đăng ký", "không"], [["APPLIES_TO", "AFFECTED_BY"], ["ISSUED_BY", "SIGNED_BY", "APPROVED_BY", "CREATED_BY"], None]),
     (lambda: L.relation_name("x"), ["assigned to", "UPDATED_EVERY", "IS", "PAYS_FOR", "approving", "SHARES", "", None], ["FUNDED_BY", "AMENDED_BY", "RELATED_TO", "PAYS_FOR", "APPROVED_BY", "SHARES", "RELATED_TO", "RELATED_TO"]),
+    (lambda: L.relation_name("x"), ["APPLIES", "issues", "guides", "Transferred via", "transferred_from", "performed_by", "directs_implementation_of", "PRODUCES", "monitors", "uses for", "permitted_by", "permits", "lacks skill", "stored at", "ISSUED_WITH", "evaluates"],
+     ["APPLIES_TO", "ISSUED_BY", "GUIDED_BY", "TRANSFERRED_TO", "TRANSFERRED_FROM", "IMPLEMENTED_BY", "IMPLEMENTED_BY", "CREATED_BY", "MANAGED_BY", "USED_FOR", "APPLIES_TO", "PERMITTED_TO", "RELATED_TO", "LOCATED_IN", "ISSUED_BY", "MANAGED_BY"]),
     (lambda: L.document_relation_name("x"), ["references", "Applies", "amends", "x-y", None], ["BASED_ON", "APPLIES_TO", "AMENDS", "BASED_ON", "BASED_ON"]),
     (lambda: L.entity_type("x"), ["Authority", "organization", "Organs", "NewKind", "bad kind", "", None], ["Organization", "Organization", "Organization", "NewKind", "Concept", "Concept", "Concept"]),
     (lambda: L.entity_name("x"), ["  bộ  y tế ", "cơ quan", "luật này", "", None], ["Bộ y tế", None, None, None, None]),

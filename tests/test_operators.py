@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canonry.operators import graph as G
 from canonry.operators import retrieval as R
-from canonry.operators.relations import case_insensitive_names, extract_relations, passive_pairs
+from canonry.operators.relations import case_insensitive_names, extract_relations, passive_chains
 from canonry.operators.sessions import history_window
 from canonry.sources import files
 from canonry.streaming.windows import live_uploads, rolling_history, tumbling, upsert_batches
@@ -70,17 +70,18 @@ def test_graph(spark):
 
 
 def test_relations(spark):
-    texts = spark.createDataFrame([
-        ("1/2020/QĐ-A", "Căn cứ 5/2010/NĐ-B. Bãi bỏ 6/2011/TT-C; sửa đổi 7/2012/TT-D và 1/2020/QĐ-A"), ("2/2020/QĐ-A", None), (None, "5/2010/NĐ-B"), ("3/2020/QĐ-A", "Căn cứ 5/2010/NĐ-B đã được sửa đổi, bổ sung theo 8/2015/NĐ-B; 9/2011/TT-E, 9/2012/TT-F"),
-    ], "number string, text string")
-    got = {(r.number, r.target): r.edge_label for r in extract_relations(texts, "number", "text").collect()}
-    assert got[("1/2020/QĐ-A", "5/2010/NĐ-B")] == "BASED_ON"
-    assert got[("1/2020/QĐ-A", "6/2011/TT-C")] == "REPEALS" and got[("1/2020/QĐ-A", "7/2012/TT-D")] == "AMENDS"
-    assert ("1/2020/QĐ-A", "1/2020/QĐ-A") not in got
-    pairs = passive_pairs(texts, "number", "text").collect()
-    assert [(r.changed, r.by, r.edge_label) for r in pairs] == [("5/2010/NĐ-B", "8/2015/NĐ-B", "AMENDS")]
-    names = spark.createDataFrame([("k", "bộ a"), ("k", "Bộ A"), ("k", "bộ A"), ("k", None)], "k string, v string")
-    assert [(r.name, r.n) for r in case_insensitive_names(names, ["k"], "v").collect()] == [("Bộ A", 3)]
+    body = "CỘNG HÒA\nCăn cứ Luật Đất đai năm 2024 đã được sửa đổi, bổ sung theo 8/2015/NĐ-B; căn cứ 9/2011/TT-E, 9/2012/TT-F;\nĐiều 1. Phạm vi\nBãi bỏ 6/2011/TT-C; sửa đổi Khoản 3 của 7/2012/TT-D và 1/2020/QĐ-A; thay thế Bộ luật Dân sự.\nĐiều 2. Thi hành\nÁp dụng 12/QĐ-UBND và Luật Sông nước năm 2001; Bộ Tài chính"
+    texts = spark.createDataFrame([("1/2020/QĐ-A", body, "x"), ("2/2020/QĐ-A", None, "x"), (None, "5/2010/NĐ-B", "x"), ("3/2020/QĐ-A", "", "x")], "number string, text string, target string")
+    got = {r.target: (r.number, r.edge_label, r.target_article, r.target_clause, r.is_cross_doc) for r in extract_relations(texts, "number", "text").collect()}
+    own = "1/2020/QĐ-A"
+    assert got["6/2011/TT-C"] == (own, "REPEALS", "Điều 1", "Khoản 3", False) and got["7/2012/TT-D"] == (own, "AMENDS", "Điều 1", "Khoản 3", False)
+    assert got["91/2015/QH13"] == (own, "REPLACES", "Điều 1", "Khoản 3", False)
+    assert got["12/QĐ-UBND"][1:3] == ("APPLIES", "Điều 2") and got["Luật Sông Nước năm 2001"][1:3] == ("APPLIES", "Điều 2")
+    assert got["9/2011/TT-E"][1] == "BASED_ON" and own not in got
+    assert {(r.number, r.edge_label, r.is_cross_doc) for r in extract_relations(texts, "number", "text").where("target = '31/2024/QH15'").collect()} == {(own, "BASED_ON", False), ("8/2015/NĐ-B", "AMENDS", True)}
+    chains = {(r.number, r.changed, r.by, r.edge_label) for r in passive_chains(texts, "number", "text").collect()}
+    assert chains == {(own, "31/2024/QH15", "8/2015/NĐ-B", "AMENDS"), (own, "31/2024/QH15", None, "BASED_ON")}
+    assert extract_relations(texts.limit(0), "number", "text").count() == 0
 
 
 def test_history_window(spark):
