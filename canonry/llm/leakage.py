@@ -106,18 +106,20 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     word of the text.
     """
     rows, m = pattern.shape
-    bit = np.uint64(1) << np.arange(m, dtype=np.uint64)
-    top = np.uint64(m - 1)
-    one = np.uint64(1)
-    pv, mv = np.full(rows, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(rows, np.uint64)
-    score = np.full(rows, m, np.int64)
+    width = next(x for x in (8, 16, 32, 64) if x >= m)
+    word = np.dtype(f"uint{width}").type
+    top, one = word(m - 1), word(1)
+    pv, mv = np.full(rows, np.iinfo(word).max, word), np.zeros(rows, word)
+    score = np.full(rows, m, np.int16)
     best = score.copy()
+    equal = np.zeros((rows, width), bool)
     for j in range(text.shape[1]):
-        eq = ((pattern == text[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64)
+        np.equal(pattern, text[:, j : j + 1], out=equal[:, :m])
+        eq = np.packbits(equal, axis=1, bitorder="little").view(f"<u{width // 8}").ravel()
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv), pv & xh
-        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        score += ((ph >> top) & one).astype(np.int16) - ((mh >> top) & one).astype(np.int16)
         ph, mh = ph << one, mh << one
         pv, mv = mh | ~(xv | ph), ph & xv
         best = np.minimum(best, score)
@@ -168,7 +170,7 @@ def build_index(items: list, passages: list[str | None], window: int, edits: int
 
 
 def _candidates(words: Words, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
-    """Text, item, first word of the item's window and of the text's span, for every exact piece that the texts have; some at a time.
+    """Text, item, first word of the item's window and of the text's span, and how many of the window's pieces are there, for every exact piece that the texts have; some at a time.
 
     The hits of all pieces are numbered in a row and taken in stretches of
     that row, so a piece that very many places share is split as well.
@@ -189,7 +191,11 @@ def _candidates(words: Words, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
         doc, item = np.repeat(words.text[at[hit]], k + 1), np.repeat(index.words.text[place], k + 1)
         ok = (start >= index.first[item]) & (start + w <= index.last[item])
         if ok.any():
-            yield tuple(np.unique(np.stack((doc[ok], item[ok], start[ok], begin[ok])), axis=1))
+            # one number a candidate, as numbers sort faster than rows
+            size, words_, reach = len(words.hash) + w + 2 * k, len(index.words.hash), w + k
+            key, votes = np.unique((doc[ok] * words_ + start[ok]) * size + begin[ok] + reach, return_counts=True)
+            owner, start = key // size // words_, key // size % words_
+            yield owner, index.words.text[start], start, key % size - reach, votes
 
 
 def find_hits(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]:
@@ -201,17 +207,16 @@ def find_hits(texts: list[str | None], index: Index) -> list[tuple[int, int, int
     padded = np.concatenate((words.hash, [np.uint64(0)]))
     text_of_word = np.concatenate((words.text, [-1]))
     found: dict[tuple[int, int], int] = {}
-    for d, i, s, b in _candidates(words, index):
-        # a pair with an exact window needs no other
-        exact = np.array([x * len(index.items) + y for (x, y), n in found.items() if not n], np.int64)
-        open_ = ~np.isin(d * len(index.items) + i, exact)
-        d, i, s, b = d[open_], i[open_], s[open_], b[open_]
-        if not len(d):
-            continue
+
+    def verify(d: np.ndarray, i: np.ndarray, s: np.ndarray, b: np.ndarray) -> None:
         span = b[:, None] + np.arange(w + 2 * k)
         span = np.where((span >= 0) & (span < len(words.hash)), span, len(words.hash))
         span = np.where(text_of_word[span] == d[:, None], span, len(words.hash))
-        distance = myers(index.words.hash[s[:, None] + np.arange(w)], padded[span])
+        pattern, text = index.words.hash[s[:, None] + np.arange(w)], padded[span]
+        # of a window with at most k errors all words but k stand at most k places off
+        near = sum(np.count_nonzero(pattern == text[:, o : o + w], axis=1) for o in range(2 * k + 1)) >= w - k
+        d, i, s, span = d[near], i[near], s[near], span[near]
+        distance = myers(pattern[near], text[near])
         # the nearest of a pair's windows first, so that others needn't be compared word by word
         for j in np.flatnonzero(distance <= k)[np.argsort(distance[distance <= k], kind="stable")]:
             pair = (int(d[j]), int(i[j]))
@@ -221,6 +226,18 @@ def find_hits(texts: list[str | None], index: Index) -> list[tuple[int, int, int
             true = distance_within([index.words.word(x) for x in range(s[j], s[j] + w)], own)
             if true <= k:
                 found[pair] = min(true, found.get(pair, true))
+
+    for *cand, votes in _candidates(words, index):
+        d, i, s, b = cand
+        pair = d * len(index.items) + i
+        # a window that has all its pieces is the likeliest; an exact one settles its pair, and the others of the pair needn't be tried
+        likely = np.flatnonzero(votes == k + 1)
+        first = likely[np.unique(pair[likely], return_index=True)[1]]
+        verify(d[first], i[first], s[first], b[first])
+        exact = np.array([x * len(index.items) + y for (x, y), n in found.items() if not n], np.int64)
+        rest = ~np.isin(pair, exact)
+        rest[first] = False
+        verify(d[rest], i[rest], s[rest], b[rest])
     return sorted((d, i, n) for (d, i), n in found.items())
 
 
