@@ -306,3 +306,40 @@ def rerank_text(citation: Column, title: Column, content: Column) -> Column:
 def display_id(*candidates: Column) -> Column:
     """The first candidate that isn't blank."""
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in candidates])
+
+
+def label_name(raw: Column | str) -> Column:
+    """A label of letters, digits and underscores that begins with a letter; known synonyms become one label, nothing becomes `Entity`."""
+    kept = F.regexp_replace(F.trim(_col(raw)), "[^a-zA-Z0-9_]", "")
+    started = F.when(kept.rlike("^[^a-zA-Z]"), F.concat(F.lit("E_"), kept)).otherwise(kept)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in V.ENTITY_TYPE_ALIASES.items() for x in pair]), started)
+    return F.coalesce(known, F.nullif(started, F.lit("")), F.lit("Entity"))
+
+
+def edge_type(raw: Column | str) -> Column:
+    """A relation in upper snake case with a few synonyms resolved; nothing becomes `RELATED_TO`."""
+    kept = F.regexp_replace(F.upper(F.trim(_col(raw))), "[^A-Z0-9_]+", "_")
+    name = F.regexp_replace(F.regexp_replace(kept, "_+", "_"), "^_|_$", "")
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in V.EDGE_ALIASES.items() for x in pair]), name)
+    return F.coalesce(known, F.nullif(name, F.lit("")), F.lit("RELATED_TO"))
+
+
+def triplet(source: Column, source_type: Column, relation: Column, target: Column, target_type: Column) -> Column:
+    """A legacy triplet as a struct of two names, two labels and a relation, or null without both names."""
+    bare = lambda c, other: F.coalesce(F.nullif(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""), F.lit("")), F.lit(other))
+    named = F.coalesce(F.nullif(F.regexp_replace(F.upper(F.replace(relation, F.lit(" "), F.lit("_"))), r"[^\p{L}\p{N}_]", ""), F.lit("")), F.lit("RELATED_TO"))
+    whole = F.struct(F.trim(source).alias("source"), bare(source_type, "Entity").alias("source_type"), named.alias("relation"), F.trim(target).alias("target"), bare(target_type, "Entity").alias("target_type"))
+    return F.when((source != "") & (target != ""), whole)
+
+
+def sector_hints(question: Column | str, sectors: list[str], most: int = 3) -> Column:
+    """The first `most` of the given sectors that the question names."""
+    lower = F.lower(_col(question))
+    return F.slice(F.filter(F.array(*[F.lit(s) for s in sectors]) if sectors else F.array().cast("array<string>"), lambda s: F.contains(lower, F.lower(s))), 1, most)
+
+
+def file_hints(text: Column | str) -> Column:
+    """What an uploaded text adds to a question: its first document number, and up to three headings in the order of their letters."""
+    number = F.nullif(F.regexp_extract(_col(text), r"\d+/\d{4}/[A-Za-zĐđ\-]+", 0), F.lit(""))
+    headings = F.regexp_extract_all(_col(text), F.lit(r"(?:Điều|Khoản|Mục|Chương|Phụ lục)\s+\d+[a-z]?"), F.lit(0))
+    return F.struct(number.alias("number"), F.slice(F.array_sort(F.array_distinct(headings)), 1, 3).alias("headings"))

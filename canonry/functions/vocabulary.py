@@ -213,6 +213,11 @@ RELATION_ALIASES = {
     "PENALIZED_BY": "AFFECTED_BY", "CONFISCATED_BY": "AFFECTED_BY", "DETAINED_BY": "AFFECTED_BY", "EXPROPRIATED_BY": "AFFECTED_BY", "EXPROPRIATES": "AFFECTED_BY",
     "PROPOSES": "PROPOSED_BY", "ELECTS": "ELECTED_BY",
 }
+#: Synonyms of edge types in a graph store.
+EDGE_ALIASES = {
+    "ISSUED": "ISSUED_BY", "SIGNED": "SIGNED_BY", "APPLIES": "APPLIES_TO", "SUPERVISED_BY": "MANAGED_BY",
+    "ACCOUNTABLE_TO": "MANAGED_BY", "RESPONSIBLE_FOR": "MANAGED_BY", "IMPLEMENTED_BY": "MANAGED_BY", "ASSIGNS": "ASSIGNED_BY",
+}
 COREFERENCE = ["cơ quan", "tổ chức", "cá nhân", "đối tượng", "người", "văn bản", "điều", "khoản", "chương", "phần", "mục"]
 COREFERENCE_ENDS = [" này", " đó", " nêu trên", " dưới đây", " sau đây"]
 

@@ -51,17 +51,11 @@ def law_number(name: Column) -> Column:
 
 
 def label(window: Column, words: list[tuple[str, list[str]]] = V.RELATION_WORDS) -> Column:
-    """The relation whose keyword stands nearest before the mention; on ties the earlier relation; without one the default."""
-    def last(word: str) -> Column:
-        reverse = F.instr(F.reverse(window), F.lit(word[::-1]))
-        return F.when(reverse > 0, F.length(window) - reverse - len(word) + 2).otherwise(0)
-
-    places = [F.greatest(F.lit(0), *[last(w) for w in group]) for _, group in words]
-    best = F.greatest(*places)
-    out = F.lit(V.DEFAULT_RELATION)
-    for (name, _), place in reversed(list(zip(words, places))):
-        out = F.when((place == best) & (best > 0), name).otherwise(out)
-    return out
+    """The relation whose keyword begins last before the mention; of keywords at one place the earlier relation's; without one the default."""
+    named = {w: name for name, group in reversed(words) for w in group}
+    # the longest beginning leaves the last place; alternatives are tried in the order of the relations
+    last = F.regexp_extract(window, "(?s)^.*(" + "|".join(w for _, group in words for w in group) + ")", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), last), F.lit(V.DEFAULT_RELATION))
 
 
 def extract_relations(texts: DataFrame, source: str, text: str) -> DataFrame:

@@ -31,11 +31,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def dense_topk(vectors: DataFrame, query: list[float], k: int, embedding: str = "embedding", key: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """The `k` rows nearest to `query` by cosine, ties by `key`; `where` filters before scoring, in the scan."""
-    rows = vectors if where is None else vectors.where(where)
-    target = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("score", cosine(F.col(embedding), target)).where(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
+def dense_topk(vectors: DataFrame, query: list[float], k: int, embedding: str = "embedding", key: str = "vec_id", where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The `k` rows nearest to `query` by cosine, ties by `key`, with `score` and the columns `keep`; `where` filters before scoring, in the scan.
+
+    A batch of vectors meets the query as one product and gives its best `k`;
+    the batches' lists are merged by a bounded heap.
+    """
+    target = np.array(query, np.float64)
+    size = np.linalg.norm(target)
+    rows = (vectors if where is None else vectors.where(where)).select(key, *keep, embedding)
+    schema = T.StructType([*rows.drop(embedding).schema, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, data = _matrix(batch[embedding], len(target))
+            if not len(own) or not size:
+                continue
+            norms = np.linalg.norm(data, axis=1)
+            real = norms > 0
+            own, score = own[real], data[real] @ target / (norms[real] * size)
+            # all that tie with the last one stay until the merge
+            best = own if len(own) <= k else own[score >= np.partition(score, -k)[-k]]
+            score = score[np.isin(own, best)]
+            take = pa.array(best)
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(take) for c in schema.names[:-1]), pa.array(score)], schema.names)
+
+    return rows.mapInArrow(run, schema).orderBy(F.desc("score"), key).limit(k)
+
+
+def _matrix(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the vectors of `width` numbers, none of them null."""
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(sizes == width)
+    if lists.flatten().null_count:
+        own = np.array([i for i in own if not lists[int(i)].values.null_count], np.int64)
+    data = lists.take(pa.array(own, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), width)
+    return own, data
 
 
 def dense_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", embedding: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
@@ -62,13 +93,9 @@ def dense_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for batch in batches:
-                lists = batch[embedding]
-                right = np.diff(lists.offsets.to_numpy()) == matrix.shape[1]
-                own = [i for i in np.flatnonzero(right) if not lists[int(i)].values.null_count]
-                if not own:
+                own, data = _matrix(batch[embedding], matrix.shape[1])
+                if not len(own):
                     continue
-                take = lists.take(pa.array(own))
-                data = take.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), matrix.shape[1])
                 size = np.linalg.norm(data, axis=1)
                 keys = batch[key].to_numpy(zero_copy_only=False)[own][size > 0]
                 scores = matrix @ (data[size > 0] / size[size > 0, None]).T
@@ -100,30 +127,50 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-#: A word that no text has; its rows carry the documents' lengths.
-_LENGTH = " "
+#: Folders of an index: words are spread over them, and a question opens those of its words.
+BUCKETS = 64
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def bm25_index(documents: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, tokens=words) -> DataFrame:
+    """`bucket`, `word`, `key`, `weight`: for every word of every document what it adds to the document's BM25 score.
+
+    The weights hold the whole formula, so a question is a lookup of its
+    words and a sum. Documents with null texts count as documents without
+    words. Built once and stored by `bucket` (see `stored`), rows of a bucket
+    sorted by word, so that a reader skips the row groups of other words; a
+    very frequent word's rows are spread over several files.
+    """
+    listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w")).select(key, F.size("w").alias("n"), F.col("w"))
+    totals = listed.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).select(F.struct("docs", "mean")).scalar()
+    counted = listed.select(key, "n", F.explode("w").alias("word")).groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
+    frequency = counted.groupBy("word").agg(F.count("*").alias("df"))
+    weight = F.log(1 + (totals["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / totals["mean"]))
+    rows = counted.join(frequency, "word").select(_bucket(F.col("word")).alias("bucket"), "word", key, weight.alias("weight"))
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", key)
 
 
-def bm25_topk(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, tokens=words) -> DataFrame:
-    """`query_id`, `key`, `score`, `rank` of the best documents of every query by BM25.
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", tokens=words) -> DataFrame:
+    """`query_id`, `key`, `score`, `rank` of the best documents of every query by BM25, from a `bm25_index`.
 
-    Only the queries' words leave the scan, beside one row per document that
-    carries its length as the count of a word that no text has. The counts
-    are shuffled once; document frequencies and the mean length come from
-    the same exchange. Null texts count as documents without words.
+    Up to 100 000 words are looked up by a filter that picks their folders and
+    row groups; more meet the index in a join.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("word"))
-    vocabulary = asked.select("word").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(_LENGTH).alias("word")))
-    listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w")).select(key, F.size("w").alias("n"), F.explode(F.concat("w", F.array(F.lit(_LENGTH)))).alias("word"))
-    counted = listed.join(F.broadcast(vocabulary) if _few(asked) else vocabulary, "word", "left_semi").groupBy(key, "n", "word").agg(F.count("*").alias("tf")).where(F.col("word").isNotNull())
-    # all three uses read the same columns without a filter of their own, so that they share one exchange
-    frequency = counted.groupBy("word").agg(F.count("tf").alias("df"))
-    length = F.when(F.col("word") == _LENGTH, F.col("tf"))
-    totals = counted.agg(F.sum(length).alias("docs"), (F.sum(F.col("n") * length) / F.sum(length)).alias("mean"))
-    whole = totals.select(F.struct("docs", "mean")).scalar()
-    weight = F.log(1 + (whole["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / whole["mean"]))
-    scored = counted.join(frequency, "word").join(asked, "word").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 9)), k, key)
+    sought = [r.word for r in asked.select("word").distinct().limit(_FEW + 1).collect()]
+    if len(sought) <= _FEW:
+        buckets = asked.sparkSession.createDataFrame([(w,) for w in sought], "word string").select(_bucket(F.col("word")).alias("b")).distinct()
+        index = index.where(F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("word").isin(sought))
+        asked = F.broadcast(asked)
+    scored = index.join(asked, "word").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("score"))
+    return ranked(scored, k, key)
+
+
+#: Words that are sent to every executor at most.
+_FEW = 100_000
 
 
 def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int, *more: np.ndarray) -> list[np.ndarray]:
@@ -263,11 +310,6 @@ def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str,
     return ranked(hits.withColumn("score", F.round(F.col("hits") * per_hit, 6)), most, key)
 
 
-def _few(words: DataFrame, most: int = 100_000) -> bool:
-    """Whether there are at most `most` rows, so that they may be sent to every executor."""
-    return words.limit(most + 1).count() <= most
-
-
 def ranked(hits: DataFrame, k: int, key: str, by: str | list[str] = "query_id", score: str = "score") -> DataFrame:
     """The best `k` hits of each query with their `rank`; ties go to the lower key."""
     place = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(score), key)

@@ -17,7 +17,7 @@ from canonry.operators.models import OverlapReranker, rename_report, rerank
 from canonry.operators.ordered import Ordered
 from canonry.operators.pipeline import document_contexts, processed_chunks
 from canonry.plans.graph import changes, links
-from canonry.plans.retrieval import FOLD, _by_vector, _keyword, _questions, every_question, folded_words
+from canonry.plans.retrieval import FOLD, _by_vector, _keyword, _questions, every_question, folded_words, word_index
 from canonry.sources.tables import table
 
 
@@ -65,8 +65,11 @@ def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def hinted_missing(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Up to three documents that a question's hits by title cite and that aren't hits themselves."""
-    search, asked = (R.bm25_every, every_question(spark, folder)) if every else (R.bm25_topk, _questions(spark))
-    found = search(table(spark, folder, "doc_contexts"), asked, 20, text="doc_title", tokens=folded_words).select("query_id", F.col("doc_id").alias("id"))
+    if every:
+        hits = R.bm25_every(table(spark, folder, "doc_contexts"), every_question(spark, folder), 20, text="doc_title", tokens=folded_words)
+    else:
+        hits = R.bm25_topk(word_index(spark, folder, "doc_contexts", "doc_id", "doc_title"), _questions(spark), 20, tokens=folded_words)
+    found = hits.select("query_id", F.col("doc_id").alias("id"))
     near = found.join(links(spark, folder).select(F.col("src").alias("id"), "dst"), "id").select("query_id", F.col("dst").alias("id")).distinct()
     missing = near.join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.25))
     return R.ranked(missing, 3, "id").select("query_id", "id", "score")

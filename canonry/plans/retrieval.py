@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canonry.functions.legal import hierarchy_rank
 from canonry.functions.text import fold, letters_digits
 from canonry.operators import retrieval as R
-from canonry.sources.tables import table
+from canonry.sources.tables import derived, table
 
 #: The questions of the keyword and hybrid queries that SQL checks; those named `..._all` ask the whole query set: id, text, and the embedding row that stands for the question.
 QUESTIONS = [(1, "thời hạn của giấy phép khai thác cát sỏi", 10), (2, "kế hoạch nạo vét luồng và bến bãi", 20), (3, "the applicant file on request of the competent body", 30)]
@@ -37,7 +37,7 @@ def _vector(embeddings: DataFrame, key: int) -> list[float]:
 
 def _dense(spark: SparkSession, folder: str, where: Column) -> DataFrame:
     rows = table(spark, folder, "embeddings")
-    hits = R.dense_topk(rows, _vector(rows, 0), 10, where=where)
+    hits = R.dense_topk(rows, _vector(rows, 0), 10, where=where, keep=("label",))
     return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -67,10 +67,20 @@ def session_priority(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-def _keyword(spark: SparkSession, folder: str, k: int, where: Column | None = None, every: bool = False) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    docs = docs if where is None else docs.where(where)
-    return R.bm25_every(docs, every_question(spark, folder), k, tokens=folded_words) if every else R.bm25_topk(docs, _questions(spark), k, tokens=folded_words)
+def _tier(tier: str) -> Column:
+    """Parts of the documents that have an index of their own."""
+    return {"all": F.lit(True), "vi": F.col("lang") == "vi", "rest": F.coalesce(F.col("lang") != "vi", F.lit(True))}[tier]
+
+
+def word_index(spark: SparkSession, folder: str, source: str, key: str, text: str, tier: str = "all") -> DataFrame:
+    """The stored word index of one text column; `tier` is a part of the documents with word frequencies of its own."""
+    return derived(spark, folder, f"words-{source}-{tier}", [source], lambda: R.bm25_index(table(spark, folder, source).where(_tier(tier)), key, text, tokens=folded_words), "bucket")
+
+
+def _keyword(spark: SparkSession, folder: str, k: int, tier: str = "all", every: bool = False) -> DataFrame:
+    if every:
+        return R.bm25_every(table(spark, folder, "documents").where(_tier(tier)), every_question(spark, folder), k, tokens=folded_words)
+    return R.bm25_topk(word_index(spark, folder, "documents", "doc_id", "text", tier), _questions(spark), k, tokens=folded_words)
 
 
 def bm25_topk(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
@@ -91,8 +101,7 @@ def hybrid_rrf(spark: SparkSession, folder: str, every: bool = False) -> DataFra
 
 def tiered_rrf(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     """Vietnamese documents and the others as tiers of their own, fused with the vector ranks."""
-    main, rest = F.col("lang") == "vi", F.coalesce(F.col("lang") != "vi", F.lit(True))
-    lists = [_keyword(spark, folder, 30, main, every), _keyword(spark, folder, 15, rest, every), _by_vector(spark, folder, 30, every)]
+    lists = [_keyword(spark, folder, 30, "vi", every), _keyword(spark, folder, 15, "rest", every), _by_vector(spark, folder, 30, every)]
     return R.fuse_ranks(lists, 10, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

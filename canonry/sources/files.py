@@ -106,3 +106,50 @@ def write_partitioned_csv(df: DataFrame, path: str, by: list[str]) -> None:
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once: the check behind a uniqueness rule."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+
+
+def create_table(spark: SparkSession, path: str, schema: str, by: list[str] | None = None) -> bool:
+    """An empty Parquet table with `schema`, in folders by `by`; false, and nothing done, where something is already there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return False
+    writer = spark.createDataFrame([], schema).write
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return True
+
+
+def flush_table(spark: SparkSession, path: str) -> None:
+    """Replaces a Parquet table by an empty one with the same columns."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def merged(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of both by key; a change's null keeps the old value, its other values replace it. Each side has a key once."""
+    rest = [c for c in current.columns if c not in key]
+    both = current.alias("old").join(changes.alias("new"), key, "full_outer")
+    new = set(changes.columns)
+    return both.select(*key, *[(F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")) if c in new else F.col(f"old.{c}")).alias(c) for c in rest])
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """One text file per part of the sorted lines of column `value`."""
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def split_by_sector_and_year(rows: DataFrame, sectors: str, year: str, path: str) -> None:
+    """CSV files in a folder for each sector and year; a row with several sectors is in each of them."""
+    each = rows.withColumn("sector", F.explode(F.array_distinct(F.filter(F.transform(F.split(sectors, ","), F.trim), lambda s: s != ""))))
+    write_partitioned_csv(each.withColumnRenamed(year, "year") if year != "year" else each, path, ["sector", "year"])
+
+
+#: Fixed value: extensions of files that may be uploaded.
+UPLOADS = (".pdf", ".docx", ".doc")
+
+
+def upload_problem(name: Column | str, read_only: bool = False) -> Column:
+    """Why a file may not be uploaded: `read-only`, `format`; null if it may."""
+    lower = F.lower(F.col(name) if isinstance(name, str) else name)
+    good = F.lit(False)
+    for end in UPLOADS:
+        good = good | lower.endswith(end)
+    return F.lit("read-only") if read_only else F.when(~F.coalesce(good, F.lit(False)), "format")

@@ -42,7 +42,7 @@ def test_fusion_and_order(spark):
 def test_bm25_edges(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha"), (3, None), (4, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "alpha"), (2, "missing"), (3, "")], "query_id long, query string")
-    got = R.bm25_topk(docs, asked, 5).collect()
+    got = R.bm25_topk(R.bm25_index(docs), asked, 5).collect()
     assert [(r.query_id, r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (1, 1)]
 
 

@@ -86,12 +86,12 @@ def test_every_question_is_asked(spark, folder):
     asked = every_question(spark, f"{folder}/../sf0.01")
     ids = {r.doc_id for r in docs.where("doc_id % 100 = 0 and text <> ''").collect()}
     assert ids and {r["query_id"] for r in rows(spark, f"{folder}/../sf0.01", "bm25_topk_all")} == ids
-    want = sorted(map(tuple, R.bm25_topk(docs, asked, 7, tokens=folded_words).select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
+    want = sorted(map(tuple, R.bm25_topk(R.bm25_index(docs, tokens=folded_words), asked, 7, tokens=folded_words).select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
     for size in (3, 1024):
         got = R.bm25_every(docs, asked, 7, tokens=folded_words, block=size, step=64, words_at_once=50).select("query_id", "doc_id", F.round("score", 6), "rank")
         assert sorted(map(tuple, got.collect())) == want
     titled = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    want = sorted(map(tuple, R.bm25_topk(titled, asked, 7, tokens=folded_words).select("query_id", "doc_id", "rank").collect()))
+    want = sorted(map(tuple, R.bm25_topk(R.bm25_index(titled, tokens=folded_words), asked, 7, tokens=folded_words).select("query_id", "doc_id", "rank").collect()))
     assert sorted(map(tuple, R.bm25_every(titled, asked, 7, tokens=folded_words).select("query_id", "doc_id", "rank").collect())) == want
     got = {(r.query_id, r.doc_id, r.hits) for r in R.rescue_every(docs, asked, "doc_id", "text", block=3, step=64).collect()}
     for q in asked.collect():
