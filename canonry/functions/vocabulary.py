@@ -105,8 +105,8 @@ LAW_NUMBERS = {
 CITED_STRICT = r"\b\d+[\-\/](?:20\d{2}|19\d{2})[\-\/][A-Z\u0110][A-Z0-9\u0110a-z\u0111\-\/]*\b"
 CITED_ANY = r"\b\d+[\/\-](?:20\d{2}|19\d{2})[\/\-][A-ZĐ][A-Z0-9Đa-zđ\-\/]*\b|\b\d+[\/\-][A-ZĐ][A-Z0-9Đa-zđ\-\/]*\b"
 CITED_LAW = (
-    r"\b(?:" + "|".join(sorted(LAW_NUMBERS, key=len, reverse=True)) + r")(?:\s+năm\s+\d{4})?|"
-    r"\b(?:Hiến pháp|Bộ luật|Luật)[\w\s\,\.\-\u00C0-\u1EF9]*?(?:\s+năm\s+\d{4})|\bHiến pháp(?:\s+năm\s+\d{4})?"
+    r"\b(?:{names})(?:\s+năm\s+\d{{4}})?|"
+    r"\b(?:Hiến pháp|Bộ luật|Luật)[\w\s\,\.\-\u00C0-\u1EF9]*?(?:\s+năm\s+\d{{4}})|\bHiến pháp(?:\s+năm\s+\d{{4}})?"
 )
 FIRST_ARTICLE, FIRST_CLAUSE = r"(?iu)((?:Điều|Chương|Phần|Mục)\s+[0-9A-ZĐđ]+)", r"(?iu)(Khoản\s+\d+)"
 DEFAULT_RELATION = "BASED_ON"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,11 +13,13 @@ from canonry.functions.legal import is_legal_document
 from canonry.functions.text import letters_digits
 from canonry.operators.chunker import chunk_documents
 
-#: A citation by number or by name, and one that may stand in a passive clause.
-CITATION, STRICT = f"(?iuU)(?:{V.CITED_ANY}|{V.CITED_LAW})", f"(?iuU)(?:{V.CITED_STRICT}|{V.CITED_LAW})"
+def citation(laws: dict[str, str] = V.LAW_NUMBERS, strict: bool = False) -> str:
+    """The pattern of a citation by number or by name; `laws` has the numbers of laws by their names in small letters."""
+    names = "|".join(re.sub(r"([.()\[\]\\+*?^$|{}])", r"\\\1", n) for n in sorted(laws, key=len, reverse=True))
+    return f"(?iuU)(?:{V.CITED_STRICT if strict else V.CITED_ANY}|{V.CITED_LAW.format(names=names)})"
 
 
-def mentions(texts: DataFrame, key: list[str], text: str, pattern: str = CITATION) -> DataFrame:
+def mentions(texts: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
     """`key`, `pos` from 1, `at` from 1, `cited` of every citation, with what stands before (`window`) and around it (`context`), and the text.
 
     The text is split at the citations, so the pieces between them give each
@@ -36,18 +40,18 @@ def mentions(texts: DataFrame, key: list[str], text: str, pattern: str = CITATIO
     )
 
 
-def cited_document(cited: Column) -> Column:
+def cited_document(cited: Column, laws: dict[str, str]) -> Column:
     """What a citation names: its number in upper case, the number of a law that is known by name (the longest name counts), else the name with capitals."""
     number = F.regexp_extract(cited, f"(?iuU)(?:{V.CITED_ANY})", 0)
-    known = law_number(cited)
+    known = law_number(cited, laws)
     return F.when(number != "", F.upper(number)).otherwise(F.coalesce(known, F.replace(F.initcap(cited), F.lit("Năm"), F.lit("năm"))))
 
 
-def law_number(name: Column) -> Column:
+def law_number(name: Column, laws: dict[str, str]) -> Column:
     """The number of the law that the text names; null for other texts."""
-    names = sorted(V.LAW_NUMBERS, key=len, reverse=True)
+    names = sorted(laws, key=len, reverse=True)
     found = F.get(F.filter(F.array(*map(F.lit, names)), lambda law: F.contains(F.lower(name), law)), F.lit(0))
-    return F.try_element_at(F.create_map(*[F.lit(x) for law in names for x in (law, V.LAW_NUMBERS[law])]), found)
+    return F.try_element_at(F.create_map(*[F.lit(x) for law in names for x in (law, laws[law])]), found)
 
 
 def label(window: Column, words: list[tuple[str, list[str]]] = V.RELATION_WORDS) -> Column:
@@ -58,7 +62,7 @@ def label(window: Column, words: list[tuple[str, list[str]]] = V.RELATION_WORDS)
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), last), F.lit(V.DEFAULT_RELATION))
 
 
-def extract_relations(texts: DataFrame, source: str, text: str) -> DataFrame:
+def extract_relations(texts: DataFrame, source: str, text: str, laws: dict[str, str] = V.LAW_NUMBERS) -> DataFrame:
     """`source`, `target`, `edge_label`, `target_article`, `target_clause`, `mentions`, `is_cross_doc`, `context`: one row per source and target.
 
     Texts are cut by the structure scanner; every citation by number or by
@@ -71,18 +75,18 @@ def extract_relations(texts: DataFrame, source: str, text: str) -> DataFrame:
     """
     named = texts.where(F.col(source).isNotNull())
     chunks = chunk_documents(named, F.col(text), {source: F.col(source)}).select(F.col(source).alias("source"), "chunk_index", "content")
-    found = mentions(chunks, ["source", "chunk_index"], "content").withColumn("target", cited_document(F.col("cited")))
+    found = mentions(chunks, ["source", "chunk_index"], "content", citation(laws)).withColumn("target", cited_document(F.col("cited"), laws))
     kept = found.where(is_legal_document("target") & (letters_digits("source") != letters_digits("target")))
     edge = F.when(F.substring_index(F.substr("content", F.lit(1), F.col("at") - 1), "\n", -1).rlike(V.PREAMBLE_START), label(F.col("window"), V.PREAMBLE_WORDS)).otherwise(label(F.col("window")))
     part = lambda pattern: F.regexp_extract("content", pattern, 1)
     told = kept.select("source", "target", edge.alias("edge_label"), part(V.FIRST_ARTICLE).alias("target_article"), part(V.FIRST_CLAUSE).alias("target_clause"), "context", F.lit(False).alias("is_cross_doc"), F.col("chunk_index").alias("__n"), "at")
-    passive = passive_chains(named, source, text).select(F.coalesce("by", source).alias("source"), F.col("changed").alias("target"), "edge_label", F.lit("").alias("target_article"), F.lit("").alias("target_clause"), F.col("clause").alias("context"), F.col("by").isNotNull().alias("is_cross_doc"), F.lit(0).alias("__n"), "at")
+    passive = passive_chains(named, source, text, laws).select(F.coalesce("by", source).alias("source"), F.col("changed").alias("target"), "edge_label", F.lit("").alias("target_article"), F.lit("").alias("target_clause"), F.col("clause").alias("context"), F.col("by").isNotNull().alias("is_cross_doc"), F.lit(0).alias("__n"), "at")
     fields = F.struct("edge_label", "target_article", "target_clause", "context", "is_cross_doc")
     first = told.unionByName(passive).groupBy("source", "target").agg(F.min_by(fields, F.struct("__n", "at", fields)).alias("r"), F.count("*").alias("mentions"))
     return first.select(F.col("source").alias(source), "target", "r.*", "mentions")
 
 
-def passive_chains(texts: DataFrame, key: str, text: str) -> DataFrame:
+def passive_chains(texts: DataFrame, key: str, text: str, laws: dict[str, str] = V.LAW_NUMBERS) -> DataFrame:
     """What the preamble says was done to a cited document by another: `key`, `changed`, `by`, `edge_label`, `at`, `clause`.
 
     The preamble ends at the first article, chapter, part or section; its
@@ -94,9 +98,9 @@ def passive_chains(texts: DataFrame, key: str, text: str) -> DataFrame:
     """
     head = F.element_at(F.split(F.col(text), V.HEADING, 2), 1)
     clauses = texts.where(F.length(F.trim(head)) > 30).select(key, F.posexplode(F.split(F.replace(head, F.lit("\n"), F.lit(" ")), ";")).alias("__c", "clause"))
-    found = mentions(clauses.where(F.col("clause").rlike(V.PASSIVE)), [key, "__c"], "clause", STRICT)
+    found = mentions(clauses.where(F.col("clause").rlike(V.PASSIVE)), [key, "__c"], "clause", citation(laws, True))
     number = F.regexp_extract("cited", f"(?iuU)(?:{V.CITED_STRICT})", 0)
-    named = found.withColumn("target", F.coalesce(F.upper(F.nullif(number, F.lit(""))), law_number(F.col("cited"))))
+    named = found.withColumn("target", F.coalesce(F.upper(F.nullif(number, F.lit(""))), law_number(F.col("cited"), laws)))
     own = F.coalesce(letters_digits(F.col(key).cast("string")) == letters_digits("target"), F.lit(False))
     pair = Window.partitionBy(key, "__c", "clause").orderBy("pos")
     linked = named.where(F.col("target").isNotNull() & is_legal_document("target") & ~own).withColumns({"by": F.lead("target").over(pair), "__next": F.lead("at").over(pair)}).where(F.col("by").isNotNull())

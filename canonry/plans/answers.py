@@ -271,3 +271,4 @@ SQL = {
     "date_years": "SELECT coalesce(nullif(regexp_extract(trim(issuance_date, ' '), '^\\d{1,2}/\\d{1,2}/(\\d{4})', 1), ''), nullif(regexp_extract(trim(issuance_date, ' '), '^(\\d{4})-\\d{1,2}-\\d{1,2}', 1), '')) AS year, count(*) AS n FROM corpus_metadata GROUP BY 1",
     "flattened_chats": _sessions._M + ", b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC, created_at DESC NULLS LAST, role DESC, content DESC) AS back FROM m WHERE content IS NOT NULL AND role IS NOT NULL) SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY back DESC) AS prompt FROM b WHERE back <= 14 GROUP BY session_id",
 }
+SQL |= {f"{n}_all": SQL[n].replace(_retrieval._Q, _retrieval._QALL) for n in ("context_text", "hinted_missing")}

@@ -205,7 +205,9 @@ def _sql_cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
-_Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in QUESTIONS) + ") t(query_id, query, vec_id))"
+_Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {v})" for i, t, v in QUESTIONS) + ") t(query_id, query, vec_id)), qv AS (SELECT query_id, vec_id FROM q)"
+#: The whole query set under the same names, for the queries ending in `_all`.
+_QALL = "q AS (SELECT doc_id AS query_id, text AS query, doc_id AS vec_id FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL), qv AS (SELECT vec_id AS query_id, vec_id FROM embeddings WHERE vec_id % 100 = 0)"
 _TOKENS = "list_filter(string_split_regex(" + FOLD + ", '[^a-z0-9]+'), lambda w: w <> '')"
 
 
@@ -225,7 +227,7 @@ def _sql_bm25(name: str, where: str, k: int, source: str = "documents", text: st
 def _sql_dense(name: str, k: int) -> str:
     return f"""
 {name} AS (SELECT * FROM (SELECT q.query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {_sql_cosine('e.embedding', 'v.embedding')} DESC, e.vec_id) AS rank
-  FROM q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e) WHERE rank <= {k})"""
+  FROM qv AS q JOIN embeddings v ON v.vec_id = q.vec_id, embeddings e) WHERE rank <= {k})"""
 
 
 def _sql_fuse(lists: list[str], k: int) -> str:
@@ -273,3 +275,8 @@ SQL = {
     "sample_by_hash": "SELECT doc_id, lang, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100",
     "ranked_head": f"SELECT doc_id, doc_year, {_RANK} AS rank FROM doc_contexts ORDER BY doc_year DESC NULLS LAST, 3, doc_id LIMIT 8000",
 }
+
+for _name in ("bm25_topk", "hybrid_rrf", "tiered_rrf", "typology_boost", "graph_boost"):
+    SQL[f"{_name}_all"] = SQL[_name].replace(_Q, _QALL)
+SQL["keyword_rescue_all"] = f"""WITH {_QALL}, w AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(query), '[^a-z0-9]+')) AS word FROM q), h AS (SELECT query_id, doc_id, count(*) AS hits FROM w JOIN documents ON contains(lower(text), word) WHERE length(word) > 3 GROUP BY ALL HAVING count(*) >= 2)
+  SELECT query_id, doc_id, CAST(hits AS INTEGER) AS hits, round(hits * 0.1::DOUBLE, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS place FROM h) WHERE place <= 10"""

@@ -160,12 +160,20 @@ def legal_bases(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_relations(spark: SparkSession, folder: str) -> DataFrame:
     """Relations between documents from citations by number and by name and the words before them."""
-    return extract_relations(table(spark, folder, "documents"), "document_number", "text")
+    return extract_relations(table(spark, folder, "documents"), "document_number", "text", _laws(spark, folder))
+
+
+def _laws(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Numbers of laws by name: the known ones and those of the base laws, of which there may be a thousand."""
+    rows = table(spark, folder, "base_laws").where("law_title <> '' AND doc_number <> ''").select(F.lower("law_title").alias("t"), "doc_number").orderBy("t", "doc_number").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 base laws: a pattern of their names would be too large")
+    return V.LAW_NUMBERS | {r.t: r.doc_number for r in rows}
 
 
 def amended_by(spark: SparkSession, folder: str) -> DataFrame:
     """Cited documents that a later one changed, from passive clauses of preambles."""
-    return passive_chains(table(spark, folder, "documents"), "doc_id", "text").where(F.col("by").isNotNull()).select("doc_id", "changed", "by", "edge_label").distinct()
+    return passive_chains(table(spark, folder, "documents"), "doc_id", "text", _laws(spark, folder)).where(F.col("by").isNotNull()).select("doc_id", "changed", "by", "edge_label").distinct()
 
 
 QUERIES = {
