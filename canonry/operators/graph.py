@@ -108,23 +108,28 @@ def shortest_path(edges: DataFrame, start: str | None, goal: str | None, most: i
     if start == goal:
         return spark.createDataFrame([(goal, 0)], "id string, steps int")
     both = undirected(edges).select("src", "dst")
-    sides = {end: [spark.range(1).select(F.lit(end).alias("id")), 1] for end in (start, goal)}
-    reached = {end: side[0] for end, side in sides.items()}
-    steps = 0
-    while most is None or steps < most:
+    near = {end: both.where(F.col("src") == end).select(F.col("dst").alias("id")).distinct() for end in (start, goal)}
+    # one or two steps are lookups that reach the scan
+    at_once = near[start].where(F.col("id") == goal).select(F.lit(1).alias("steps")).limit(1)
+    if most is None or most > 1:
+        at_once = at_once.unionByName(near[start].join(near[goal], "id", "left_semi").select(F.lit(2).alias("steps")).limit(1))
+    found = at_once.agg(F.min("steps")).first()[0]
+    if found:
+        return spark.createDataFrame([(goal, found)], "id string, steps int")
+    sides = {end: written(near[end]) for end in (start, goal)} if most is None or most > 2 else {start: (None, 0), goal: (None, 0)}
+    reached = {end: sides[end][0] for end in sides}
+    steps = 2
+    while sides[start][1] and sides[goal][1] and (most is None or steps < most):
         steps += 1
         own, other = sorted((start, goal), key=lambda end: sides[end][1])
         frontier = sides[own][0]
-        # the first level is a filter that reaches the scan
-        near = both.where(F.col("src") == own) if sides[own][1] == 1 and reached[own] is frontier else both.join(frontier, both.src == frontier.id, "left_semi")
-        new = near.select(F.col("dst").alias("id")).distinct().join(reached[own], "id", "left_anti")
+        following = both.join(frontier, both.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
+        new = following.where(F.col("id") != own).join(reached[own], "id", "left_anti")
         marked = new.join(sides[other][0].select("id", F.lit(True).alias("met")), "id", "left")
         level, size, met = written(marked, "met")
         if met:
             return spark.createDataFrame([(goal, steps)], "id string, steps int")
-        if not size:
-            break
-        sides[own] = [level.select("id"), size]
+        sides[own] = (level.select("id"), size)
         reached[own] = reached[own].unionByName(level.select("id"))
     return spark.createDataFrame([], "id string, steps int")
 

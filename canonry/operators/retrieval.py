@@ -156,16 +156,24 @@ def bm25_index(documents: DataFrame, key: str = "doc_id", text: str = "text", k1
 def bm25_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", tokens=words) -> DataFrame:
     """`query_id`, `key`, `score`, `rank` of the best documents of every query by BM25, from a `bm25_index`.
 
-    Up to 100 000 words are looked up by a filter that picks their folders and
-    row groups; more meet the index in a join.
+    Up to 100 000 pairs of question and word are looked up by a filter that
+    picks their folders and row groups; more meet the index in a join.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("word"))
-    sought = [r.word for r in asked.select("word").distinct().limit(_FEW + 1).collect()]
-    if len(sought) <= _FEW:
-        buckets = asked.sparkSession.createDataFrame([(w,) for w in sought], "word string").select(_bucket(F.col("word")).alias("b")).distinct()
-        index = index.where(F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("word").isin(sought))
-        asked = F.broadcast(asked)
-    scored = index.join(asked, "word").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("score"))
+    spread = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))
+    asked = queries.select("query_id", F.array_distinct(tokens("query")).alias("words")).select("query_id", "words", F.transform("words", spread).alias("buckets"))
+    held, pairs = asked.limit(_FEW + 1).collect(), []
+    for r in held:
+        pairs += [(r.query_id, w, b) for w, b in zip(r.words or (), r.buckets or ())]
+        if len(pairs) > _FEW:
+            break
+    if len(held) <= _FEW and len(pairs) <= _FEW:
+        ids, sought, buckets = zip(*pairs) if pairs else ((), (), ())
+        local = pa.table({"query_id": pa.array(ids, pa.int64()), "word": pa.array(sought, pa.string())})
+        index = index.where(F.col("bucket").isin(sorted(set(buckets))) & F.col("word").isin(sorted(set(sought))))
+        wanted = F.broadcast(queries.sparkSession.createDataFrame(local))
+    else:
+        wanted = asked.select("query_id", F.explode("words").alias("word"))
+    scored = index.join(wanted, "word").groupBy("query_id", key).agg(F.round(F.sum("weight"), 9).alias("score"))
     return ranked(scored, k, key)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ def folded_words(text: Column | str) -> Column:
 
 
 def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id long, query string, vec_id long")
+    ids, texts, vectors = zip(*QUESTIONS)
+    return spark.createDataFrame(pa.table({"query_id": pa.array(ids, pa.int64()), "query": pa.array(texts), "vec_id": pa.array(vectors, pa.int64())}))
 
 
 def every_question(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,12 +133,25 @@ def keyword_rescue_all(spark: SparkSession, folder: str) -> DataFrame:
     return R.rescue_every(table(spark, folder, "documents"), every_question(spark, folder), "doc_id", "text").select("query_id", "doc_id", "hits", "score")
 
 
+def chunk_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored chunks by document number: `k`, the number's letters and digits, `chunk_id`, `is_appendix`, `chunk_index`; sorted by number."""
+    def build() -> DataFrame:
+        rows = table(spark, folder, "chunks").select(letters_digits("document_number").alias("k"), "chunk_id", "is_appendix", "chunk_index").where(F.col("k").isNotNull())
+        return rows.groupBy(*rows.columns).agg(F.count("*").alias("rows")).hint("rebalance").sortWithinPartitions("k", "chunk_index")
+
+    return derived(spark, folder, "chunk-numbers", ["chunks"], build)
+
+
+def number_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many chunk rows each number has."""
+    return derived(spark, folder, "number-counts", ["chunks"], lambda: chunk_numbers(spark, folder).groupBy("k").agg(F.sum("rows").alias("n")))
+
+
 def metadata_scroll(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the most cited document number, main text first, then in order."""
-    chunks = table(spark, folder, "chunks").withColumn("k", letters_digits("document_number"))
-    top = chunks.groupBy("k").agg(F.count("*").alias("n")).where(F.col("k").isNotNull()).orderBy(F.desc("n"), "k").limit(1).select("k")
-    rows = chunks.join(F.broadcast(top), "k").select("chunk_id", "is_appendix", "chunk_index").distinct()
-    return rows.orderBy(F.coalesce("is_appendix", F.lit(False)), "chunk_index", "chunk_id").limit(200)
+    top = number_counts(spark, folder).orderBy(F.desc("n"), "k").limit(1).select("k").first()
+    rows = chunk_numbers(spark, folder).where(F.col("k") == F.lit(top.k if top else None)).select("chunk_id", "is_appendix", "chunk_index")
+    return rows.orderBy(F.coalesce(F.col("is_appendix"), F.lit(False)), "chunk_index", "chunk_id").limit(200)
 
 
 def emergency_scroll(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "canonry", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,27 +76,36 @@ def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[
     get a new table. A table is complete once it has its success mark; a
     builder that was lost leaves none and the next one builds again.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    state = []
-    for source in sources:
-        path = hadoop.Path(source)
-        fs = path.getFileSystem(conf)
-        state += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)) if fs.exists(path) else [(source, 0, 0)]
-    mark = hashlib.sha256(repr((name, state)).encode()).hexdigest()[:24]
+    mark = hashlib.sha256(repr((name, file_state(spark, sources))).encode()).hexdigest()[:24]
     target = f"{shared_folder(spark)}/canonry-stored/{name}-{mark}"
-    done = hadoop.Path(f"{target}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    held = _OPEN.get((spark.sparkContext.applicationId, target))
+    if held is not None:
+        return held
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         writer = build().write.mode("overwrite")
         (writer.partitionBy(bucket) if bucket else writer).parquet(target)
-        _SCHEMAS.pop(target, None)
-    # the schema is read from the files once; later reads start no job for it
-    if target not in _SCHEMAS:
-        _SCHEMAS[target] = spark.read.parquet(target).schema
-    return spark.read.schema(_SCHEMAS[target]).parquet(target)
+    # its files don't change, so they are listed once
+    _OPEN[spark.sparkContext.applicationId, target] = spark.read.parquet(target)
+    return _OPEN[spark.sparkContext.applicationId, target]
+
 
+#: Stored tables that this process has opened.
+_OPEN: dict[tuple[str, str], DataFrame] = {}
 
-_SCHEMAS: dict[str, StructType] = {}
+
+def file_state(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int, int]]:
+    """Path, bytes, files and time of change of each of `paths`; a few calls each, however many files it has."""
+    conf, state = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for source in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            state.append((source, 0, 0, 0))
+            continue
+        summary = fs.getContentSummary(path)
+        state.append((source, summary.getLength(), summary.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return state
 
 
 def ship(spark: SparkSession, root: str) -> None:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from canonry.session import stored
+from canonry.session import file_state, stored
 
 
 def place(folder: str, name: str) -> str:
@@ -15,8 +16,15 @@ def place(folder: str, name: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table `name` below `folder`; one file or a directory of files."""
-    return spark.read.parquet(place(folder, name))
+    """The table `name` below `folder`; one file or a directory of files. The schema of files that haven't changed is read once."""
+    path = place(folder, name)
+    state = repr(file_state(spark, [path]))
+    if _SCHEMAS.get(path, (None,))[0] != state:
+        _SCHEMAS[path] = (state, spark.read.parquet(path).schema)
+    return spark.read.schema(_SCHEMAS[path][1]).parquet(path)
+
+
+_SCHEMAS: dict[str, tuple[str, StructType]] = {}
 
 
 def derived(spark: SparkSession, folder: str, name: str, sources: list[str], build: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:

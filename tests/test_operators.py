@@ -137,3 +137,43 @@ def test_streams(spark, tmp_path):
     assert [r.total for r in tumbling(events, "ts", "1 hour", ["kind"]).orderBy("w").collect()] == [3.0, 4.0]
     uploads = spark.createDataFrame([("s", "d1", t, 1), ("s", "d2", t + dt.timedelta(seconds=200), 1), ("u", "d3", t - dt.timedelta(days=1), 1)], "session_id string, document_id string, at timestamp, n int")
     assert [r.document_id for r in live_uploads(uploads, "at", t + dt.timedelta(seconds=250)).collect()] == ["d2"]
+
+
+def test_shortest_path_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = sorted({(f"v{a}", f"v{b}") for a in range(14) for b in (a + 1, a + rng.randint(1, 3)) if a != 6} | {("v0", "v0"), ("z1", "z2")})
+    edges = spark.createDataFrame([(a, "R", b) for a, b in pairs], "src string, type string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def steps(start, goal):
+        level, seen, n = {start}, {start}, 0
+        while level and goal not in level:
+            level = {y for x in level for y in near.get(x, ())} - seen
+            seen |= level
+            n += 1
+        return n if goal in level else None
+
+    for start, goal in (("v0", "v6"), ("v0", "v14"), ("v7", "v13"), ("v0", "z2"), ("v3", "v4")):
+        want = steps(start, goal)
+        assert [r.steps for r in G.shortest_path(edges, start, goal).collect()] == ([] if want is None else [want])
+
+
+def test_stored_tables_follow_their_sources(spark, tmp_path):
+    from canonry.session import stored
+
+    path, calls = f"{tmp_path}/t.parquet", []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(path).groupBy("k").count()
+
+    read = lambda: sorted(map(tuple, stored(spark, "test", [path], build, "k").select("k", "count").collect()))
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int").write.parquet(path)
+    assert read() == read() == [("a", 1), ("b", 1)] and len(calls) == 1
+    spark.createDataFrame([("a", 3)], "k string, v int").write.mode("append").parquet(path)
+    assert read() == [("a", 2), ("b", 1)] and len(calls) == 2
