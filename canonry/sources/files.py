@@ -138,7 +138,7 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 def split_by_sector_and_year(rows: DataFrame, sectors: str, year: str, path: str) -> None:
     """CSV files in a folder for each sector and year; a row with several sectors is in each of them."""
-    each = rows.withColumn("sector", F.explode(F.array_distinct(F.filter(F.transform(F.split(sectors, ","), F.trim), lambda s: s != ""))))
+    each = rows.withColumn("sector", F.explode(F.array_distinct(F.filter(F.transform(F.split(sectors, ","), lambda s: F.trim(s)), lambda s: s != ""))))
     write_partitioned_csv(each.withColumnRenamed(year, "year") if year != "year" else each, path, ["sector", "year"])
 
 

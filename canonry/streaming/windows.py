@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,22 +49,55 @@ def tumbling(events: DataFrame, at: str, size: str, keys: list[str], watermark:
     return source.groupBy(F.window(at, size).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_batches(target: str, key: str, order: str):
-    """A `foreachBatch` function that keeps the latest row of each key in a Parquet folder of numbered versions.
+def _folded(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row of each key."""
+    columns = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("r")).select(key, "r.*")
 
-    Each batch writes a new version beside the last complete one, so that a
-    lost executor or driver leaves the old one readable.
+
+def _versions(spark: SparkSession, target: str, number: int | None = None) -> tuple[list[int], list[int]]:
+    """Numbers of the complete bases, before `number` if given, and of the complete batches after the last of them, up to `number`."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in (fs.listStatus(path) if fs.exists(path) else []) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
+    found = {kind: sorted(int(n.removeprefix(kind)) for n in names if n.startswith(kind)) for kind in ("base_", "batch_")}
+    bases = [b for b in found["base_"] if number is None or b < number]
+    return bases, [b for b in found["batch_"] if (not bases or b > bases[-1]) and (number is None or b <= number)]
+
+
+def upserted(spark: SparkSession, target: str, key: str, order: str, number: int | None = None) -> DataFrame | None:
+    """The latest row of each key of a folder that `upsert_batches` writes, up to the batch `number`; None while it is empty."""
+    bases, batches = _versions(spark, target, number)
+    paths = [f"{target}/base_{bases[-1]}"] if bases else []
+    paths += [f"{target}/batch_{b}" for b in batches]
+    return _folded(reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in paths]), key, order) if paths else None
+
+
+def upsert_batches(target: str, key: str, order: str, compact_every: int = 20):
+    """A `foreachBatch` function that keeps the latest row of each key in a folder; `upserted` reads it.
+
+    A batch writes only its own rows, so its cost doesn't grow with the
+    state; every `compact_every` batches they are folded into a new base and
+    what is older than the base before is removed. Batches and bases are
+    written whole, and a batch that is tried again replaces itself, so a lost
+    executor or driver leaves a readable state.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [s.getPath().getName() for s in (fs.listStatus(fs_path) if fs.exists(fs_path) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        older = sorted(int(d.split("=")[1]) for d in done if d.startswith("version=") and int(d.split("=")[1]) < number)
-        rows = batch if not older else batch.unionByName(spark.read.parquet(f"{target}/version={older[-1]}"))
-        columns = [c for c in rows.columns if c != key]
-        merged = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("r")).select(key, "r.*")
-        merged.write.mode("overwrite").parquet(f"{target}/version={number}")
+        _folded(batch, key, order).write.mode("overwrite").parquet(f"{target}/batch_{number}")
+        if (number + 1) % compact_every:
+            return
+        bases, _ = _versions(spark, target, number)
+        upserted(spark, target, key, order, number).write.mode("overwrite").parquet(f"{target}/base_{number}")
+        # readers that began before may still use the last base and what came after it
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        last = bases[-1] if bases else -1
+        for status in fs.listStatus(hadoop.Path(target)):
+            kind, _, n = status.getPath().getName().partition("_")
+            if (kind == "base" and int(n) < last) or (kind == "batch" and int(n) <= last):
+                fs.delete(status.getPath(), True)
 
     return write

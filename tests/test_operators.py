@@ -12,7 +12,7 @@ from canonry.operators import retrieval as R
 from canonry.operators.relations import case_insensitive_names, extract_relations, passive_chains
 from canonry.operators.sessions import history_window
 from canonry.sources import files
-from canonry.streaming.windows import live_uploads, rolling_history, tumbling, upsert_batches
+from canonry.streaming.windows import live_uploads, rolling_history, tumbling, upsert_batches, upserted
 
 
 def test_knn_is_exact(spark):
@@ -128,11 +128,19 @@ def test_streams(spark, tmp_path):
     assert [r.id for r in spark.table("rolling").orderBy("place").collect()] == list(range(6, 20))
 
     target = str(tmp_path / "state")
-    write = upsert_batches(target, "session_id", "id")
+    write = upsert_batches(target, "session_id", "id", compact_every=2)
+    state = lambda: sorted((r.session_id, r.content) for r in upserted(spark, target, "session_id", "id").collect())
+    assert upserted(spark, target, "session_id", "id") is None
     one = spark.createDataFrame([("s", 1, t, "old"), ("u", 1, t, "x")], schema)
     write(one, 0)
     write(spark.createDataFrame([("s", 2, t, "new")], schema), 1)
-    assert sorted((r.session_id, r.content) for r in spark.read.parquet(f"{target}/version=1").collect()) == [("s", "new"), ("u", "x")]
+    assert state() == [("s", "new"), ("u", "x")]
+    for n in range(2, 7):
+        # a batch that is tried again replaces itself
+        for _ in range(2):
+            write(spark.createDataFrame([("s", 1 + n, t, f"v{n}"), (f"k{n}", 1, t, "y")], schema), n)
+    assert state() == sorted([("s", "v6"), ("u", "x"), *((f"k{n}", "y") for n in range(2, 7))])
+    assert {p.name for p in (tmp_path / "state").iterdir()} == {"base_3", "base_5", "batch_4", "batch_5", "batch_6"}
     events = spark.createDataFrame([(t, "a", 1.0), (t + dt.timedelta(minutes=59), "a", 2.0), (t + dt.timedelta(hours=1), "a", 4.0)], "ts timestamp, kind string, value double")
     assert [r.total for r in tumbling(events, "ts", "1 hour", ["kind"]).orderBy("w").collect()] == [3.0, 4.0]
     uploads = spark.createDataFrame([("s", "d1", t, 1), ("s", "d2", t + dt.timedelta(seconds=200), 1), ("u", "d3", t - dt.timedelta(days=1), 1)], "session_id string, document_id string, at timestamp, n int")

@@ -10,7 +10,9 @@ import pytest
 import __spark_entry__ as entry
 from scripts.compare import plain
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from canonry.plans import catalogue
+
+QUERIES, SQL = {n: q for n, q in entry.queries().items() if n in catalogue.QUERIES}, catalogue.SQL
 
 
 @pytest.fixture(scope="module")
