@@ -240,7 +240,7 @@ def question_entities(question: Column | str, most: int = 5) -> Column:
 def article_body(text: Column, article: Column) -> Column:
     """The text from a heading `article` to the next article or chapter heading; null if it isn't there."""
     start = F.regexp_instr(F.concat(F.lit("\n"), text), F.concat(F.lit(r"(?iu)\n\s*"), F.regexp_replace(article, r"([.()\[\]\\+*?^$|{}])", r"\\$1"), F.lit(r"(?![0-9])")))
-    rest = F.when(start > 0, F.ltrim(F.substr(text, F.greatest(start, F.lit(1)))))
+    rest = F.when(start > 0, F.regexp_replace(F.substr(text, F.greatest(start, F.lit(1))), r"^\s+", ""))
     end = F.regexp_instr(rest, F.lit(r"(?iu)\n\s*(điều|chương|mục|phần)\s+[0-9ivxlc]+"))
     return F.rtrim(F.when(end > 0, F.substr(rest, F.lit(1), end - 1)).otherwise(rest))
 

@@ -255,6 +255,9 @@ SQL = {
     "hinted_missing": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 20, 'doc_contexts', 'doc_title')}, {_graph._BASE}, f AS (SELECT query_id, doc_id AS id FROM b),
       n AS (SELECT DISTINCT query_id, l.dst AS id FROM f JOIN links l ON l.src = f.id), m AS (SELECT * FROM n WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM f))
       SELECT query_id, id, 0.25::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM m) WHERE r <= 3""",
+    "text_citations": r"""SELECT citation, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(list_transform(regexp_extract_all(chunk_text, '(?i)((?:điều|khoản|điểm|mục|chương)\s+(?:\d+[a-zđ]?|[a-zđ]|[ivxlc]+))(?:[^\pL\pN\pM_]|$)', 1) || regexp_extract_all(chunk_text, '\d+/\d{4}/[A-ZĐ][A-Z0-9Đ\-]*'),
+        lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM (SELECT DISTINCT chunk_id, chunk_text FROM chunks)) GROUP BY citation""",
+    "article_bodies": r"""SELECT doc_id, rtrim(regexp_replace(rest, '(?is)\n\s*(?:điều|chương|mục|phần)\s+[0-9ivxlc]+.*$', ''), ' ') AS body FROM (SELECT doc_id, regexp_extract(chr(10) || text, '(?is)\n\s*(điều 2(?:[^0-9].*)?)$', 1) AS rest FROM documents WHERE text IS NOT NULL) WHERE rest <> ''""",
     "chunk_order": """SELECT document_id, chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY coalesce(TRY_CAST(regexp_extract(chunk_id, 'c(\\d+)', 1) AS INTEGER), 0), coalesce(TRY_CAST(regexp_extract(chunk_id, 'p(\\d+)', 1) AS INTEGER), 0), chunk_id) AS INTEGER) AS place
       FROM (SELECT DISTINCT document_id, chunk_id FROM chunks)""",
     "changed_articles": f"""WITH {_graph._BASE}, r AS (SELECT DISTINCT by_id, type, id AS document_id, article FROM (SELECT by_id, x.edge_label AS type, {_graph._real('x.target_article')} AS article, {_graph._k('x.target_doc')} AS key

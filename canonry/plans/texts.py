@@ -234,4 +234,10 @@ SQL = {
     "phantom_stats": """SELECT count(*) AS groups, count(*) FILTER (d.doc_id IS NULL) AS unknown, count(*) FILTER (d.is_active) AS active, count(*) FILTER (d.withdrawn_at IS NOT NULL) AS withdrawn, count(DISTINCT c.document_id) AS documents
       FROM (SELECT DISTINCT document_id, is_table FROM chunks) c LEFT JOIN doc_contexts d ON d.doc_id = c.document_id""",
     "rare_relations": f"SELECT edge_label, target, count(*) AS n FROM (SELECT x.edge_label AS edge_label, nullif(regexp_replace(replace(lower(strip_accents(x.target_doc)), 'đ', 'd'), '[^\\pL\\pN]+', '', 'g'), '') AS target FROM {_REL}) WHERE target IS NOT NULL GROUP BY ALL HAVING count(*) <= 2",
+    "legal_bases": r"""WITH l AS (SELECT doc_id, trim(regexp_replace(line, '[\s\p{Z}\x{200B}\x{FEFF}]+', ' ', 'g')) AS basis_line FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:80]) AS line FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '(?i)^\s*căn cứ(?:[^\pL\pN\pM_]|$)')),
+      r AS (SELECT doc_id, basis_line, unnest(regexp_extract_all(basis_line, '(?i)((?:Hiến pháp|Bộ luật|Luật|Nghị quyết|Pháp lệnh|Nghị định|Thông tư)(?:[^\pL\pN\pM_.;\n][^.;\n]*)?)(?:$|[.;])', 1)) AS ref FROM l),
+      f AS (SELECT doc_id, basis_line, CASE lower(regexp_extract(ref, '(?i)^(Hiến pháp|Bộ luật|Luật|Nghị quyết|Pháp lệnh|Nghị định|Thông tư)', 1)) WHEN 'hiến pháp' THEN 'constitution' WHEN 'bộ luật' THEN 'code' WHEN 'luật' THEN 'law' WHEN 'nghị quyết' THEN 'resolution' WHEN 'pháp lệnh' THEN 'ordinance' WHEN 'nghị định' THEN 'decree' ELSE 'circular' END AS doc_type,
+        coalesce(nullif(regexp_extract(ref, '(?i)(?:số\s*)?(\d+/\d+(?:/[A-Z0-9Đ\-]+)?)', 1), ''), regexp_extract(ref, '(?i)(\d+/[A-Z0-9Đ\-]+)', 1)) AS doc_number,
+        coalesce(nullif(regexp_extract(ref, '\b((?:19|20)\d{2})\b', 1), ''), CASE WHEN TRY_CAST(regexp_extract(ref, '(\d{4})', 1) AS INTEGER) BETWEEN 1900 AND 2100 THEN regexp_extract(ref, '(\d{4})', 1) END, '') AS doc_year, trim(ref) AS doc_title FROM r)
+      SELECT DISTINCT *, 'parent::' || doc_type || '::' || coalesce(nullif(regexp_replace(regexp_replace(lower(CASE WHEN doc_number <> '' THEN doc_number ELSE doc_title END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') || '::' || coalesce(nullif(doc_year, ''), 'unknown') AS parent_law_id FROM f""",
 }
