@@ -14,11 +14,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from canonry.session import scans
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two float arrays, summed in double."""
@@ -73,23 +76,31 @@ def dense_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     """`query_id`, `key`, `score`: the exact `k` nearest rows of every query.
 
     Queries go to the executors in blocks of at most `block_bytes` of doubles,
-    each a pass over the vectors; a batch of rows meets a block as one matrix
+    each a pass over the vectors and one held at a time; a batch of rows meets a block as one matrix
     product and keeps its best `k` of each query, and a window joins the
     batches' lists. Vectors of another length, of length zero or with nulls
     are no candidates. Ties go to the lower key.
     """
-    parts: list[DataFrame] = []
-    block: list[tuple[int, list[float]]] = []
     schema = T.StructType([T.StructField(query_key, T.LongType()), T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType())])
     rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias(key), embedding)
 
-    def scan(held: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([q for q, _ in held], np.int64)
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for r in queries.where(F.col(embedding).isNotNull()).select(F.col(query_key).cast("long").alias("q"), F.col(embedding).alias("v")).toLocalIterator():
+            if held and size + 8 * len(r.v) > block_bytes:
+                yield built(held)
+                held, size = [], 0
+            held.append((r.q, r.v))
+            size += 8 * len(r.v)
+        if held:
+            yield built(held)
+
+    def built(held: list[tuple[int, list[float]]]) -> tuple[np.ndarray, np.ndarray]:
         matrix = np.array([v for _, v in held], np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        return np.array([q for q, _ in held], np.int64), np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
+    def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for batch in batches:
@@ -107,15 +118,7 @@ def dense_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
 
         return rows.mapInArrow(run, schema)
 
-    size = 0
-    for r in queries.where(F.col(embedding).isNotNull()).select(F.col(query_key).cast("long").alias("q"), F.col(embedding).alias("v")).toLocalIterator():
-        if block and size + 8 * len(r.v) > block_bytes:
-            parts.append(scan(block))
-            block, size = [], 0
-        block.append((r.q, r.v))
-        size += 8 * len(r.v)
-    if block:
-        parts.append(scan(block))
+    parts = scans(vectors.sparkSession, blocks(), scan)
     if not parts:
         return vectors.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
@@ -190,8 +193,8 @@ def _best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int, *more:
     return [x[kept] for x in (query, key, score, *more)]
 
 
-def _word_blocks(queries: DataFrame, asked: Column, size: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """Blocks of at most `size` queries: their ids, their distinct words, and which query (column) has which word (row)."""
+def _word_blocks(queries: DataFrame, asked: Column, size: int, most_words: int = 32_768) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Blocks of at most `size` queries with about `most_words` words (a query with more is a block of its own): their ids, their distinct words, and which query (column) has which word (row)."""
     def built(held: list) -> tuple[np.ndarray, list[str], np.ndarray]:
         vocabulary = sorted({w for r in held for w in r.w})
         at = {w: i for i, w in enumerate(vocabulary)}
@@ -200,12 +203,13 @@ def _word_blocks(queries: DataFrame, asked: Column, size: int) -> Iterator[tuple
             has[[at[w] for w in r.w], q] = True
         return np.array([r.q for r in held], np.int64), vocabulary, has
 
-    held = []
+    held, known = [], set()
     for r in queries.select(F.col("query_id").cast("long").alias("q"), F.array_distinct(asked).alias("w")).where(F.size("w") > 0).toLocalIterator():
-        held.append(r)
-        if len(held) == size:
+        if held and (len(held) == size or len(known) + len(r.w) > most_words):
             yield built(held)
-            held = []
+            held, known = [], set()
+        held.append(r)
+        known.update(r.w)
     if held:
         yield built(held)
 
@@ -227,7 +231,7 @@ def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc
     listed = documents.select(key, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w"))
     counts_schema = "word long, n long, size long"
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
-    context, parts = documents.sparkSession.sparkContext, []
+    context = documents.sparkSession.sparkContext
 
     def found(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Length of every document; row, word and count of the words that occur."""
@@ -238,10 +242,10 @@ def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc
         pairs, tf = np.unique(row[ids >= 0].astype(np.int64) * max(len(vocabulary), 1) + ids[ids >= 0], return_counts=True)
         return size, pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1), tf
 
-    for ids, vocabulary, has in _word_blocks(queries, tokens("query"), block):
-        shared = context.broadcast((ids, vocabulary, has))
+    def scan(shared: Broadcast) -> DataFrame:
+        vocabulary = shared.value[1]
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array(shared.value[1], pa.string())
             df, docs, total = np.zeros(len(names), np.int64), 0, 0
             for batch in batches:
@@ -260,7 +264,7 @@ def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc
                 df[r.word] = r.n
         weights = context.broadcast((np.log(1 + (docs - df + 0.5) / (df + 0.5)), total / docs if total else 1.0))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, weights=weights) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (ids, vocabulary, has), (idf, mean) = shared.value, weights.value
             names, best = pa.array(vocabulary, pa.string()), None
             for whole in batches:
@@ -283,7 +287,9 @@ def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1].tolist(), pa.string() if isinstance(kind, T.StringType) else pa.int64()), pa.array(best[2])], schema.names)
 
-        parts.append(listed.mapInArrow(run, schema))
+        return listed.mapInArrow(run, schema)
+
+    parts = scans(documents.sparkSession, _word_blocks(queries, tokens("query"), block), scan)
     if not parts:
         return documents.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     return ranked(reduce(DataFrame.unionByName, parts), k, key)
@@ -294,11 +300,9 @@ def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str,
     asked = F.filter(words("query"), lambda w: F.length(w) > longer_than)
     lowered = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("t"))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, T.LongType()), T.StructField("hits", T.IntegerType())])
-    parts = []
-    for found in _word_blocks(queries, asked, block):
-        shared = documents.sparkSession.sparkContext.broadcast(found)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (ids, vocabulary, has), best = shared.value, None
             for whole in batches:
                 for start in range(0, whole.num_rows, step):
@@ -313,7 +317,9 @@ def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str,
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2].astype(np.int32))], schema.names)
 
-        parts.append(lowered.mapInArrow(run, schema))
+        return lowered.mapInArrow(run, schema)
+
+    parts = scans(documents.sparkSession, _word_blocks(queries, asked, block), scan)
     hits = reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
     return ranked(hits.withColumn("score", F.round(F.col("hits") * per_hit, 6)), most, key)
 

@@ -126,9 +126,11 @@ def conflicts_by_article(spark: SparkSession, folder: str) -> DataFrame:
     """Changing relations that name an article of a document whose chunks have that article."""
     rels = table(spark, folder, "doc_contexts").select(F.col("doc_id").alias("by_id"), F.explode("ontology_rels").alias("x")).where(F.col("x.edge_label").isin("AMENDS", "REPLACES", "REPEALS") & (F.length("x.target_article") > 0))
     named = rels.select("by_id", F.col("x.edge_label").alias("type"), F.col("x.target_article").alias("article"), _key("x.target_doc").alias("key"))
-    targets = named.join(numbers(spark, folder), "key").select("by_id", "type", "article", F.col("id").alias("document_id"))
+    targets = named.join(numbers(spark, folder), "key").select("by_id", "type", "article", F.col("id").alias("document_id")).distinct()
     parts = table(spark, folder, "chunks").select("document_id", "article_ref", "chunk_id").distinct()
-    return parts.join(targets, "document_id").where(F.contains(F.lower("article_ref"), F.lower("article"))).select("by_id", "type", "document_id", "chunk_id").distinct()
+    # names meet names first: a document has far fewer articles than chunks and relations
+    met = parts.select("document_id", "article_ref").distinct().join(targets.select("document_id", "article").distinct(), "document_id").where(F.contains(F.lower("article_ref"), F.lower("article")))
+    return met.join(targets, ["document_id", "article"]).join(parts, ["document_id", "article_ref"]).select("by_id", "type", "document_id", "chunk_id").distinct()
 
 
 def chain_two(spark: SparkSession, folder: str) -> DataFrame:

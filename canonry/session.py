@@ -8,9 +8,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,27 @@ def written(df: DataFrame, flag: str | None = None) -> tuple:
     return (table, seen.get["n"], seen.get["k"]) if flag else (table, seen.get["n"])
 
 
+def scans(spark: SparkSession, blocks: Iterable, scan: Callable[[Broadcast], DataFrame]) -> list[DataFrame]:
+    """What `scan` gives for each block, which is sent to the executors.
+
+    One block stays lazy. Of several each is scanned and written before the
+    next is built, so the driver and the executors hold one at a time.
+    """
+    parts, held = [], None
+    for block in blocks:
+        if held is not None:
+            parts.append(written(scan(held))[0])
+            held.destroy()
+        held = spark.sparkContext.broadcast(block)
+    if held is not None:
+        last = scan(held)
+        if parts:
+            last, _ = written(last)
+            held.destroy()
+        parts.append(last)
+    return parts
+
+
 def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:
     """A table derived from the files `sources`, built once and kept in the shared folder; rows of one `bucket` value share a folder.
 
