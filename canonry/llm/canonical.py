@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canonry.session import written
+from canonry.session import scans, written
 
 #: Titles and offices before or after a name, without accents.
 TITLES = (
@@ -356,12 +356,12 @@ def map_values(
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     distinct, _ = written(rows.select("kind", "raw").distinct().repartition(parts, "kind", "raw"))
 
-    def scan(shared, alone: bool) -> DataFrame:
+    def scan(shared) -> DataFrame:
         # where other blocks may have a nearer entry, the spelling is always looked at
-        taken = sure if alone else 2.0
+        taken = sure if shared.value[1] else 2.0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matchers = shared.value
+            matchers = shared.value[0]
             for batch in batches:
                 kinds, raws = batch["kind"].to_pylist(), batch["raw"].to_pylist()
                 found, literal = [[] for _ in raws], [False] * len(raws)
@@ -381,17 +381,9 @@ def map_values(
             ends = [decide([Hit(**h) for h in hits], sure, margin) for hits in batch["hits"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["kind"], batch["raw"], pa.array([i for i, _ in ends], pa.int64()), pa.array([s for _, s in ends], pa.float64())], ["kind", "raw", "canon_id", "score"])
 
-    passes, held = [], None
-    for block, alone in _blocks(canon, most_postings):
-        if held is not None:
-            passes.append(written(scan(held, False))[0])
-            held.destroy()
-        held = spark.sparkContext.broadcast(block)
-    passes.append(scan(held, alone))
+    passes = scans(spark, _blocks(canon, most_postings), scan)
     hits = passes[0]
     if len(passes) > 1:
-        passes[-1], _ = written(passes[-1])
-        held.destroy()
         every = reduce(DataFrame.unionByName, passes).groupBy("kind", "raw")
         hits = every.agg(F.bool_or("literal").alias("literal"), F.flatten(F.collect_list("hits")).alias("hits"))
     answers = hits.where(~F.col("literal")).select("kind", "raw", "hits").mapInArrow(settle, "kind string, raw string, canon_id bigint, score double")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canonry.functions.arrow_text import slices
-from canonry.session import written
+from canonry.session import scans
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BITS = 22
@@ -280,17 +280,8 @@ def leaked_items(
 
         return rows.mapInArrow(run, schema)
 
-    parts, shared = [], None
-    for ids, passages in _blocks(asked, block_chars):
-        if shared is not None:
-            parts.append(written(scan(shared))[0])
-            shared.destroy()
-        shared = spark.sparkContext.broadcast(build_index(ids, passages, window, edits))
-    last = scan(shared)
-    if parts:
-        last, _ = written(last)
-        shared.destroy()
-    return reduce(DataFrame.unionByName, [*parts, last]).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
+    parts = scans(spark, (build_index(ids, passages, window, edits) for ids, passages in _blocks(asked, block_chars)), scan)
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list, list[str]]]:
