@@ -255,6 +255,12 @@ SQL = {
     "hinted_missing": f"""WITH {_retrieval._Q}, {_retrieval._sql_bm25('b', 'true', 20, 'doc_contexts', 'doc_title')}, {_graph._BASE}, f AS (SELECT query_id, doc_id AS id FROM b),
       n AS (SELECT DISTINCT query_id, l.dst AS id FROM f JOIN links l ON l.src = f.id), m AS (SELECT * FROM n WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM f))
       SELECT query_id, id, 0.25::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM m) WHERE r <= 3""",
+    "cited_hits": f"""WITH q AS (SELECT item_id AS query_id, question AS query, lower(citation) AS said FROM eval_items), u AS (SELECT chunk_id AS doc_id, min((document_id, document_number, article_ref, chunk_text)) AS x, min((document_id, document_number, article_ref, chunk_text))[4] AS chunk_text FROM chunks GROUP BY chunk_id), {_retrieval._sql_bm25('b', 'true', 8, 'u', 'chunk_text')},
+      h AS (SELECT b.query_id, b.doc_id AS chunk_id, b.score, b.rank, q.said, lower(trim(x[2], ' ')) AS number, coalesce(lower({_SQ('x[3]')}), '') AS article, {_SQ('title')} AS title FROM b JOIN u USING (doc_id) JOIN q USING (query_id) LEFT JOIN (SELECT doc_id AS d, min(doc_title) AS title FROM doc_contexts GROUP BY 1) t ON t.d = x[1]),
+      m AS (SELECT *, coalesce(length(article) > 2 AND regexp_matches(said, regexp_replace(article, '([.()\\[\\]\\\\+*?^$|{{}}])', '\\\\\\1', 'g') || '(?:[^0-9]|$)'), false)
+        OR coalesce(article = '' AND length(number) > 3 AND (contains(said, number) OR (regexp_extract(number, '^([^/]*/[^/]*)', 1) <> '' AND contains(said, regexp_extract(number, '^([^/]*/[^/]*)', 1)))), false)
+        OR coalesce(length(title) > 15 AND len(string_split(title, ' ')) > 3 AND contains(said, lower(array_to_string(string_split(title, ' ')[1:5], ' '))), false) AS cited FROM h)
+      SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, cited FROM (SELECT *, bool_or(cited) OVER (PARTITION BY query_id) AS found FROM m) WHERE cited OR (NOT found AND rank = 1)""",
     "text_citations": r"""SELECT citation, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(list_transform(regexp_extract_all(chunk_text, '(?i)((?:điều|khoản|điểm|mục|chương)\s+(?:\d+[a-zđ]?|[a-zđ]|[ivxlc]+))(?:[^\pL\pN\pM_]|$)', 1) || regexp_extract_all(chunk_text, '\d+/\d{4}/[A-ZĐ][A-Z0-9Đ\-]*'),
         lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM (SELECT DISTINCT chunk_id, chunk_text FROM chunks)) GROUP BY citation""",
     "article_bodies": r"""SELECT doc_id, rtrim(regexp_replace(rest, '(?is)\n\s*(?:điều|chương|mục|phần)\s+[0-9ivxlc]+.*$', ''), ' ') AS body FROM (SELECT doc_id, regexp_extract(chr(10) || text, '(?is)\n\s*(điều 2(?:[^0-9].*)?)$', 1) AS rest FROM documents WHERE text IS NOT NULL) WHERE rest <> ''""",

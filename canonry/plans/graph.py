@@ -321,6 +321,9 @@ SQL = {
       SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM f x JOIN f y USING (name) WHERE x.doc_id < y.doc_id GROUP BY ALL""",
     "same_authority": f"""WITH r AS (SELECT doc_id, {_real('issuing_auth')} AS authority FROM doc_contexts), n AS (SELECT *, row_number() OVER (PARTITION BY authority ORDER BY TRY_CAST(doc_id AS DOUBLE) NULLS FIRST, doc_id) AS p FROM r WHERE authority IS NOT NULL)
       SELECT a.doc_id, a.authority, b.doc_id AS other, CAST(b.p - a.p AS INTEGER) AS place FROM n a JOIN n b ON a.authority = b.authority AND b.p - a.p BETWEEN 1 AND 3""",
+    "same_sector": f"""WITH s AS (SELECT DISTINCT record_id AS doc_id, {_sq('val')} AS sector FROM ({_problems._P2}) WHERE field_name = 'sectors_str'), n AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY TRY_CAST(doc_id AS DOUBLE) NULLS FIRST, doc_id) AS p FROM s),
+      o AS (SELECT a.doc_id, a.sector, b.doc_id AS other, CASE WHEN b.p > a.p THEN b.p - a.p ELSE 3 + a.p - b.p END AS far FROM n a JOIN n b ON a.sector = b.sector AND abs(b.p - a.p) BETWEEN 1 AND 3)
+      SELECT doc_id, sector, other, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY far, sector) AS place FROM o) WHERE place <= 3""",
     "article_siblings": "SELECT chunk_id, document_id, count(*) OVER w - 1 AS others, min(chunk_id) OVER w AS first FROM (SELECT DISTINCT document_id, article_ref, chunk_id FROM chunks WHERE article_ref <> '') WINDOW w AS (PARTITION BY document_id, article_ref)",
     "keyword_union": "SELECT 'document' AS kind, doc_id AS id, doc_title AS name FROM doc_contexts WHERE contains(lower(doc_title), 'bến') UNION SELECT 'law', doc_id, law_title FROM base_laws WHERE contains(lower(law_title), 'bến') UNION SELECT 'name', CAST(canon_id AS VARCHAR), canon_name FROM canon_names WHERE contains(lower(canon_name), 'bến')",
     "cross_authority": f'WITH {_BASE}, d AS (SELECT doc_id, {_real("issuing_auth")} AS authority FROM doc_contexts) SELECT a.authority AS "by", b.authority AS "of", count(*) AS n FROM links l JOIN d a ON a.doc_id = l.src JOIN d b ON b.doc_id = l.dst WHERE a.authority <> b.authority GROUP BY ALL',

@@ -240,4 +240,14 @@ SQL = {
         coalesce(nullif(regexp_extract(ref, '(?i)(?:số\s*)?(\d+/\d+(?:/[A-Z0-9Đ\-]+)?)', 1), ''), regexp_extract(ref, '(?i)(\d+/[A-Z0-9Đ\-]+)', 1)) AS doc_number,
         coalesce(nullif(regexp_extract(ref, '\b((?:19|20)\d{2})\b', 1), ''), CASE WHEN TRY_CAST(regexp_extract(ref, '(\d{4})', 1) AS INTEGER) BETWEEN 1900 AND 2100 THEN regexp_extract(ref, '(\d{4})', 1) END, '') AS doc_year, trim(ref) AS doc_title FROM r)
       SELECT DISTINCT *, 'parent::' || doc_type || '::' || coalesce(nullif(regexp_replace(regexp_replace(lower(CASE WHEN doc_number <> '' THEN doc_number ELSE doc_title END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') || '::' || coalesce(nullif(doc_year, ''), 'unknown') AS parent_law_id FROM f""",
+    "contents_and_dates": r"""WITH d AS (SELECT doc_id, text, loaded_at, list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x, ' ')) AS lines FROM documents WHERE text IS NOT NULL),
+      a AS (SELECT *, list_position(list_transform(lines, lambda x: regexp_matches(x, '(?i)^(phụ\s+lục|danh\s+mục|(biểu\s+)?mẫu)(?:[^\pL\pN\pM_]|$)')), true) AS app,
+        regexp_replace(text, '(?is)\n\s*(?:phụ\s+lục|danh\s+mục|mẫu\s+số)(?:[^\pL\pN\pM_].*)?$', '') AS body FROM d),
+      e AS (SELECT *, list_filter(list_transform(CASE WHEN app > 0 THEN lines[1:app - 1] ELSE lines END, lambda x: CASE
+        WHEN regexp_matches(x, '(?i)^(Chương|Phần)(?:\s+thứ)?\s+([a-zA-Z0-9]+)\b\s*[.:\-]?\s*(.*)$') THEN regexp_replace(x, '(?i)^(Chương|Phần)(?:\s+thứ)?\s+([a-zA-Z0-9]+)\b\s*[.:\-]?\s*(.*)$', '\1 \2: \3')
+        WHEN regexp_matches(x, '(?i)^(Điều|Mục)\s+(\d+[A-Za-z0-9/\-]*)\s*[.:\-]?\s*(.*)$') THEN regexp_replace(x, '(?i)^(Điều|Mục)\s+(\d+[A-Za-z0-9/\-]*)\s*[.:\-]?\s*(.*)$', '\1 \2. ') ||
+          CASE WHEN length(regexp_extract(x, '(?i)^(Điều|Mục)\s+(\d+[A-Za-z0-9/\-]*)\s*[.:\-]?\s*(.*)$', 3)) > 100 THEN substr(regexp_extract(x, '(?i)^(Điều|Mục)\s+(\d+[A-Za-z0-9/\-]*)\s*[.:\-]?\s*(.*)$', 3), 1, 100) || '...' ELSE regexp_extract(x, '(?i)^(Điều|Mục)\s+(\d+[A-Za-z0-9/\-]*)\s*[.:\-]?\s*(.*)$', 3) END END), lambda x: x IS NOT NULL) AS toc,
+        regexp_extract(body, '(?i)có\s+hiệu\s+lực\s+(?:từ|kể\s+từ)\s+ngày\s+(\d{1,2})[/\- ](\d{1,2})[/\- ](\d{4})', ['d', 'm', 'y']) AS day FROM a)
+      SELECT doc_id, coalesce(array_to_string(toc, chr(10)), '') AS toc, CASE WHEN day.y <> '' THEN day.y || '-' || lpad(day.m, 2, '0') || '-' || lpad(day.d, 2, '0')
+        WHEN regexp_matches(body, '(?i)có\s+hiệu\s+lực\s+(?:thi\s+hành\s+)?(?:kể\s+)?từ\s+ngày\s+ký|chịu\s+trách\s+nhiệm\s+thi\s+hành\s+(?:quyết\s+định|nghị\s+định|thông\s+tư|văn\s+bản)\s+này') THEN strftime(loaded_at, '%Y-%m-%d') END AS effective_date FROM e""",
 }
