@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from canonry.functions import legal as L
 from canonry.functions.text import known, squeeze
+from canonry.operators import retrieval as R
 from canonry.plans.graph import _REAL, _key, graph_edges, numbers
 from canonry.plans.retrieval import emergency_scroll
 from canonry.sources.tables import table
@@ -110,6 +111,21 @@ def hit_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return hits.join(chunks, "chunk_id").join(docs, "document_id", "left").select("item_id", "chunk_id", "document_id", "parent_title", "parent_number", "effective_date", "authority")
 
 
+def expanded_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of the test items with their surroundings: of an appendix the chunks beside it under the same citation, of an article its first eight chunks."""
+    hits = emergency_scroll(spark, folder).select("item_id", "chunk_id")
+    chunks = table(spark, folder, "chunks").select("chunk_id", "document_id", "article_ref", "chunk_index", "chunk_text", F.coalesce("is_appendix", F.lit(False)).alias("is_appendix")).distinct()
+    own = hits.join(chunks.drop("chunk_text"), "chunk_id")
+    articles = R.siblings(chunks.where(F.col("article_ref") != ""), ["document_id", "article_ref"], ["chunk_index", "chunk_id"], "chunk_text", 8)
+    within = own.where(~F.col("is_appendix")).join(articles, ["document_id", "article_ref"]).select("item_id", "chunk_id", "context", "pieces")
+    near = R.neighbours(chunks, own.where("is_appendix").select("document_id", "chunk_index").distinct(), "document_id", "chunk_index")
+    named = own.where("is_appendix").select("item_id", F.col("chunk_id").alias("hit"), "document_id", F.col("chunk_index").alias("hit_index"), F.col("article_ref").alias("cited"))
+    beside = named.join(near, ["document_id", "hit_index"]).where(F.col("cited").eqNullSafe(F.col("article_ref")))
+    lines = F.array_sort(F.collect_list(F.struct("chunk_index", F.col("chunk_id").alias("c"), "chunk_text")))
+    text = F.array_join(F.transform(lines, lambda x: x["chunk_text"]), "\n")
+    return within.unionByName(beside.groupBy("item_id", F.col("hit").alias("chunk_id")).agg(text.alias("context"), F.count("*").alias("pieces")))
+
+
 def unlinked_bases(spark: SparkSession, folder: str) -> DataFrame:
     """Cited bases of a document that none of its BASED_ON relations names."""
     docs = table(spark, folder, "doc_contexts")
@@ -151,11 +167,12 @@ def session_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_sectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Up to three sectors that each test question names; the list of sectors may have a thousand."""
+    """Up to three sectors that each test question, and one that names four, names; the list of sectors may have a thousand."""
     names = [r.canon_name for r in table(spark, folder, "canon_names").where((F.col("entry_kind") == "sector") & F.col("canon_name").isNotNull()).select("canon_name").distinct().orderBy("canon_name").limit(1001).collect()]
     if len(names) > 1000:
         raise ValueError("more than 1000 sectors: pass a list of hot ones")
-    return table(spark, folder, "eval_items").select("item_id", F.explode(L.sector_hints("question", names)).alias("sector"))
+    asked = table(spark, folder, "eval_items").select("item_id", "question").unionByName(spark.createDataFrame([(-1, "Chính sách đất đai, thủy lợi, môi trường và giáo dục nghề?")], "item_id long, question string"))
+    return asked.select("item_id", F.explode(L.sector_hints("question", names)).alias("sector"))
 
 
 def uploaded_hints(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +200,7 @@ def sanitised_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        subgraph_text, graph_enriched_chunks, sibling_chunks, document_articles, article_by_keyword, sector_documents, hit_nodes, unlinked_bases, leaf_ancestors, node_counts, node_relation_counts,
+        subgraph_text, graph_enriched_chunks, sibling_chunks, document_articles, article_by_keyword, sector_documents, hit_nodes, expanded_hits, unlinked_bases, leaf_ancestors, node_counts, node_relation_counts,
         session_entities, question_sectors, uploaded_hints, chunk_batches, sanitised_labels,
     )
 }
@@ -212,6 +229,10 @@ SQL = {
     "article_by_keyword": f"WITH {_ART} SELECT doc_id, doc_number, article, article_text FROM art JOIN doc_contexts USING (doc_id) WHERE contains(lower(article), 'điều 5') AND contains(lower(doc_number), 'ubnd')",
     "sector_documents": f"WITH s AS (SELECT DISTINCT record_id AS doc_id, {_SQ('val')} AS sector FROM ({_g._problems._P2}) WHERE field_name = 'sectors_str') SELECT doc_id, sector, doc_title, doc_number FROM s JOIN doc_contexts USING (doc_id) WHERE contains(lower(doc_title), 'bến') OR contains(lower(doc_number), 'ubnd')",
     "hit_nodes": f"WITH h AS ({_r.SQL['emergency_scroll']}) SELECT item_id, chunk_id, c.document_id, doc_title AS parent_title, doc_number AS parent_number, final_effective_date AS effective_date, issuing_auth AS authority FROM h JOIN (SELECT DISTINCT chunk_id, document_id FROM chunks) c USING (chunk_id) LEFT JOIN doc_contexts d ON d.doc_id = c.document_id",
+    "expanded_hits": f"""WITH h AS (SELECT DISTINCT item_id, chunk_id FROM ({_r.SQL['emergency_scroll']})), u AS (SELECT DISTINCT chunk_id, document_id, article_ref, chunk_index, chunk_text, coalesce(is_appendix, false) AS app FROM chunks), o AS (SELECT * FROM h JOIN u USING (chunk_id)),
+      f AS (SELECT *, row_number() OVER (PARTITION BY document_id, article_ref ORDER BY chunk_index, chunk_id) AS n FROM u WHERE article_ref <> ''), a AS (SELECT document_id, article_ref, string_agg(chunk_text, chr(10) ORDER BY n) AS context, count(*) AS pieces FROM f WHERE n <= 8 GROUP BY ALL)
+      SELECT item_id, chunk_id, context, pieces FROM o JOIN a USING (document_id, article_ref) WHERE NOT app
+      UNION ALL SELECT o.item_id, o.chunk_id, string_agg(u.chunk_text, chr(10) ORDER BY u.chunk_index, u.chunk_id), count(*) FROM o JOIN u ON u.document_id = o.document_id AND abs(u.chunk_index - o.chunk_index) <= 1 AND u.article_ref IS NOT DISTINCT FROM o.article_ref WHERE o.app GROUP BY ALL""",
     "unlinked_bases": f"""WITH b AS (SELECT DISTINCT doc_id, {_K('x.doc_number')} AS key, x.doc_title AS title FROM (SELECT doc_id, unnest(basis_refs) AS x FROM doc_contexts)), l AS (SELECT doc_id, {_K('x.target_doc')} AS key FROM (SELECT doc_id, unnest(ontology_rels) AS x FROM doc_contexts) WHERE x.edge_label = 'BASED_ON')
       SELECT * FROM b WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = b.doc_id AND l.key = b.key)""",
     "leaf_ancestors": f"""WITH {_g._PARTS} SELECT chunk_id AS leaf, document_id AS doc_id, 1 AS hops FROM parts WHERE a IS NULL UNION SELECT chunk_id, document_id, 2 FROM parts LEFT JOIN leaves USING (document_id, a) WHERE a IS NOT NULL AND (t OR chunk_id IS DISTINCT FROM leaf)""",
@@ -219,7 +240,7 @@ SQL = {
       WHERE type IN ('ISSUED_BY', 'SIGNED_BY', 'HAS_TYPE', 'HAS_SECTOR', 'HAS_ARTICLE', 'HAS_ENTITY') AND dst IS NOT NULL GROUP BY 1 UNION ALL SELECT 'Document', count(DISTINCT doc_id) FROM doc_contexts UNION ALL SELECT 'Chunk', count(DISTINCT src) FROM e WHERE type = 'PART_OF'""",
     "node_relation_counts": """SELECT CASE x.edge_label WHEN 'AMENDS' THEN 'AMENDED_BY' WHEN 'REPEALS' THEN 'REPEALED_BY' WHEN 'REPLACES' THEN 'REPLACED_BY' WHEN 'GUIDES' THEN 'GUIDED_BY' WHEN 'BASED_ON' THEN 'BASED_ON' ELSE 'RELATED_TO' END AS relation, count(*) AS n, count(DISTINCT x.source_doc) AS sources, count(DISTINCT x.target_doc) AS targets
       FROM (SELECT unnest(ontology_rels) AS x FROM doc_contexts) GROUP BY 1""",
-    "question_sectors": """WITH s AS (SELECT DISTINCT canon_name FROM canon_names WHERE entry_kind = 'sector' AND canon_name IS NOT NULL), h AS (SELECT item_id, canon_name, row_number() OVER (PARTITION BY item_id ORDER BY canon_name) AS n FROM eval_items JOIN s ON contains(lower(question), lower(canon_name)))
+    "question_sectors": """WITH s AS (SELECT DISTINCT canon_name FROM canon_names WHERE entry_kind = 'sector' AND canon_name IS NOT NULL), h AS (SELECT item_id, canon_name, row_number() OVER (PARTITION BY item_id ORDER BY canon_name) AS n FROM (SELECT item_id, question FROM eval_items UNION ALL SELECT -1, 'Chính sách đất đai, thủy lợi, môi trường và giáo dục nghề?') JOIN s ON contains(lower(question), lower(canon_name)))
       SELECT item_id, canon_name AS sector FROM h WHERE n <= 3""",
     "uploaded_hints": r"""WITH f AS (SELECT document_id, chunk_text, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS n FROM (SELECT DISTINCT document_id, chunk_index, chunk_id, chunk_text FROM chunks) WHERE chunk_text IS NOT NULL), t AS (SELECT document_id, string_agg(chunk_text, chr(10) ORDER BY n) AS s FROM f WHERE n <= 3 GROUP BY 1)
       SELECT document_id, nullif(regexp_extract(s, '\d+/\d{4}/[A-Za-zĐđ\-]+'), '') AS number, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '(?:Điều|Khoản|Mục|Chương|Phụ lục)\s+\d+[a-z]?')))[1:3], ', ') AS headings FROM t""",
