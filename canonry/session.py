@@ -42,10 +42,11 @@ def build_session(app: str = "canonry", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, for tables between two steps.
 
-    It is what `spark.checkpoint.dir` names. Where that is unset, local mode
-    gets a folder of its own that ends with the process; a cluster gets an error.
+    It is what `spark.checkpoint.dir` names, or the context's checkpoint
+    folder. Where both are unset, local mode gets a folder of its own that
+    ends with the process; a cluster gets an error.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

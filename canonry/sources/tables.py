@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from canonry.session import file_state, stored
+from canonry.session import stored
 
 
 def place(folder: str, name: str) -> str:
@@ -16,15 +16,20 @@ def place(folder: str, name: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table `name` below `folder`; one file or a directory of files. The schema of files that haven't changed is read once."""
+    """The table `name` below `folder`; one file or a directory of files. The schema of a single file that hasn't changed is read once."""
     path = place(folder, name)
-    state = repr(file_state(spark, [path]))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where) or fs.getFileStatus(where).isDirectory():
+        return spark.read.parquet(path)
+    status = fs.getFileStatus(where)
+    state = (status.getLen(), status.getModificationTime())
     if _SCHEMAS.get(path, (None,))[0] != state:
         _SCHEMAS[path] = (state, spark.read.parquet(path).schema)
     return spark.read.schema(_SCHEMAS[path][1]).parquet(path)
 
 
-_SCHEMAS: dict[str, tuple[str, StructType]] = {}
+_SCHEMAS: dict[str, tuple[tuple[int, int], StructType]] = {}
 
 
 def derived(spark: SparkSession, folder: str, name: str, sources: list[str], build: Callable[[], DataFrame], bucket: str | None = None) -> DataFrame:
