@@ -261,6 +261,13 @@ SQL = {
         OR coalesce(article = '' AND length(number) > 3 AND (contains(said, number) OR (regexp_extract(number, '^([^/]*/[^/]*)', 1) <> '' AND contains(said, regexp_extract(number, '^([^/]*/[^/]*)', 1)))), false)
         OR coalesce(length(title) > 15 AND len(string_split(title, ' ')) > 3 AND contains(said, lower(array_to_string(string_split(title, ' ')[1:5], ' '))), false) AS cited FROM h)
       SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, cited FROM (SELECT *, bool_or(cited) OVER (PARTITION BY query_id) AS found FROM m) WHERE cited OR (NOT found AND rank = 1)""",
+    "context_references": f"""WITH {_retrieval._QALL}, u AS (SELECT chunk_id AS doc_id, min((document_id, article_ref, chunk_index, chunk_text)) AS x, min((document_id, article_ref, chunk_index, chunk_text))[4] AS chunk_text FROM chunks GROUP BY chunk_id), {_retrieval._sql_bm25('b', 'true', 10, 'u', 'chunk_text')},
+      h AS (SELECT query_id, doc_id AS chunk_id, rank, x[1] AS document_id, lower({_SQ('x[2]')}) AS a, u.chunk_text FROM b JOIN u USING (doc_id)),
+      c AS (SELECT query_id, document_id, rank, generate_subscripts(l, 1) AS spot, lower(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS a FROM (SELECT *, regexp_extract_all(chunk_text, '(?i)((?:điều|khoản|điểm|mục|chương)\\s+(?:\\d+[a-zđ]?|[a-zđ]|[ivxlc]+))(?:[^\\pL\\pN\\pM_]|$)', 1) AS l FROM h)),
+      r AS (SELECT query_id, document_id, a, min((rank, spot)) AS o FROM c WHERE regexp_full_match(a, 'điều \\d+[a-zđ]?') AND (query_id, document_id, a) NOT IN (SELECT (query_id, document_id, a) FROM h WHERE a IS NOT NULL) GROUP BY ALL),
+      p AS (SELECT doc_id AS chunk_id, x[1] AS document_id, lower({_SQ('x[2]')}) AS a, x[3] AS chunk_index, length(chunk_text) AS chars FROM u),
+      f AS (SELECT query_id, chunk_id, chars, row_number() OVER w AS n, coalesce(sum(chars) OVER (PARTITION BY query_id ORDER BY o, chunk_index, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM r JOIN p USING (document_id, a) WINDOW w AS (PARTITION BY query_id ORDER BY o, chunk_index, chunk_id))
+      SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, false AS supplemental, CAST(length(chunk_text) AS INTEGER) AS chars FROM h UNION ALL SELECT query_id, chunk_id, CAST(n AS INTEGER), true, CAST(chars AS INTEGER) FROM f WHERE n <= 10 AND prior < 15000""",
     "text_citations": r"""SELECT citation, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(list_transform(regexp_extract_all(chunk_text, '(?i)((?:điều|khoản|điểm|mục|chương)\s+(?:\d+[a-zđ]?|[a-zđ]|[ivxlc]+))(?:[^\pL\pN\pM_]|$)', 1) || regexp_extract_all(chunk_text, '\d+/\d{4}/[A-ZĐ][A-Z0-9Đ\-]*'),
         lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS citation FROM (SELECT DISTINCT chunk_id, chunk_text FROM chunks)) GROUP BY citation""",
     "article_bodies": r"""SELECT doc_id, rtrim(regexp_replace(rest, '(?is)\n\s*(?:điều|chương|mục|phần)\s+[0-9ivxlc]+.*$', ''), ' ') AS body FROM (SELECT doc_id, regexp_extract(chr(10) || text, '(?is)\n\s*(điều 2(?:[^0-9].*)?)$', 1) AS rest FROM documents WHERE text IS NOT NULL) WHERE rest <> ''""",
