@@ -288,3 +288,27 @@ SQL = {
     "flattened_chats": _sessions._M + ", b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC, created_at DESC NULLS LAST, role DESC, content DESC) AS back FROM m WHERE content IS NOT NULL AND role IS NOT NULL) SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY back DESC) AS prompt FROM b WHERE back <= 14 GROUP BY session_id",
 }
 SQL |= {f"{n}_all": SQL[n].replace(_retrieval._Q, _retrieval._QALL) for n in ("context_text", "hinted_missing")}
+
+
+def _sql_documents() -> str:
+    """Document contexts in SQL: contents as in `contents_and_dates`, fields of the last crawl of the number."""
+    contents = _texts.SQL["contents_and_dates"].split("SELECT doc_id, coalesce(array_to_string(toc")[0]
+    known = lambda x: f"CASE WHEN lower({_SQ(x)}) NOT IN ('', 'n/a', 'nan', 'none') THEN {x} END"
+    year = lambda x: f"coalesce(nullif(regexp_extract({x}, '\\b((?:19|20)\\d{{2}})\\b', 1), ''), CASE WHEN TRY_CAST(regexp_extract({x}, '(\\d{{4}})', 1) AS INTEGER) BETWEEN 1900 AND 2100 THEN regexp_extract({x}, '(\\d{{4}})', 1) END)"
+    number = lambda x: f"coalesce(nullif(regexp_extract({x}, '(?i)(?:số\\s*)?(\\d+/\\d+(?:/[A-Z0-9Đ\\-]+)?)', 1), ''), nullif(regexp_extract({x}, '(?i)(\\d+/[A-Z0-9Đ\\-]+)', 1), ''))"
+    key = _retrieval.KEY.format
+    head = "array_to_string(string_split(text, chr(10))[1:100], chr(10))"
+    return f"""{contents}, n AS (SELECT doc_id, coalesce({known('document_number')}, {number(head)}) AS number FROM documents),
+      m AS (SELECT *, {key(known('document_number'))} AS k, row_number() OVER (PARTITION BY {key(known('document_number'))} ORDER BY crawled_at DESC NULLS LAST, title DESC NULLS LAST) AS place FROM corpus_metadata),
+      j AS (SELECT n.doc_id, n.number, m.*, substr(trim({known('issuance_date')}, ' '), 1, 10) AS promulgated, array_to_string(toc, chr(10)) AS toc,
+          CASE WHEN day.y <> '' THEN day.y || '-' || lpad(day.m, 2, '0') || '-' || lpad(day.d, 2, '0') WHEN regexp_matches(body, '(?i)có\\s+hiệu\\s+lực\\s+(?:thi\\s+hành\\s+)?(?:kể\\s+)?từ\\s+ngày\\s+ký|chịu\\s+trách\\s+nhiệm\\s+thi\\s+hành\\s+(?:quyết\\s+định|nghị\\s+định|thông\\s+tư|văn\\s+bản)\\s+này') THEN promulgated END AS stated
+        FROM n LEFT JOIN e USING (doc_id) LEFT JOIN m ON m.k = {key('n.number')} AND m.place = 1),
+      f AS (SELECT *, coalesce(stated, promulgated) AS effective FROM j), g AS (SELECT * EXCLUDE (doc_status), coalesce({known('doc_status')}, CASE WHEN length(effective) = 10 AND effective > '2024-01-01' THEN 'Chưa có hiệu lực' ELSE 'Đang có hiệu lực' END) AS doc_status FROM f)
+      SELECT doc_id, coalesce(number, 'N/A') AS doc_number, coalesce({known('title')}, 'N/A') AS doc_title, coalesce({year('issuance_date')}, {year('number')}) AS doc_year,
+        coalesce(nullif(array_to_string(list_filter(list_transform(string_split({known('legal_sectors')}, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), ', '), ''), 'Chung') AS sectors_str, {_texts._STATUS} AS doc_status, {known('issuing_authority')} AS issuing_auth,
+        CASE WHEN signers IS NULL OR lower(trim(signers)) IN ('nan', '', 'none') THEN NULL WHEN contains(signers, ':') THEN trim(split_part(signers, ':', 1)) ELSE signers END AS signer_name,
+        CASE WHEN lower(trim(signers)) NOT IN ('nan', '', 'none') AND contains(signers, ':') AND regexp_full_match(split_part(signers, ':', 2), '\\s*-?[0-9]+\\s*') THEN CAST(regexp_replace(split_part(signers, ':', 2), '\\s+', '', 'g') AS BIGINT) END AS signer_id,
+        promulgated AS promulgation_date, effective AS final_effective_date, {known('legal_type')} AS legal_type_meta, url, toc AS document_toc FROM g"""
+
+
+SQL["processed_documents"] = _sql_documents()
