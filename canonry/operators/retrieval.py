@@ -295,31 +295,138 @@ def bm25_every(documents: DataFrame, queries: DataFrame, k: int, key: str = "doc
     return ranked(reduce(DataFrame.unionByName, parts), k, key)
 
 
-def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str, least: int = 2, per_hit: float = 0.1, most: int = 10, longer_than: int = 3, block: int = 1024, step: int = 1000) -> DataFrame:
-    """`keyword_rescue` for each of many queries: a text is searched once for every distinct word of a block of them."""
+#: Which bytes are ASCII letters or digits.
+_WORD_BYTES = np.array([chr(c).isascii() and chr(c).isalnum() for c in range(256)])
+
+
+def _runs(texts: pa.Array, least: int) -> tuple[np.ndarray, pa.Array]:
+    """Row and letters of every run of at least `least` ASCII letters and digits; each text ends with another character."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    edges = np.flatnonzero(np.diff(_WORD_BYTES[data].view(np.int8), prepend=np.int8(0)))
+    first, last = edges[::2], edges[1::2]
+    long = last - first >= least
+    first, last = first[long], last[long]
+    spans = np.diff(np.column_stack([first, last]).ravel(), prepend=0, append=len(data))
+    letters = data[np.repeat(np.arange(len(spans)) % 2 == 1, spans)]
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(last - first)])
+    return np.searchsorted(offsets[1:] - offsets[0], first, side="right"), pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts), pa.py_buffer(letters)])
+
+
+def _contained(texts: pa.Array, known: dict[bytes, int], lengths: dict[bytes, set[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of every word of `known` that is part of the text, once a row, in order of rows.
+
+    A word has letters and digits only, so it lies within one run of them;
+    each distinct run is looked up once. `lengths` has the words' lengths by
+    their first `least` letters.
+    """
+    row, runs = _runs(texts, least)
+    runs = runs.dictionary_encode()
+    found, sizes = [], []
+    for run in runs.dictionary.to_pylist():
+        inside = set()
+        for at in range(len(run) - least + 1):
+            for n in lengths.get(run[at : at + least], ()):
+                inside.add(known.get(run[at : at + n], -1))
+        inside.discard(-1)
+        found += inside
+        sizes.append(len(inside))
+    ids, sizes = runs.indices.to_numpy(), np.array(sizes, np.int64)
+    each = sizes[ids]
+    begin = (np.cumsum(sizes) - sizes)[ids]
+    at = np.repeat(begin - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    pairs = np.unique(np.repeat(row, each) * max(len(known), 1) + np.array(found, np.int64)[at])
+    return pairs // max(len(known), 1), pairs % max(len(known), 1)
+
+
+def _asked_blocks(queries: DataFrame, asked: Column, size: int, most_words: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]]:
+    """Blocks of at most `size` queries with at most `most_words` words (a query with more is a block of its own): their ids; their distinct words, the most frequent first; where each word's queries end; the queries (places) word by word."""
+    def built(held: list) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        of = {}
+        for q, r in enumerate(held):
+            for w in r.w:
+                of.setdefault(w, []).append(q)
+        vocabulary = sorted(of, key=lambda w: (-len(of[w]), w))
+        return np.array([r.q for r in held], np.int64), vocabulary, np.cumsum([len(of[w]) for w in vocabulary]), np.array([q for w in vocabulary for q in of[w]], np.int32)
+
+    held, count = [], 0
+    # gathered first, as an iterator reads one partition after the other
+    for r in queries.select(F.col("query_id").cast("long").alias("q"), F.array_distinct(asked).alias("w")).where(F.size("w") > 0).hint("rebalance").toLocalIterator():
+        if held and (len(held) == size or count + len(r.w) > most_words):
+            yield built(held)
+            held, count = [], 0
+        held.append(r)
+        count += len(r.w)
+    if held:
+        yield built(held)
+
+
+def rescue_every(documents: DataFrame, queries: DataFrame, key: str, text: str, least: int = 2, per_hit: float = 0.1, most: int = 10, longer_than: int = 3, block: int = 16_384, step: int = 1000, table_bytes: int = 1 << 25) -> DataFrame:
+    """`keyword_rescue` for each of many queries, in one pass over the documents for each block of them.
+
+    The words of the block are looked up in a text's distinct words. A word's
+    queries are a row of a table where frequent (at most `table_bytes`), else
+    a list; the rows of a text's words are added up. Only hits that reach a
+    query's `most`-th best so far are kept.
+    """
     asked = F.filter(words("query"), lambda w: F.length(w) > longer_than)
-    lowered = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("t"))
+    lowered = documents.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.concat(F.lower(F.col(text)), F.lit(" ")).alias("t"))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(key, T.LongType()), T.StructField("hits", T.IntegerType())])
+    shortest, slice_bytes = max(longer_than + 1, 1), 1 << 23
 
     def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (ids, vocabulary, has), best = shared.value, None
+            ids, vocabulary, ends, asking = shared.value
+            known, lengths = {w.encode(): i for i, w in enumerate(vocabulary)}, {}
+            for w in known:
+                lengths.setdefault(w[:shortest], set()).add(len(w))
+            largest = int(np.bincount(asking).max())
+            kind = np.dtype(np.uint8 if largest < 255 else np.uint16 if largest < 65535 else np.int32)
+            lists = np.split(asking, ends[:-1])
+            rows = np.zeros((min(len(vocabulary), table_bytes // (len(ids) * kind.itemsize)), len(ids)), kind)
+            for line, places in zip(rows, lists):
+                line[places] = 1
+            best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+            new, waiting, width = [], 0, 16
+            full, bar, bar_key = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+            def merged() -> list[np.ndarray]:
+                out = _best(*(np.concatenate(x) for x in zip(best, *new)), most)
+                count = np.bincount(out[0], minlength=len(ids))
+                full[:] = count == most
+                last = (np.cumsum(count) - 1)[full]
+                bar[full], bar_key[full] = out[2][last], out[1][last]
+                return out
+
             for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    hits = np.zeros((batch.num_rows, len(ids)), np.float32)
-                    for at in range(0, len(vocabulary), 512):
-                        inside = np.stack([pc.match_substring(batch["t"], w).to_numpy(zero_copy_only=False) for w in vocabulary[at : at + 512]], axis=1)
-                        hits += inside.astype(np.float32) @ has[at : at + 512].astype(np.float32)
-                    r, q = _top(hits, float(least), most)
-                    new = [ids[q], batch[key].to_numpy(zero_copy_only=False)[r], hits[r, q]]
-                    best = _best(*(np.concatenate(x) for x in zip(best, new)), most) if best else _best(*new, most)
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2].astype(np.int32))], schema.names)
+                whole = whole.take(pa.array(np.argsort(whole[key].to_numpy(zero_copy_only=False), kind="stable")))
+                keys, sizes = whole[key].to_numpy(zero_copy_only=False), np.cumsum(pc.binary_length(whole["t"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+                start = 0
+                while start < len(keys):
+                    end = min(start + width, max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + slice_bytes))), len(keys))
+                    hits = np.zeros((end - start, len(ids)), kind)
+                    for r, w in zip(*(x.tolist() for x in _contained(whole["t"].slice(start, end - start), known, lengths, shortest))):
+                        if w < len(rows):
+                            np.add(hits[r], rows[w], out=hits[r])
+                        else:
+                            hits[r, lists[w]] += 1
+                    # keys ascend within a batch, so a tie with the last one counts only against a higher key
+                    reach = np.maximum(np.where(full, bar + (bar_key < keys[start]), least), 1)
+                    r, q = np.nonzero(hits >= np.minimum(reach, np.iinfo(kind).max).astype(kind))
+                    if len(r):
+                        new.append((q, keys[start + r], hits[r, q].astype(np.int32)))
+                        waiting += len(r)
+                    if waiting >= most * len(ids) or (new and width < step):
+                        best, new, waiting = merged(), [], 0
+                    start, width = end, min(2 * width, step)
+            if new:
+                best = merged()
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], schema.names)
 
         return lowered.mapInArrow(run, schema)
 
-    parts = scans(documents.sparkSession, _word_blocks(queries, asked, block), scan)
+    parts = scans(documents.sparkSession, _asked_blocks(queries, asked, block), scan)
     hits = reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
     return ranked(hits.withColumn("score", F.round(F.col("hits") * per_hit, 6)), most, key)
 
